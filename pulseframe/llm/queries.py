@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from pulseframe.llm import oracles
+from pulseframe.llm import line_crf, oracles
 from pulseframe.llm.near_dup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -26,3 +27,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 4-word shingles, 80 % similarity."""
     return near_duplicates(table(spark, sf_dir, "documents"), width=4, percent=80)
+
+
+def quality_model(spark: SparkSession, sf_dir: str) -> line_crf.Model:
+    """Fitted on labels.quality of the rows whose crc32(doc_id) mod 5 is not 0."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    return line_crf.train(table(spark, sf_dir, "documents"), labels, where=~held_out())
+
+
+def held_out() -> Column:
+    return F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+
+
+@query
+def op2_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Line-CRF quality score of every document."""
+    scored = line_crf.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
+    return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
