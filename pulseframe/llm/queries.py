@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.llm import line_crf, oracles
+from pulseframe.llm.decontam import find_contamination
+from pulseframe.llm.line_dedup import dedup_lines
 from pulseframe.llm.near_dup import near_duplicates
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -44,3 +46,18 @@ def op2_crf_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Line-CRF quality score of every document."""
     scored = line_crf.score(table(spark, sf_dir, "documents"), quality_model(spark, sf_dir))
     return scored.select("doc_id", F.coalesce(held_out(), F.lit(False)).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
+@query
+def op3_wu_manber_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that lie inside a 10-word window of a benchmark item."""
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), width=10)
+    named = F.array_join(F.array_sort(F.transform("item_ids", lambda i: i.cast("string"))), ",")
+    return found.select("doc_id", "n_words", "n_hit", F.size("item_ids").cast("long").alias("n_items"), F.sha2(named, 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
+
+
+@query
+def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Lines that ten or more documents share are dropped from every document."""
+    out = dedup_lines(table(spark, sf_dir, "documents"), least_docs=10)
+    return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
