@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import line_crf, oracles
+from pulseframe.llm import decision_list, line_crf, oracles
 from pulseframe.llm.decontam import find_contamination
 from pulseframe.llm.line_dedup import dedup_lines
 from pulseframe.llm.near_dup import near_duplicates
@@ -61,3 +61,11 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines that ten or more documents share are dropped from every document."""
     out = dedup_lines(table(spark, sf_dir, "documents"), least_docs=10)
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Text statistics of every document, the base rules and the learned decision list."""
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
+    out, _ = decision_list.judge(table(spark, sf_dir, "documents"), labels)
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
