@@ -11,6 +11,7 @@ from pulseframe.llm import decision_list, line_crf, oracles
 from pulseframe.llm.decontam import find_contamination
 from pulseframe.llm.line_dedup import dedup_lines
 from pulseframe.llm.near_dup import near_duplicates
+from pulseframe.llm.url_filter import filter_urls, rules_frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = oracles.SQL
@@ -69,3 +70,19 @@ def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
     out, _ = decision_list.judge(table(spark, sf_dir, "documents"), labels)
     return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "rule")
+
+
+#: The rules of the URL query: action, host, path.
+URL_RULES = [
+    ("allow", "com", "/"),
+    ("block", "example.com", "/en/"),
+    ("allow", "www.example.com", "/en/"),
+    ("block", "net", "/es/"),
+    ("block", "net", "/fr/"),
+]
+
+
+@query
+def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The verdict of the URL rules on every page."""
+    return filter_urls(table(spark, sf_dir, "pages"), rules_frame(spark, URL_RULES))
