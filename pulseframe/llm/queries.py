@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pulseframe.llm import decision_list, line_crf, oracles
 from pulseframe.llm.decontam import find_contamination
 from pulseframe.llm.line_dedup import dedup_lines
+from pulseframe.llm.mixing import mix
 from pulseframe.llm.near_dup import near_duplicates
 from pulseframe.llm.url_filter import filter_urls, rules_frame
 
@@ -86,3 +87,10 @@ URL_RULES = [
 def op8_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The verdict of the URL rules on every page."""
     return filter_urls(table(spark, sf_dir, "pages"), rules_frame(spark, URL_RULES))
+
+
+@query
+def op9_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document: sources weigh 5, 2, 1, repeating, and share 150 % of all words."""
+    out = mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, cap=2)
+    return out.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies", "part")
