@@ -12,6 +12,7 @@ from pulseframe.llm.decontam import find_contamination
 from pulseframe.llm.line_dedup import dedup_lines
 from pulseframe.llm.mixing import mix
 from pulseframe.llm.near_dup import near_duplicates
+from pulseframe.llm.sharding import shard
 from pulseframe.llm.url_filter import filter_urls, rules_frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -94,3 +95,10 @@ def op9_entropy_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words that the mix takes of every document: sources weigh 5, 2, 1, repeating, and share 150 % of all words."""
     out = mix(table(spark, sf_dir, "documents"), weights=(5.0, 2.0, 1.0), share=1.5, cap=2)
     return out.select("doc_id", "size", "source_size", "target", "taken", "rate", "copies", "part")
+
+
+@query
+def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 16 shards of nearly equal bytes."""
+    out = shard(table(spark, sf_dir, "documents"), n_shards=16)
+    return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
