@@ -6,9 +6,16 @@ Bands of the coordinates are bucket keys; a pair that shares a bucket is a candi
 
 Nothing grows with the square of a group:
 1. documents with equal shingle sets are one class (a hash aggregate);
-2. in each bucket every class is compared with the bucket's smallest class only, and confirmed links are closed to components;
-3. only buckets whose classes are then still in several components have pairs left, those between different components.
-   All of them are confirmed too, so no link within a bucket is lost and nothing is capped.
+2. in a bucket of at most PAIRWISE classes all pairs are compared, at most PAIRWISE / 2 for each class; in a larger one the
+   classes are compared with one head h only, the one with most company over all buckets. Confirmed links are closed to
+   components;
+3. in large buckets whose classes are then still in several components, a class is described by how it differs from h: the
+   shingles it has beyond h and those of h that it lacks. With o(x) = |x & h|, x and y have
+   |h| - (|h| - o(x)) - (|h| - o(y)) + shared differences in common. If x is not linked to h, that is enough for a link only
+   if they share at least t(x) = ceil(percent * (|x| + |h|) / (100 + percent)) - o(x) >= 1 differences. One of those is among
+   the first (differences - t + 1) in any fixed order: these are the next, finer buckets, in which h is no more, and 2. is
+   repeated until no bucket is split.
+So no link within a bucket is lost, nothing is capped, and each round compares each class with few others.
 """
 
 from __future__ import annotations
@@ -26,6 +33,8 @@ from pulseframe.llm.scratch import checkpointed, written
 
 #: With 40 bands of 5, a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**5)**40 = 1.3e-7.
 BANDS, ROWS = 40, 5
+#: Up to this size a bucket's pairs are compared directly; larger buckets go by heads. Both ways are exact.
+PAIRWISE = 24
 
 
 def _shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -117,17 +126,25 @@ def _with_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
             yield out.filter(pa.array(same))
 
 
-def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """For each pair a, b: whether they link, and where a is a head the differences of b from it that the next buckets need."""
     for batch in batches:
-        a, b = batch.column("a"), batch.column("b")
-        keep = np.zeros(batch.num_rows, bool)
+        linked, outside = [], []
+        by_head, none = batch.column("by_head").to_pylist(), np.zeros(0, np.int64)
         for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
-            x, y = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            both = np.concatenate([x, y])
-            both.sort()
-            common = int(np.count_nonzero(both[1:] == both[:-1]))
-            keep[i] = 100 * common >= percent * (len(x) + len(y) - common)
-        yield pa.RecordBatch.from_arrays([a, b], names=["a", "b"]).filter(pa.array(keep))
+            a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
+            found = a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b
+            common = int(np.count_nonzero(found))
+            linked.append(100 * common >= percent * (len(a) + len(b) - common))
+            if not by_head[i]:
+                outside.append(none)
+                continue
+            lacking = a[b[np.minimum(np.searchsorted(b, a), len(b) - 1)] != a]
+            own = np.sort(np.concatenate([V.mix(b[~found]), V.mix(~lacking)]))
+            least = max(1, -(-percent * (len(a) + len(b)) // (100 + percent)) - common)
+            outside.append(own[: max(0, len(own) - least + 1)].view(np.int64))
+        flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, outside)]).astype(np.int32)), pa.array(np.concatenate([none, *outside])))
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n"), batch.column("by_head"), pa.array(linked, pa.bool_()), flat], names=["a", "b", "n", "by_head", "linked", "outside"])
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -147,6 +164,36 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _split_buckets(member: DataFrame, labels: DataFrame) -> DataFrame:
+    """(bucket, vid, n, comp, size, head) of buckets with several components; buckets with equal members are one."""
+    placed = member.join(labels, member.vid == labels.id, "left").select("bucket", "vid", "n", F.coalesce("label", "vid").alias("comp"))
+    facts = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("vid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(5), "vid")).alias("x2"))
+    facts = facts.filter("lo < hi").select("bucket", "size", F.xxhash64("size", "x1", "x2").alias("same"))
+    rows = written(placed.join(facts, "bucket").select(F.col("same").alias("bucket"), "vid", "n", "comp", "size").distinct(), "split")
+    company = rows.groupBy("vid").agg(F.sum("size").alias("company"))
+    large = rows.filter(F.col("size") > PAIRWISE).join(company, "vid")
+    heads = large.groupBy("bucket").agg(F.max(F.struct("company", -F.col("vid"))).alias("top")).select("bucket", (-F.col("top.col2")).alias("head"))
+    return checkpointed(rows.join(heads, "bucket", "left"))
+
+
+def _pairs(member: DataFrame, percent: int) -> DataFrame:
+    """(a, b, n, by_head): the pairs to compare, n of b."""
+    small = member.filter(F.col("size") <= PAIRWISE)
+    x, y = small.alias("x"), small.alias("y")
+    alike = (100 * F.least("x.n", "y.n")) >= (percent * F.greatest("x.n", "y.n"))
+    each = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.vid") < F.col("y.vid")) & (F.col("x.comp") != F.col("y.comp")) & alike)
+    each = each.select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b"), F.col("y.n").alias("n"), F.lit(False).alias("by_head"))
+    stars = member.filter((F.col("size") > PAIRWISE) & (F.col("vid") != F.col("head"))).select(F.col("head").alias("a"), F.col("vid").alias("b"), "n", F.lit(True).alias("by_head"))
+    return each.union(stars).distinct()
+
+
+def _sets_of(docs: DataFrame, classes: DataFrame, member: DataFrame, width: int) -> DataFrame:
+    """(vid, members): the full shingle sets of the classes in member, from the texts."""
+    wanted = member.select("vid").distinct().join(classes.select("vid", "rep", "d1", "d2"), "vid")
+    texts = docs.join(wanted, docs.doc_id.eqNullSafe(wanted.rep)).select("vid", "d1", "d2", "text")
+    return written(texts.mapInArrow(partial(_with_sets, width=width), "vid long, members binary").dropDuplicates(["vid"]), "sets")
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs(doc_id, text); other columns are ignored.
 
@@ -166,35 +213,23 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         .withColumn("vid", F.monotonically_increasing_id()),
         "classes",
     )
-    member = classes.select("vid", "n", F.explode("bands").alias("bucket"))
-    shared = member.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min(F.struct("vid", "n")).alias("head")).filter("size > 1").drop("size")
-    member = written(member.join(shared, "bucket").select("bucket", "vid", "n", F.col("head.vid").alias("head"), F.col("head.n").alias("head_n")), "buckets")
-    alike = lambda x, y: (100 * F.least(x, y)) >= (percent * F.greatest(x, y))
-    stars = checkpointed(member.filter((F.col("vid") != F.col("head")) & alike(F.col("n"), F.col("head_n"))).select(F.col("head").alias("a"), F.col("vid").alias("b")).distinct())
-
-    wanted = member.select("vid").distinct().join(classes.select("vid", "rep", "d1", "d2"), "vid")
-    sets = written(docs.join(wanted, docs.doc_id.eqNullSafe(wanted.rep)).select("vid", "d1", "d2", "text").mapInArrow(partial(_with_sets, width=width), "vid long, members binary").dropDuplicates(["vid"]), "sets")
-
-    def confirmed(pairs: DataFrame) -> DataFrame:
+    member = classes.select(F.explode("bands").alias("bucket"), "vid", "n")
+    labels = checkpointed(classes.limit(0).select(F.col("vid").alias("id"), F.col("vid").alias("label")))
+    sets = None
+    while True:
+        member = _split_buckets(member, labels)
+        if member.isEmpty():
+            break
+        sets = sets or _sets_of(docs, classes, member, width)
         sides = [sets.select(F.col("vid").alias(x), F.col("members").alias(f"s{x}")) for x in "ab"]
-        return checkpointed(pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "sa", "sb").mapInArrow(partial(_confirm, percent=percent), "a long, b long"))
-
-    links = confirmed(stars)
-    labels = components(links)
-    placed = member.join(labels, member.vid == labels.id, "left").select("bucket", "vid", "n", "head", F.coalesce("label", "vid").alias("comp"))
-    split = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo < hi").select("bucket")
-    rest = checkpointed(placed.join(split, "bucket").select("bucket", "vid", "n", "head", "comp"))
-    if not rest.isEmpty():
-        x, y = rest.alias("x"), rest.alias("y")
-        left = (
-            x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.vid") < F.col("y.vid")) & (F.col("x.comp") != F.col("y.comp")) & (F.col("x.vid") != F.col("x.head")))
-            .filter(alike(F.col("x.n"), F.col("y.n")))
-            .select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b"))
-            .distinct()
-        )
-        more = confirmed(left)
-        if not more.isEmpty():
-            labels = components(links.union(more))
+        compared = _pairs(member, percent).join(sides[1], "b").join(sides[0], "a").select("a", "b", "n", "by_head", "sa", "sb")
+        found = written(compared.mapInArrow(partial(_compared, percent=percent), "a long, b long, n long, by_head boolean, linked boolean, outside array<long>"), "compared")
+        links = found.filter("linked").select("a", "b")
+        if not links.isEmpty():
+            labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(links))
+        found = found.filter("by_head")
+        open_heads = found.filter("not linked").select("a").distinct()
+        member = found.join(open_heads, "a", "left_semi").select("a", F.col("b").alias("vid"), "n", F.explode("outside").alias("g")).select(F.xxhash64("a", "g").alias("bucket"), "vid", "n")
     named = classes.join(labels, classes.vid == labels.id, "left").select("d1", "d2", "rep", F.coalesce("label", "vid").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     names = named.join(smallest, "comp").select("d1", "d2", "component_id")
