@@ -12,7 +12,9 @@ from pulseframe.llm.decontam import find_contamination
 from pulseframe.llm.line_dedup import dedup_lines
 from pulseframe.llm.mixing import mix
 from pulseframe.llm.near_dup import near_duplicates
+from pulseframe.llm.quotes import link_quotes
 from pulseframe.llm.sharding import shard
+from pulseframe.llm.token_shards import training_order
 from pulseframe.llm.url_filter import filter_urls, rules_frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -28,6 +30,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+@query
+def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every message without its quotes, linked to what it quotes, in reply order."""
+    return link_quotes(table(spark, sf_dir, "conversations"))
+
+
 @query
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near-duplicate components of all documents: 4-word shingles, 80 % similarity."""
@@ -66,6 +74,13 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
 
 
+@query
+def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every token sequence of the documents with its global slot, its place in the shard files and a digest of its tokens."""
+    out = training_order(table(spark, sf_dir, "documents"))
+    return out.select("slot", "shard", "offset", "doc_id", "chunk", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))
+
+
 @query
 def op7_decision_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Text statistics of every document, the base rules and the learned decision list."""

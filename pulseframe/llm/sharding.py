@@ -11,6 +11,7 @@ slot numbers are spread over the cluster and no task holds a shard. Column expre
 
 from __future__ import annotations
 
+from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -105,10 +106,10 @@ def find_splitters(keys: DataFrame, n: int, tolerance: float = 0.01, cut_toleran
     return [s for s in found if s is not None]
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, *more: Column) -> DataFrame:
     """(doc_id, h, id, size, text_crc32): size is the text's UTF-8 bytes plus 1; null texts are empty ones, null ids the smallest."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.select("doc_id", F.xxhash64(text).alias("h"), F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
+    return docs.select(*more, "doc_id", F.xxhash64(text).alias("h"), F.coalesce("doc_id", F.lit(-(1 << 63))).cast("long").alias("id"), (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"))
 
 
 def _range_of(rows: DataFrame, splitters: list[Splitter]) -> DataFrame:
@@ -131,22 +132,26 @@ def _range_of(rows: DataFrame, splitters: list[Splitter]) -> DataFrame:
     return found.withColumn("range", (F.coalesce("before", F.lit(0)) + F.size(F.filter(F.coalesce("own", F.array().cast("array<struct<h:bigint,id:bigint>>")), lambda s: s <= key))).cast("int")).drop("bin", "before", "own")
 
 
-def shard(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.01) -> DataFrame:
-    """(doc_id, h, size, text_crc32, shard, slot), one row for each row of docs(doc_id, text); other columns are ignored.
+def shard(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.01, carry: Sequence[str] = ()) -> DataFrame:
+    """(doc_id, h, size, text_crc32, shard, slot), one row for each row of docs(doc_id, text), and the columns of docs named in `carry`.
+
+    Only keys and sizes are written for the counting; carried columns are read again and move once, in the exchange. Other
+    columns are ignored; a carried one must not have the name of a result column.
 
     Shards are consecutive ranges of (xxhash64(text), doc_id) with nearly equal bytes; slot numbers a shard's rows from 0 in
     that order. Equal texts share a shard unless their group is too large for the tolerance. Rows with equal doc_id and text stay
     together and are numbered in any order, as they are equal. Fewer rows than shards leave shards empty.
     """
     keys = written(keyed(docs), "shard-keys")
+    whole = keyed(docs, F.struct(*carry).alias("carried")) if carry else keys
     finer = max(1, -(-parallelism(docs.sparkSession) // n_shards))
     splitters = find_splitters(keys, n_shards * finer, tolerance)
-    ranged = _range_of(keys, splitters)
-    rows = ranged.groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # one row a range
+    ranged = _range_of(whole, splitters)
+    rows = _range_of(keys, splitters).groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # one row a range
     shard_of = F.floor(F.col("range") / finer).cast("int")
     ahead = Window.partitionBy(shard_of).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     starts = rows.select(F.col("range").alias("r"), shard_of.alias("shard"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
     local = Window.partitionBy("range").orderBy("h", "id")
     numbered = ranged.withColumn("k", F.row_number().over(local) - 1)
     placed = numbered.join(F.broadcast(starts), numbered.range == starts.r)  # n_shards * finer rows at most
-    return placed.select("doc_id", "h", "size", "text_crc32", "shard", (F.col("start") + F.col("k")).cast("long").alias("slot"))
+    return placed.select("doc_id", "h", "size", "text_crc32", "shard", (F.col("start") + F.col("k")).cast("long").alias("slot"), *(["carried.*"] if carry else []))
