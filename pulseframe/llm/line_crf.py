@@ -149,11 +149,11 @@ def fit(features: list[np.ndarray], labels: np.ndarray, steps: int = 250, rate:
     theta, m, v = np.zeros(width + 4), np.zeros(width + 4), np.zeros(width + 4)
     for k in range(1, steps + 1):
         pair = theta[width:].reshape(2, 2)
-        evidence = x @ theta[:width]
+        evidence = (x @ theta[:width].astype(np.float32)).astype(np.float64)
         ahead, behind = messages(evidence, firsts, pair)
         good = _sigmoid(ahead + behind)
         grad = np.empty_like(theta)
-        grad[:width] = x.T @ (weight * (y - good))
+        grad[:width] = x.T @ (weight * (y - good)).astype(np.float32)
         right = evidence[at + 1] + behind[at + 1]
         logits = np.stack([pair[i, j] + i * ahead[at] + j * right for i in (0, 1) for j in (0, 1)])
         logits -= logits.max(axis=0)
@@ -209,10 +209,10 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, max_d
         rows = rows.filter(where)
     chosen = rows.groupBy("doc_id").agg(F.max("label").cast("int").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_docs)
     found = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").mapInArrow(partial(_sampled, max_lines=max_lines), "doc_id long, label int, x binary")
-    sample = sorted(((r.doc_id, r.label, bytes(r.x)) for r in found.collect()), key=lambda r: (r[0], r[2]))  # at most max_docs ids
+    sample = found.toArrow().sort_by([("doc_id", "ascending"), ("x", "ascending")])  # at most max_docs ids
     width = 3 * OWN + 3
-    features = [np.frombuffer(x, np.float32).astype(np.float64).reshape(-1, width) for _, _, x in sample]
-    return fit(features, np.array([label for _, label, _ in sample]))
+    features = [np.frombuffer(x.as_buffer(), np.float32).reshape(-1, width) for x in sample["x"]]
+    return fit(features, np.asarray(sample["label"]))
 
 
 def _scored(batches: Iterator[pa.RecordBatch], model: Model) -> Iterator[pa.RecordBatch]:

@@ -4,18 +4,17 @@ Every random permutation of the shingle hashes gives two coordinates, the minimu
 2 * p values costs p hash evaluations a shingle. Each agrees between two sets with probability J, their Jaccard similarity.
 Bands of the coordinates are bucket keys; a pair that shares a bucket is a candidate and is confirmed on the full sets.
 
-Nothing grows with the square of a group:
+Groups are not compared pair by pair:
 1. documents with equal shingle sets are one class (a hash aggregate);
-2. in a bucket of at most PAIRWISE classes all pairs are compared, at most PAIRWISE / 2 for each class; in a larger one the
-   classes are compared with one head h only, the one with most company over all buckets. Confirmed links are closed to
-   components;
-3. in large buckets whose classes are then still in several components, a class is described by how it differs from h: the
-   shingles it has beyond h and those of h that it lacks. With o(x) = |x & h|, x and y have
-   |h| - (|h| - o(x)) - (|h| - o(y)) + shared differences in common. If x is not linked to h, that is enough for a link only
-   if they share at least t(x) = ceil(percent * (|x| + |h|) / (100 + percent)) - o(x) >= 1 differences. One of those is among
-   the first (differences - t + 1) in any fixed order: these are the next, finer buckets, in which h is no more, and 2. is
-   repeated until no bucket is split.
-So no link within a bucket is lost, nothing is capped, and each round compares each class with few others.
+2. in a bucket of at most PAIRWISE classes all pairs are compared, at most PAIRWISE / 2 for each class. In a larger one every
+   class is compared with HEADS randomly chosen classes; confirmed links are closed to components, and buckets whose
+   classes are then one component are done. PROBES rounds of this settle groups in which many pairs link;
+3. classes of large buckets that are still in several components get new buckets by prefix filtering: with the shingles of
+   a set in order of document frequency, rarest first, two sets with similarity percent / 100 share one of their first
+   |x| - ceil(percent * |x| / 100) + 1. Passages that many documents share come last in that order, so texts that have only
+   such a passage in common part here. 2. is repeated on these buckets, and only pairs that are then still in one bucket but in
+   different components are compared one by one.
+So no link within a bucket is lost, and nothing is capped.
 """
 
 from __future__ import annotations
@@ -29,12 +28,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.llm import vectext as V
-from pulseframe.llm.scratch import checkpointed, written
+from pulseframe.llm.scratch import written
 
 #: With 40 bands of 5, a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**5)**40 = 1.3e-7.
 BANDS, ROWS = 40, 5
 #: Up to this size a bucket's pairs are compared directly; larger buckets go by heads. Both ways are exact.
 PAIRWISE = 24
+HEADS, PROBES = 4, 2
 
 
 def _shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -127,24 +127,14 @@ def _with_sets(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.Rec
 
 
 def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """For each pair a, b: whether they link, and where a is a head the differences of b from it that the next buckets need."""
+    """The pairs a, b whose sets link."""
     for batch in batches:
-        linked, outside = [], []
-        by_head, none = batch.column("by_head").to_pylist(), np.zeros(0, np.int64)
-        for i, (x, y) in enumerate(zip(batch.column("sa"), batch.column("sb"), strict=True)):
+        linked = []
+        for x, y in zip(batch.column("sa"), batch.column("sb"), strict=True):
             a, b = np.frombuffer(x.as_buffer(), np.uint64), np.frombuffer(y.as_buffer(), np.uint64)
-            found = a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b
-            common = int(np.count_nonzero(found))
+            common = int(np.count_nonzero(a[np.minimum(np.searchsorted(a, b), len(a) - 1)] == b))
             linked.append(100 * common >= percent * (len(a) + len(b) - common))
-            if not by_head[i]:
-                outside.append(none)
-                continue
-            lacking = a[b[np.minimum(np.searchsorted(b, a), len(b) - 1)] != a]
-            own = np.sort(np.concatenate([V.mix(b[~found]), V.mix(~lacking)]))
-            least = max(1, -(-percent * (len(a) + len(b)) // (100 + percent)) - common)
-            outside.append(own[: max(0, len(own) - least + 1)].view(np.int64))
-        flat = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, outside)]).astype(np.int32)), pa.array(np.concatenate([none, *outside])))
-        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), batch.column("n"), batch.column("by_head"), pa.array(linked, pa.bool_()), flat], names=["a", "b", "n", "by_head", "linked", "outside"])
+        yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b")], names=["a", "b"]).filter(pa.array(linked, pa.bool_()))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -152,39 +142,61 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round is joins and aggregates with map-side combining; a hot id is one row of labels, and the rows around it are combined before they move.
     """
-    both = checkpointed(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct())
-    labels = checkpointed(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")))
+    both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
+    labels = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
     while True:
         near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.least("label", "near").alias("next"), "label")
         jump = labels.select(F.col("id").alias("next"), F.col("label").alias("far"))
-        step = checkpointed(step.join(jump, "next").select("id", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved")))
+        step = written(step.join(jump, "next").select("id", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved")), "step")
         labels = step.select("id", "label")
         if step.filter("moved").isEmpty():
             return labels
 
 
-def _split_buckets(member: DataFrame, labels: DataFrame) -> DataFrame:
-    """(bucket, vid, n, comp, size, head) of buckets with several components; buckets with equal members are one."""
-    placed = member.join(labels, member.vid == labels.id, "left").select("bucket", "vid", "n", F.coalesce("label", "vid").alias("comp"))
+def _split_buckets(member: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """(bucket, vid, n, comp, size) of buckets with several components; buckets with equal members are one."""
+    placed = member.select("bucket", "vid", "n", F.col("vid").alias("comp"))
+    if labels is not None:
+        placed = member.join(labels, member.vid == labels.id, "left").select("bucket", "vid", "n", F.coalesce("label", "vid").alias("comp"))
     facts = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("vid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(5), "vid")).alias("x2"))
     facts = facts.filter("lo < hi").select("bucket", "size", F.xxhash64("size", "x1", "x2").alias("same"))
-    rows = written(placed.join(facts, "bucket").select(F.col("same").alias("bucket"), "vid", "n", "comp", "size").distinct(), "split")
-    company = rows.groupBy("vid").agg(F.sum("size").alias("company"))
-    large = rows.filter(F.col("size") > PAIRWISE).join(company, "vid")
-    heads = large.groupBy("bucket").agg(F.max(F.struct("company", -F.col("vid"))).alias("top")).select("bucket", (-F.col("top.col2")).alias("head"))
-    return checkpointed(rows.join(heads, "bucket", "left"))
+    return written(placed.join(facts, "bucket").select(F.col("same").alias("bucket"), "vid", "n", "comp", "size").distinct(), "split")
 
 
-def _pairs(member: DataFrame, percent: int) -> DataFrame:
-    """(a, b, n, by_head): the pairs to compare, n of b."""
-    small = member.filter(F.col("size") <= PAIRWISE)
-    x, y = small.alias("x"), small.alias("y")
-    alike = (100 * F.least("x.n", "y.n")) >= (percent * F.greatest("x.n", "y.n"))
-    each = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.vid") < F.col("y.vid")) & (F.col("x.comp") != F.col("y.comp")) & alike)
-    each = each.select(F.col("x.vid").alias("a"), F.col("y.vid").alias("b"), F.col("y.n").alias("n"), F.lit(False).alias("by_head"))
-    stars = member.filter((F.col("size") > PAIRWISE) & (F.col("vid") != F.col("head"))).select(F.col("head").alias("a"), F.col("vid").alias("b"), "n", F.lit(True).alias("by_head"))
-    return each.union(stars).distinct()
+def _pairs(member: DataFrame, percent: int, seed: int, most: int = PAIRWISE) -> DataFrame:
+    """(a, b): the pairs to compare, all of buckets of up to `most` classes and those with the heads of larger ones."""
+    open_ = (F.col("x.comp") != F.col("y.comp")) & ((100 * F.least("x.n", "y.n")) >= (percent * F.greatest("x.n", "y.n")))
+    small, large = member.filter(F.col("size") <= most), member.filter(F.col("size") > most)
+    each = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.vid") < F.col("y.vid")) & open_)
+    heads = [F.min(F.struct(F.xxhash64(F.lit(seed * HEADS + k), "vid"), "vid", "n", "comp")) for k in range(HEADS)]
+    heads = large.groupBy("bucket").agg(F.array_distinct(F.array(*heads)).alias("heads")).select("bucket", F.explode("heads").alias("h")).select("bucket", "h.vid", "h.n", "h.comp")
+    stars = large.alias("x").join(heads.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & open_)
+    ends = [F.least("x.vid", "y.vid").alias("a"), F.greatest("x.vid", "y.vid").alias("b")]
+    return each.select(*ends).union(stars.select(*ends)).distinct()
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    sides = [sets.select(F.col("vid").alias(x), F.col("members").alias(f"s{x}")) for x in "ab"]
+    compared = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "sa", "sb")
+    return written(compared.mapInArrow(partial(_compared, percent=percent), "a long, b long"), "links")
+
+
+def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for k in range(batch.num_rows):
+            own = np.frombuffer(batch.column("members")[k].as_buffer(), np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(own), batch.column("vid")[k].as_py())), pa.array(own)], names=["vid", "g"])
+
+
+def _prefix_buckets(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """(bucket, vid, n): the classes of member by the shingles of their prefixes."""
+    who = member.select("vid").distinct()
+    rows = written(sets.join(who, "vid", "left_semi").mapInArrow(_shingles, "vid long, g long"), "shingles")
+    counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
+    ordered = rows.join(counts, "g").groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("own"), F.count(F.lit(1)).alias("n"))
+    first = F.slice("own", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
+    return ordered.select("vid", "n", F.explode(F.filter(first, lambda s: s.df > 1)).alias("s")).select(F.col("s.g").alias("bucket"), "vid", "n")
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, member: DataFrame, width: int) -> DataFrame:
@@ -194,6 +206,31 @@ def _sets_of(docs: DataFrame, classes: DataFrame, member: DataFrame, width: int)
     return written(texts.mapInArrow(partial(_with_sets, width=width), "vid long, members binary").dropDuplicates(["vid"]), "sets")
 
 
+def _closed(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> DataFrame:
+    """(id, label): the component of each class that is linked with another."""
+    labels, sets = None, None
+
+    def linked(pairs: DataFrame) -> DataFrame | None:
+        links = _links(pairs, sets, percent)
+        if links.isEmpty():
+            return labels
+        return components(links if labels is None else labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(links))
+
+    rest = classes.select(F.explode("bands").alias("bucket"), "vid", "n")
+    for k in range(2 * PROBES + 1):
+        rest = _split_buckets(rest, labels)
+        if rest.isEmpty():
+            break
+        if sets is None:
+            sets = _sets_of(docs, classes, rest, width)
+        if k == PROBES:
+            rest = _split_buckets(_prefix_buckets(rest, sets, percent), labels)
+        last = k == 2 * PROBES
+        labels = linked(_pairs(rest, percent, k, most=1 << 60 if last else PAIRWISE))
+        rest = rest.filter(F.col("size") > PAIRWISE)
+    return classes.limit(0).select(F.col("vid").alias("id"), F.col("vid").alias("label")) if labels is None else labels
+
+
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: int = BANDS, rows: int = ROWS, seed: int = 1) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept), one row for each row of docs(doc_id, text); other columns are ignored.
 
@@ -213,23 +250,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = 80, bands: i
         .withColumn("vid", F.monotonically_increasing_id()),
         "classes",
     )
-    member = classes.select(F.explode("bands").alias("bucket"), "vid", "n")
-    labels = checkpointed(classes.limit(0).select(F.col("vid").alias("id"), F.col("vid").alias("label")))
-    sets = None
-    while True:
-        member = _split_buckets(member, labels)
-        if member.isEmpty():
-            break
-        sets = sets or _sets_of(docs, classes, member, width)
-        sides = [sets.select(F.col("vid").alias(x), F.col("members").alias(f"s{x}")) for x in "ab"]
-        compared = _pairs(member, percent).join(sides[1], "b").join(sides[0], "a").select("a", "b", "n", "by_head", "sa", "sb")
-        found = written(compared.mapInArrow(partial(_compared, percent=percent), "a long, b long, n long, by_head boolean, linked boolean, outside array<long>"), "compared")
-        links = found.filter("linked").select("a", "b")
-        if not links.isEmpty():
-            labels = components(labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(links))
-        found = found.filter("by_head")
-        open_heads = found.filter("not linked").select("a").distinct()
-        member = found.join(open_heads, "a", "left_semi").select("a", F.col("b").alias("vid"), "n", F.explode("outside").alias("g")).select(F.xxhash64("a", "g").alias("bucket"), "vid", "n")
+    labels = _closed(docs, classes, width, percent)
     named = classes.join(labels, classes.vid == labels.id, "left").select("d1", "d2", "rep", F.coalesce("label", "vid").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     names = named.join(smallest, "comp").select("d1", "d2", "component_id")
