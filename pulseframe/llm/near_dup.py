@@ -6,14 +6,14 @@ Bands of the coordinates are bucket keys; a pair that shares a bucket is a candi
 
 Groups are not compared pair by pair:
 1. documents with equal shingle sets are one class (a hash aggregate);
-2. in a bucket of at most PAIRWISE classes all pairs are compared, at most PAIRWISE / 2 for each class. In a larger one every
-   class is compared with HEADS randomly chosen classes; confirmed links are closed to components, and buckets whose
-   classes are then one component are done. PROBES rounds of this settle groups in which many pairs link;
+2. in a bucket of at most PAIRWISE classes all pairs are compared, at most PAIRWISE / 2 for each class. Of its larger buckets,
+   a class takes two and is compared with HEADS randomly chosen classes of each; confirmed links are closed to components,
+   and buckets whose classes are then one component are done. PROBES rounds of this settle groups in which many pairs link;
 3. classes of large buckets that are still in several components get new buckets by prefix filtering: with the shingles of
    a set in order of document frequency, rarest first, two sets with similarity percent / 100 share one of their first
    |x| - ceil(percent * |x| / 100) + 1. Passages that many documents share come last in that order, so texts that have only
-   such a passage in common part here. 2. is repeated on these buckets, and only pairs that are then still in one bucket but in
-   different components are compared one by one.
+   such a passage in common part here. 2. is repeated on these buckets, and only pairs that are then still in one bucket, in
+   different components, and whose sizes and positions of the shared shingle allow a link are compared one by one.
 So no link within a bucket is lost, and nothing is capped.
 """
 
@@ -30,11 +30,11 @@ from pyspark.sql import functions as F
 from pulseframe.llm import vectext as V
 from pulseframe.llm.scratch import written
 
-#: With 40 bands of 5, a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**5)**40 = 1.3e-7.
-BANDS, ROWS = 40, 5
+#: With 40 bands of 6, a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**6)**40 = 5e-6.
+BANDS, ROWS = 40, 6
 #: Up to this size a bucket's pairs are compared directly; larger buckets go by heads. Both ways are exact.
-PAIRWISE = 24
-HEADS, PROBES = 4, 2
+PAIRWISE = 8
+HEADS, PROBES = 2, 2
 
 
 def _shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -155,23 +155,30 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _split_buckets(member: DataFrame, labels: DataFrame | None) -> DataFrame:
-    """(bucket, vid, n, comp, size) of buckets with several components; buckets with equal members are one."""
-    placed = member.select("bucket", "vid", "n", F.col("vid").alias("comp"))
+    """(bucket, vid, n, pos, comp, size) of buckets with several components; buckets with equal members are one."""
+    placed = member.select("bucket", "vid", "n", "pos", F.col("vid").alias("comp"))
     if labels is not None:
-        placed = member.join(labels, member.vid == labels.id, "left").select("bucket", "vid", "n", F.coalesce("label", "vid").alias("comp"))
+        placed = member.join(labels, member.vid == labels.id, "left").select("bucket", "vid", "n", "pos", F.coalesce("label", "vid").alias("comp"))
     facts = placed.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.count(F.lit(1)).alias("size"), F.bit_xor(F.xxhash64("vid")).alias("x1"), F.bit_xor(F.xxhash64(F.lit(5), "vid")).alias("x2"))
     facts = facts.filter("lo < hi").select("bucket", "size", F.xxhash64("size", "x1", "x2").alias("same"))
-    return written(placed.join(facts, "bucket").select(F.col("same").alias("bucket"), "vid", "n", "comp", "size").distinct(), "split")
+    return written(placed.join(facts, "bucket").groupBy(F.col("same").alias("bucket"), "vid", "n", "comp", "size").agg(F.min("pos").alias("pos")), "split")
 
 
 def _pairs(member: DataFrame, percent: int, seed: int, most: int = PAIRWISE) -> DataFrame:
-    """(a, b): the pairs to compare, all of buckets of up to `most` classes and those with the heads of larger ones."""
-    open_ = (F.col("x.comp") != F.col("y.comp")) & ((100 * F.least("x.n", "y.n")) >= (percent * F.greatest("x.n", "y.n")))
+    """(a, b): the pairs to compare, all of buckets of up to `most` classes and some with the heads of larger ones.
+
+    pos is the number of shingles in front of the bucket's in the set's order: with it as the first one in common, no more
+    than n - pos can be.
+    """
+    can = F.least(F.col("x.n") - F.col("x.pos"), F.col("y.n") - F.col("y.pos")) * (100 + percent) >= percent * (F.col("x.n") + F.col("y.n"))
+    open_ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.comp") != F.col("y.comp")) & can
     small, large = member.filter(F.col("size") <= most), member.filter(F.col("size") > most)
-    each = small.alias("x").join(small.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.vid") < F.col("y.vid")) & open_)
-    heads = [F.min(F.struct(F.xxhash64(F.lit(seed * HEADS + k), "vid"), "vid", "n", "comp")) for k in range(HEADS)]
-    heads = large.groupBy("bucket").agg(F.array_distinct(F.array(*heads)).alias("heads")).select("bucket", F.explode("heads").alias("h")).select("bucket", "h.vid", "h.n", "h.comp")
-    stars = large.alias("x").join(heads.alias("y"), (F.col("x.bucket") == F.col("y.bucket")) & open_)
+    each = small.alias("x").join(small.alias("y"), open_ & (F.col("x.vid") < F.col("y.vid")))
+    heads = [F.min(F.struct(F.xxhash64(F.lit(seed * HEADS + k), "vid"), "vid", "n", "pos", "comp")) for k in range(HEADS)]
+    heads = large.groupBy("bucket").agg(F.array_distinct(F.array(*heads)).alias("heads")).select("bucket", F.explode("heads").alias("h")).select("bucket", "h.vid", "h.n", "h.pos", "h.comp")
+    place = F.struct(F.xxhash64(F.lit(seed), "bucket"), "bucket", "n", "pos", "comp")
+    tried = large.groupBy("vid").agg(F.array_distinct(F.array(F.min(place), F.max(place))).alias("two")).select("vid", F.explode("two").alias("t")).select("vid", "t.bucket", "t.n", "t.pos", "t.comp")
+    stars = tried.alias("x").join(heads.alias("y"), open_)
     ends = [F.least("x.vid", "y.vid").alias("a"), F.greatest("x.vid", "y.vid").alias("b")]
     return each.select(*ends).union(stars.select(*ends)).distinct()
 
@@ -190,13 +197,13 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _prefix_buckets(member: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """(bucket, vid, n): the classes of member by the shingles of their prefixes."""
+    """(bucket, vid, n, pos): the classes of member by the shingles of their prefixes."""
     who = member.select("vid").distinct()
     rows = written(sets.join(who, "vid", "left_semi").mapInArrow(_shingles, "vid long, g long"), "shingles")
     counts = rows.groupBy("g").agg(F.count(F.lit(1)).alias("df"))
     ordered = rows.join(counts, "g").groupBy("vid").agg(F.sort_array(F.collect_list(F.struct("df", "g"))).alias("own"), F.count(F.lit(1)).alias("n"))
     first = F.slice("own", F.lit(1), (F.col("n") - F.ceil(F.col("n") * percent / 100) + 1).cast("int"))
-    return ordered.select("vid", "n", F.explode(F.filter(first, lambda s: s.df > 1)).alias("s")).select(F.col("s.g").alias("bucket"), "vid", "n")
+    return ordered.select("vid", "n", F.posexplode(first).alias("pos", "s")).filter("s.df > 1").select(F.col("s.g").alias("bucket"), "vid", "n", "pos")
 
 
 def _sets_of(docs: DataFrame, classes: DataFrame, member: DataFrame, width: int) -> DataFrame:
@@ -216,7 +223,7 @@ def _closed(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Da
             return labels
         return components(links if labels is None else labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(links))
 
-    rest = classes.select(F.explode("bands").alias("bucket"), "vid", "n")
+    rest = classes.select(F.explode("bands").alias("bucket"), "vid", "n", F.lit(0).alias("pos"))
     for k in range(2 * PROBES + 1):
         rest = _split_buckets(rest, labels)
         if rest.isEmpty():
