@@ -8,11 +8,11 @@ Groups are not compared pair by pair:
 1. documents with equal shingle sets are one class (a hash aggregate);
 2. in a bucket of at most PAIRWISE classes all pairs are compared, at most PAIRWISE / 2 for each class. Of its larger buckets,
    a class takes two and is compared with HEADS randomly chosen classes of each; confirmed links are closed to components,
-   and buckets whose classes are then one component are done. PROBES rounds of this settle groups in which many pairs link;
+   and buckets whose classes are then one component are done. This settles most of a group in which many pairs link;
 3. classes of large buckets that are still in several components get new buckets by prefix filtering: with the shingles of
    a set in order of document frequency, rarest first, two sets with similarity percent / 100 share one of their first
    |x| - ceil(percent * |x| / 100) + 1. Passages that many documents share come last in that order, so texts that have only
-   such a passage in common part here. 2. is repeated on these buckets, and only pairs that are then still in one bucket, in
+   such a passage in common part here. 2. is repeated PROBES times on these buckets, and only pairs that are then still in one bucket, in
    different components, and whose sizes and positions of the shared shingle allow a link are compared one by one.
 So no link within a bucket is lost, and nothing is capped.
 """
@@ -34,7 +34,7 @@ from pulseframe.llm.scratch import written
 BANDS, ROWS = 40, 6
 #: Up to this size a bucket's pairs are compared directly; larger buckets go by heads. Both ways are exact.
 PAIRWISE = 8
-HEADS, PROBES = 2, 2
+HEADS, PROBES = 1, 2
 
 
 def _shingle_sets(data: np.ndarray, offsets: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -224,15 +224,15 @@ def _closed(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Da
         return components(links if labels is None else labels.select(F.col("id").alias("a"), F.col("label").alias("b")).union(links))
 
     rest = classes.select(F.explode("bands").alias("bucket"), "vid", "n", F.lit(0).alias("pos"))
-    for k in range(2 * PROBES + 1):
+    for k in range(PROBES + 2):
         rest = _split_buckets(rest, labels)
         if rest.isEmpty():
             break
         if sets is None:
             sets = _sets_of(docs, classes, rest, width)
-        if k == PROBES:
+        if k == 1:
             rest = _split_buckets(_prefix_buckets(rest, sets, percent), labels)
-        last = k == 2 * PROBES
+        last = k == PROBES + 1
         labels = linked(_pairs(rest, percent, k, most=1 << 60 if last else PAIRWISE))
         rest = rest.filter(F.col("size") > PAIRWISE)
     return classes.limit(0).select(F.col("vid").alias("id"), F.col("vid").alias("label")) if labels is None else labels
