@@ -6,6 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
 ORACLE_SQL: dict[str, str] = {}
 FLAGSHIP = "g9_features_long"
+
+
+def query(sql: str | None = None) -> Callable[[Query], Query]:
+    """Registers a function under its name, with the DuckDB SQL of the same rows if there is one."""
+
+    def register(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql is not None:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return register
+
+
+# ruff: noqa: E402
+from pulseframe.plans import cardiac, features, rr, signals, speech, vectors
+
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "cardiac", "features", "query", "rr", "signals", "speech", "vectors"]
