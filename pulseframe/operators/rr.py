@@ -71,7 +71,7 @@ def correct_peaks(peaks: DataFrame, fs: float, n_iterations: int = 1) -> DataFra
     """peaks(session_id, idx) after each round of dropping the peak that follows an extra one and filling in missed ones."""
     for _ in range(n_iterations):
         for kind in ("extra", "missed"):
-            ordered = peaks.withColumn("after", F.lead("idx").over(ordered()))
+            followed = peaks.withColumn("after", F.lead("idx").over(ordered()))
             found = artefacts(rr_from_peaks(peaks, fs).filter("rr_ms is not null").select("session_id", "idx", "rr_ms")).filter(kind).select("session_id", "idx")
             if kind == "extra":
                 gone = followed.join(found, ["session_id", "idx"], "left_semi").select("session_id", F.col("after").alias("idx"))
