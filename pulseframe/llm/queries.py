@@ -13,8 +13,9 @@ from pulseframe.llm.line_dedup import dedup_lines
 from pulseframe.llm.mixing import mix
 from pulseframe.llm.near_dup import near_duplicates
 from pulseframe.llm.quotes import link_quotes
+from pulseframe.llm.scratch import new_path
 from pulseframe.llm.sharding import shard
-from pulseframe.llm.token_shards import training_order
+from pulseframe.llm.token_shards import stored_order
 from pulseframe.llm.url_filter import filter_urls, rules_frame
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -76,8 +77,8 @@ def op4_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query
 def op6_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every token sequence of the documents with its global slot, its place in the shard files and a digest of its tokens."""
-    out = training_order(table(spark, sf_dir, "documents"))
+    """Every token sequence of the documents with its global slot, its place in the shard files and a digest of its tokens as the shard files hold them."""
+    out = stored_order(table(spark, sf_dir, "documents"), new_path(spark, "shards"))
     return out.select("slot", "shard", "offset", "doc_id", "chunk", "n_tokens", F.sha2("tokens", 256).alias("tokens_sha256"))
 
 

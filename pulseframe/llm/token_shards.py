@@ -3,7 +3,8 @@
 Texts become sequences of at most `length` token ids. A keyed Feistel network permutes 0..N-1, walking its cycles until the
 number is below N, and so gives every sequence one global slot; slot div per_shard is its shard. One exchange deals slots to
 shards, ranges of exactly per_shard slots, each is sorted, and a shard file holds fixed-stride records: the record of slot s
-starts at byte (s mod per_shard) * stride, so a reader resumes anywhere by arithmetic.
+starts at byte (s mod per_shard) * stride, so a reader resumes anywhere by arithmetic. Tokens are packed until they are
+written, and shards are dealt in a few waves, so that one wave at a time is in exchange files beside the packed tokens and the shards.
 """
 
 from __future__ import annotations
@@ -12,15 +13,16 @@ import base64
 import struct
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 from functools import lru_cache, partial
 
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm.scratch import written
+from pulseframe.llm.scratch import new_path, written
 
 #: The pre-tokenisation pattern that belongs to the byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -28,6 +30,8 @@ VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
 END = 50256  # free in that vocabulary: ends a document, and pads the records' rest
 LENGTH, PER_SHARD = 1024, 8192
 _ROUNDS = 6
+_WAVES = 4
+_CODEC = "zstd"
 
 
 @lru_cache(maxsize=1)
@@ -40,7 +44,7 @@ def _encoding(vocabulary: str):  # noqa: ANN202
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch], vocabulary: str, length: int) -> Iterator[pa.RecordBatch]:
-    encoding, part, k = _encoding(vocabulary), TaskContext.get().partitionId(), 0
+    encoding, codec, part, k = _encoding(vocabulary), pa.Codec(_CODEC), TaskContext.get().partitionId(), 0
     for batch in batches:
         for first in range(0, batch.num_rows, 256):
             rows = batch.slice(first, 256)
@@ -52,7 +56,7 @@ def _tokenised(batches: Iterator[pa.RecordBatch], vocabulary: str, length: int)
                     ids.append(doc_id)
                     chunks.append(c)
                     sizes.append(len(own))
-                    blobs.append(own.astype("<u2").tobytes())
+                    blobs.append(codec.compress(own.astype("<u2").tobytes(), asbytes=True))
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(chunks, pa.int32()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary()), pa.array([part] * len(ids), pa.int32()), pa.array(range(k, k + len(ids)), pa.int64())],
                 names=["doc_id", "chunk", "n_tokens", "tokens", "part", "k"],
@@ -80,23 +84,26 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
-def _slotted(batches: Iterator[pa.RecordBatch], offsets: dict[int, int], n: int, key: int, per_shard: int, stride: int) -> Iterator[pa.RecordBatch]:
+def _slotted(batches: Iterator[pa.RecordBatch], offsets: dict[int, int], n: int, key: int, per_shard: int, stride: int, first: int, after: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         if not batch.num_rows:
             continue
         start = np.array([offsets[p] for p in batch.column("part").to_pylist()], np.int64)
         slot = permute(start + np.asarray(batch.column("k")), n, key)
         shard, at = slot // per_shard, slot % per_shard
-        yield pa.RecordBatch.from_arrays([pa.array(slot), pa.array(shard.astype(np.int32)), pa.array(at * stride), *(batch.column(c) for c in ("doc_id", "chunk", "n_tokens", "tokens"))], names=["slot", "shard", "offset", "doc_id", "chunk", "n_tokens", "tokens"])
+        out = pa.RecordBatch.from_arrays([pa.array(slot), pa.array(shard.astype(np.int32)), pa.array(at * stride), *(batch.column(c) for c in ("doc_id", "chunk", "n_tokens", "tokens"))], names=["slot", "shard", "offset", "doc_id", "chunk", "n_tokens", "tokens"])
+        yield out.filter(pa.array((shard >= first) & (shard < after)))
 
 
-def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 20240607) -> DataFrame:
-    """(slot, shard, offset, doc_id, chunk, n_tokens, tokens): every sequence of docs(doc_id, text), in partitions of one shard each, by slot.
+def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec(_CODEC)
+    for batch in batches:
+        blobs = [codec.decompress(blob.as_buffer(), 2 * n, asbytes=True) for blob, n in zip(batch.column("tokens"), batch.column("n_tokens").to_pylist(), strict=True)]
+        yield batch.set_column(batch.schema.get_field_index("tokens"), "tokens", pa.array(blobs, pa.binary()))
 
-    tokens are little-endian 16-bit ids; each document ends with the END id. Null and empty texts are one sequence of END
-    alone. Repeated rows are sequences of their own. Before the permutation, sequences are numbered by input partition
-    and row, so the order depends on the input's order and the key. Only one count for each input partition and no token comes to the driver.
-    """
+
+def _orders(docs: DataFrame, vocabulary: str, length: int, per_shard: int, key: int, waves: int) -> Iterator[DataFrame]:
+    """training_order's rows in at most `waves` frames, each of a range of shards."""
     table = written(docs.select("doc_id", "text").mapInArrow(partial(_tokenised, vocabulary=vocabulary, length=length), "doc_id long, chunk int, n_tokens int, tokens binary, part int, k long"), "tokens")
     counts = {r.part: r.n for r in table.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, n = {}, 0
@@ -104,33 +111,56 @@ def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int =
         offsets[part] = n
         n += counts[part]
     schema = "slot long, shard int, offset long, doc_id long, chunk int, n_tokens int, tokens binary"
-    dealt = table.mapInArrow(partial(_slotted, offsets=offsets, n=n, key=key, per_shard=per_shard, stride=2 * length), schema)
-    return dealt.repartitionById(max(1, -(-n // per_shard)), F.col("shard")).sortWithinPartitions("slot")
+    shards = max(1, -(-n // per_shard))
+    step = -(-shards // waves)
+    for first in range(0, shards, step):
+        after = min(shards, first + step)
+        dealt = table.mapInArrow(partial(_slotted, offsets=offsets, n=n, key=key, per_shard=per_shard, stride=2 * length, first=first, after=after), schema)
+        yield dealt.repartitionById(after - first, F.col("shard") - first).sortWithinPartitions("slot").mapInArrow(_unpacked, schema)
+
+
+def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 20240607) -> DataFrame:
+    """(slot, shard, offset, doc_id, chunk, n_tokens, tokens): every sequence of docs(doc_id, text), in partitions of one shard each, by slot.
+
+    tokens are little-endian 16-bit ids; each document ends with the END id. Null and empty texts are one sequence of END
+    alone. Repeated rows are sequences of their own. Before the permutation, sequences are numbered by input partition
+    and row, so the order depends on the input's order and the key. Only one count for each input partition and no token comes to the driver.
+    """
+    return next(_orders(docs, vocabulary, length, per_shard, key, waves=1))
 
 
-def _write(batches: Iterator[pa.RecordBatch], out: str, length: int, per_shard: int) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], out: str, length: int) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
     store, base = fs.FileSystem.from_uri(out)
-    done: list[tuple[int, int, int]] = []
-    current, sink, name, records, tokens = None, None, "", 0, 0
+    current, sink, name = None, None, ""
 
     def close() -> None:
         if sink is not None:
             sink.close()
             store.move(name, f"{base}/shard-{current:06d}.bin")
-            done.append((current, records, tokens))
 
     for batch in batches:
         for shard, n, blob in zip(batch.column("shard").to_pylist(), batch.column("n_tokens").to_pylist(), batch.column("tokens"), strict=True):
             if shard != current:
                 close()
-                current, records, tokens, name = shard, 0, 0, f"{base}/.{uuid.uuid4().hex}"
+                current, name = shard, f"{base}/.{uuid.uuid4().hex}"
                 sink = store.open_output_stream(name)
             sink.write(blob.as_buffer().to_pybytes() + struct.pack("<H", END) * (length - n))
-            records, tokens = records + 1, tokens + n
+        yield batch.select(["slot", "shard", "doc_id", "chunk", "n_tokens"])
     close()
-    yield pa.RecordBatch.from_arrays([pa.array([d[0] for d in done], pa.int32()), pa.array([d[1] for d in done], pa.int64()), pa.array([d[2] for d in done], pa.int64())], names=["shard", "records", "tokens"])
+
+
+def _index(ordered: DataFrame, out: str, length: int, path: str) -> None:
+    """Writes the shards of training_order's rows under `out` and appends (slot, shard, doc_id, chunk, n_tokens) of their records to the table `path`."""
+    from pyarrow import fs
+
+    store, base = fs.FileSystem.from_uri(out)
+    store.create_dir(base, recursive=True)
+    ordered.mapInArrow(partial(_write, out=out, length=length), _INDEX).write.mode("append").parquet(path)
+
+
+_INDEX = "slot long, shard int, doc_id long, chunk int, n_tokens int"
 
 
 def write_shards(ordered: DataFrame, out: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
@@ -138,11 +168,64 @@ def write_shards(ordered: DataFrame, out: str, length: int = LENGTH, per_shard:
 
     A task writes under a temporary name and moves the whole shard, so a repeated task only replaces a shard by an equal one.
     """
+    path = new_path(ordered.sparkSession, "manifest")
+    _index(ordered, out, length, path)
+    return ordered.sparkSession.read.schema(_INDEX).parquet(path).groupBy("shard").agg(F.count(F.lit(1)).alias("records"), F.sum("n_tokens").alias("tokens"))
+
+
+@contextmanager
+def _exchange_files_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it, exchange files go as soon as the action that made them has ended."""
+    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "true")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
+def _read(batches: Iterator[pa.RecordBatch], out: str, length: int, per_shard: int) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
     store, base = fs.FileSystem.from_uri(out)
-    store.create_dir(base, recursive=True)
-    return written(ordered.select("shard", "n_tokens", "tokens").mapInArrow(partial(_write, out=out, length=length, per_shard=per_shard), "shard int, records long, tokens long"), "manifest")
+    current, source, stride = None, None, 2 * length
+    for batch in batches:
+        offsets, sizes, blobs = [], [], []
+        for slot in batch.column("slot").to_pylist():
+            shard, at = slot // per_shard, slot % per_shard * stride
+            if shard != current:
+                if source is not None:
+                    source.close()
+                current, source = shard, store.open_input_file(f"{base}/shard-{shard:06d}.bin")
+            record = source.read_at(stride, at)
+            if len(record) != stride:
+                raise ValueError(f"shard {shard} ends before the record of slot {slot}")
+            ends = np.flatnonzero(np.frombuffer(record, "<u2") == END)
+            n = int(ends[0]) + 1 if len(ends) else length
+            offsets.append(at)
+            sizes.append(n)
+            blobs.append(record[: 2 * n])
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("slot"), batch.column("shard"), pa.array(offsets, pa.int64()), batch.column("doc_id"), batch.column("chunk"), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary())],
+            names=["slot", "shard", "offset", "doc_id", "chunk", "n_tokens", "tokens"],
+        )
+    if source is not None:
+        source.close()
+
+
+def stored_order(docs: DataFrame, out: str, vocabulary: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 20240607) -> DataFrame:
+    """training_order's rows after all shards have been written under the URI `out`: offset, n_tokens and tokens as read back from the shard files.
+
+    doc_id and chunk come from the index that is kept beside the shards. A record's tokens end at its first END, as no text has one.
+    """
+    spark = docs.sparkSession
+    path = new_path(spark, "index")
+    with _exchange_files_dropped(spark):
+        for ordered in _orders(docs, vocabulary, length, per_shard, key, _WAVES):
+            _index(ordered, out, length, path)
+    schema = "slot long, shard int, offset long, doc_id long, chunk int, n_tokens int, tokens binary"
+    return spark.read.schema(_INDEX).parquet(path).mapInArrow(partial(_read, out=out, length=length, per_shard=per_shard), schema)
 
 
 def read_record(out: str, slot: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> np.ndarray:
