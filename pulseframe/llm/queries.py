@@ -34,7 +34,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 @query
 def op1_quotation_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every message without its quotes, linked to what it quotes, in reply order."""
-    return link_quotes(table(spark, sf_dir, "conversations"))
+    return link_quotes(table(spark, sf_dir, "conversations"), min_chars=1)
 
 
 @query

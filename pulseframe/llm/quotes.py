@@ -2,8 +2,9 @@
 
 Lines that start with '>' marks are quotes; consecutive lines of one depth are a passage. Passages and the messages' own
 bodies, paragraphs and lines are normalised and hashed; an equi-join on (conversation, hash) links each passage to the
-message it quotes, and with it the reply to its parent. Conversations are then rebuilt in reply order, without quotes.
-Column expressions only.
+message it quotes, and with it the reply to its parent. What finds no such piece is looked for as a run of words: each
+message offers its runs of as many words as an open passage of its conversation has. Conversations are then rebuilt in
+reply order, without quotes. Column expressions, but for the hashes of the runs.
 
 No conversation is ever gathered in one task. Orders within a key are made by a range partition on (key, order): the rows of
 a key that share a partition are numbered there, and the partitions' counts, one row for each key and partition, give the
@@ -12,14 +13,17 @@ offsets. Reply order is a list ranking of the reply tree's Euler tour by pointer
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.llm.scratch import checkpointed, parallelism, written
 
 _MARKS = r"^[ \t]*((?:>[ \t]?)+)"
+_WORD = r"[\p{L}\p{M}\p{N}_]+|[^\s\x{A0}]"
 
 
 def _let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -96,7 +100,8 @@ def link_quotes(messages: DataFrame, min_chars: int = 8) -> DataFrame:
     a reply with all of its own replies before its next sibling, siblings by turn).
 
     A passage links to the latest earlier message of its conversation that has it as its whole body, a paragraph, or a line,
-    all normalised; pieces of fewer than `min_chars` characters only link as whole bodies. parent_turn is the message that the
+    all normalised; where there is none, to the latest that has its words and signs in a row anywhere (some lines or
+    paragraphs, a sentence, a part of a line). Passages of fewer than `min_chars` characters only link as whole bodies. parent_turn is the message that the
     first linked passage of depth 1 quotes, else the message before. Deeper passages are linked too and count, but do not
     choose the parent. Null, empty and blank texts have an empty body and no quotes, and blank passages are none. Repeated rows
     of a (conv_id, turn) stay rows of their own, are one message in the tree and share its place; the latest of their links
@@ -125,27 +130,100 @@ def link_quotes(messages: DataFrame, min_chars: int = 8) -> DataFrame:
 def _links(rows: DataFrame, min_chars: int) -> DataFrame:
     """(conv_id, turn, who, n_quotes, n_linked, max_depth, first) of the messages with quotes."""
     quotes = rows.filter(F.size("quotes") > 0).select("conv_id", "turn", "who", F.posexplode("quotes").alias("at", "q"))
-    quotes = quotes.select("conv_id", "turn", "who", "at", "q.depth", F.sha2(_normal(F.col("q.body")), 256).alias("hash")).distinct()
+    quotes = quotes.select("conv_id", "turn", "who", "at", "q.depth", _normal(F.col("q.body")).alias("said")).withColumn("hash", F.sha2("said", 256)).distinct()
     asked = quotes.select("conv_id", "hash", "turn").distinct()
     pieces = F.array_distinct(F.concat(F.array("body"), F.filter(F.concat(F.split("body", r"\n\s*\n", -1), F.split("body", r"\n", -1)), lambda p: F.length(_normal(p)) >= min_chars)))
     # only conversations with quotes offer passages, and only those that are asked for go on
     offering = rows.filter("turn is not null and body <> ''").alias("r").join(asked.select("conv_id").distinct().alias("a"), _same("r", "a", "conv_id"), "left_semi")
     offers = offering.select("conv_id", "turn", F.explode(pieces).alias("p")).select("conv_id", "turn", F.sha2(_normal(F.col("p")), 256).alias("hash"))
-    wanted = asked.select("conv_id", "hash").distinct()
-    offers = offers.alias("o").join(wanted.alias("w"), _same("o", "w", "conv_id", "hash"), "left_semi").distinct()
-    # at one turn, questions come before offers: a message does not quote itself
-    moment = lambda kind: F.struct(F.col("turn").isNotNull().alias("set"), F.col("turn").alias("t"), F.lit(kind).alias("kind"))
-    both = offers.select("conv_id", "hash", moment(1).alias("moment"), "turn", F.col("turn").alias("source")).unionByName(
-        asked.select("conv_id", "hash", moment(0).alias("moment"), "turn", F.lit(None).cast(rows.schema["turn"].dataType).alias("source"))
-    )
-    answers = _latest(both, ["conv_id", "hash"], "moment", "source", "found").filter("moment.kind = 0").select("conv_id", "hash", "turn", "found")
+    answers = _answers(asked, offers, ["conv_id", "hash"])
     linked = quotes.alias("q").join(answers.alias("a"), _same("q", "a", "conv_id", "hash", "turn")).select("q.*", "a.found")
+    linked = written(linked, "pieces")
+    runs = linked.filter(F.col("found").isNull() & (F.length("said") >= min_chars)).select("conv_id", "hash", "turn", "said").distinct()
+    if not runs.isEmpty():
+        inside = _run_answers(runs, offering).withColumnRenamed("found", "inside")
+        linked = linked.alias("q").join(inside.alias("a"), _same("q", "a", "conv_id", "hash", "turn"), "left").select("q.conv_id", "q.turn", "q.who", "q.at", "q.depth", F.coalesce("q.found", "a.inside").alias("found"))
     return linked.groupBy("conv_id", "turn", "who").agg(
         F.count(F.lit(1)).alias("n_quotes"), F.count("found").alias("n_linked"), F.max("depth").alias("max_depth"),
         F.min(F.when((F.col("depth") == 1) & F.col("found").isNotNull(), F.struct("at", "found"))).alias("first"),
     )
 
 
+def _answers(asked: DataFrame, offers: DataFrame, key: list[str]) -> DataFrame:
+    """(key, turn, found) of asked(key, turn), unique: the latest earlier turn that offers the key, of offers(key, turn)."""
+    wanted = asked.select(*key).distinct()
+    offers = offers.alias("o").join(wanted.alias("w"), _same("o", "w", *key), "left_semi").distinct()
+    # at one turn, questions come before offers: a message does not quote itself
+    moment = lambda kind: F.struct(F.col("turn").isNotNull().alias("set"), F.col("turn").alias("t"), F.lit(kind).alias("kind"))
+    both = offers.select(*key, moment(1).alias("moment"), "turn", F.col("turn").alias("source")).unionByName(
+        asked.select(*key, moment(0).alias("moment"), "turn", F.lit(None).cast(asked.schema["turn"].dataType).alias("source"))
+    )
+    return _latest(both, key, "moment", "source", "found").filter("moment.kind = 0").select(*key, "turn", "found")
+
+
+def _mixed(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    x = a * np.uint64(0x9E3779B97F4A7C15) + b
+    for k in (0xBF58476D1CE4E5B9, 0x94D049BB133111EB):
+        x = (x ^ (x >> np.uint64(31))) * np.uint64(k)
+    return x ^ (x >> np.uint64(32))
+
+
+def _run_hashes(words: np.ndarray, sizes: list[int]) -> Iterator[tuple[int, np.ndarray]]:
+    """(n, hashes) of all runs of n words, for each n of sizes: that of n words from the two runs of the largest power of 2 that begin and end it."""
+    level, k = words, 1
+    for n in sorted(sizes):
+        if n > len(words):
+            break
+        while 2 * k <= n:
+            level, k = _mixed(level[:-k], level[k:]), 2 * k
+        count = len(words) - n + 1
+        yield n, _mixed(level[:count], level[n - k : n - k + count])
+
+
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The other columns, once for each different run of words of one of the row's sizes, with the run's size and two hashes."""
+    for batch in batches:
+        kept = batch.select([c for c in batch.schema.names if c not in ("one", "two", "sizes")])
+        found, held = [], 0
+
+        def out(found: list[tuple[int, int, np.ndarray, np.ndarray]], kept: pa.RecordBatch = kept) -> pa.RecordBatch:
+            at = np.concatenate([np.full(len(x), i, np.int64) for i, _, x, _ in found])
+            n = np.concatenate([np.full(len(x), n, np.int32) for _, n, x, _ in found])
+            one, two = (np.concatenate([f[k] for f in found]).view(np.int64) for k in (2, 3))
+            return pa.RecordBatch.from_arrays([*kept.take(pa.array(at)).columns, pa.array(n), pa.array(one), pa.array(two)], names=[*kept.schema.names, "n", "h1", "h2"])
+
+        for i in range(batch.num_rows):
+            one, two = (np.asarray(batch.column(c)[i].values).view(np.uint64) for c in ("one", "two"))
+            sizes = batch.column("sizes")[i].as_py()
+            for (n, x), (_, y) in zip(_run_hashes(one, sizes), _run_hashes(two, sizes), strict=True):
+                x, first = np.unique(x, return_index=True)
+                found.append((i, n, x, y[first]))
+                held += len(x)
+                if held >= 1 << 16:
+                    yield out(found)
+                    found, held = [], 0
+        if found:
+            yield out(found)
+
+
+def _run_answers(asked: DataFrame, offering: DataFrame) -> DataFrame:
+    """(conv_id, hash, turn, found) of asked(conv_id, hash, turn, said): the latest earlier turn of offering(conv_id, turn, body) with the words of `said` in a row."""
+
+    def hashed(rows: DataFrame, *columns: str) -> DataFrame:
+        kept = rows.select(*columns, F.transform("words", lambda w: F.xxhash64(w)).alias("one"), F.transform("words", lambda w: F.xxhash64(F.lit(1), w)).alias("two"), "sizes")
+        types = ", ".join(f"`{c}` {rows.schema[c].dataType.simpleString()}" for c in columns)
+        return kept.mapInArrow(_runs, f"{types}, n int, h1 long, h2 long")
+
+    words = lambda text: F.regexp_extract_all(_normal(F.col(text)), F.lit(_WORD), 0)
+    asked = asked.withColumn("words", words("said")).withColumn("sizes", F.array(F.size("words")))
+    sizes = asked.select("conv_id", F.size("words").alias("n")).distinct().groupBy("conv_id").agg(F.collect_list("n").alias("sizes"))
+    questions = written(hashed(asked, "conv_id", "hash", "turn"), "open-passages")
+    texts = offering.alias("r").join(sizes.alias("s"), _same("r", "s", "conv_id")).select("r.conv_id", "r.turn", "s.sizes", words("r.body").alias("words"))
+    key = ["conv_id", "n", "h1", "h2"]
+    answers = _answers(questions.select(*key, "turn").distinct(), hashed(texts, "conv_id", "turn"), key)
+    return questions.alias("q").join(answers.alias("a"), _same("q", "a", *key, "turn")).select("q.conv_id", "q.hash", "q.turn", "a.found")
+
+
 def _reply_order(turns: DataFrame) -> DataFrame:
     """(conv_id, turn, parent_turn, depth, position) of turns(conv_id, turn, quoted), with quoted an earlier turn or null.
 
