@@ -5,7 +5,7 @@ sum(w * size) = target are exponentially tilted, w = min(cap, exp(lam * size / u
 dual, one equation a source: Newton steps, kept inside a bracket, whose sums Spark takes over a histogram of (source, size).
 Rates become whole copies by sequential Poisson sampling: a document's fraction is taken if its hash, divided by the
 fraction, is below the source's threshold, which is refined on exact token sums until it meets the target; the one document
-at the threshold is cut to the words that are left. Column expressions only; no group is ever gathered in one task.
+at the threshold counts with the words that are left; the mix itself takes it whole or leaves it. Column expressions only; no group is ever gathered in one task.
 """
 
 from __future__ import annotations
@@ -133,16 +133,13 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5,
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: int = 2, seed: int = 7) -> DataFrame:
-    """The mix itself: the rows of docs, all columns, as often as they are taken; a cut copy has the first words of its text only.
+    """The mix itself: the rows of docs, all columns, as often as they are taken, always with their whole text.
 
-    Of repeated rows (same doc_id and text) each is taken as often as any of them.
+    The one document a source that mix takes in part is taken whole if that comes at least as near to the target, else it is
+    left. Of repeated rows (same doc_id and text) each is taken as often as any of them.
     """
-    plan = mix(docs, weights, share, cap, seed).filter("taken > 0").groupBy(F.col("doc_id").alias("id"), F.col("h").alias("hh")).agg(F.max("copies").alias("copies"), F.max("part").alias("part"))
+    copies = F.col("copies") + F.when((F.col("part") > 0) & (2 * F.col("part") >= F.col("size")), 1).otherwise(0)
+    plan = mix(docs, weights, share, cap, seed).groupBy(F.col("doc_id").alias("id"), F.col("h").alias("hh")).agg(F.max(copies).cast("int").alias("__copies")).filter("__copies > 0")
     keyed = docs.withColumn("__h", F.xxhash64(F.lit(seed), "doc_id", "text"))
     found = keyed.join(plan, keyed.doc_id.eqNullSafe(plan.id) & (keyed["__h"] == plan.hh))
-    several = F.concat(F.array_repeat(F.lit(0).cast("long"), F.col("copies").cast("int")), F.when(F.col("part") > 0, F.array("part")).otherwise(F.array().cast("array<bigint>")))
-    spread = found.withColumn("__part", F.explode(several))
-    head = F.regexp_extract("text", r"^[\x20\x09-\x0D]*", 0)
-    words = F.slice(F.filter(F.split("text", r"[\x20\x09-\x0D]+", -1), lambda w: w != ""), F.lit(1), F.col("__part").cast("int"))
-    text = F.when(F.col("__part") > 0, F.concat(head, F.array_join(words, " "))).otherwise(F.col("text"))
-    return spread.select(*(text.alias(c) if c == "text" else F.col(c) for c in docs.columns))
+    return found.withColumn("__copy", F.explode(F.array_repeat(F.lit(0), F.col("__copies")))).select(*docs.columns)
