@@ -123,8 +123,10 @@ def runs_of(df: DataFrame, flag: Column) -> DataFrame:
 
 
 def windows_of(df: DataFrame, steps: int, stride: int) -> DataFrame:
-    """(session_id, start, values): overlapping windows; the last possible start is left out."""
-    packed = df.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda s: s.value).alias("v"))
-    fits = packed.filter(F.size("v") - steps - 1 >= 0)
-    starts = fits.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("v") - steps - 1, F.lit(stride))))
-    return starts.select("session_id", F.col("start").cast("long").alias("start"), F.slice("v", F.col("start") + 1, F.lit(steps)).alias("values"))
+    """(session_id, start, values): overlapping windows; the last possible start is left out. Samples are dealt to the windows they lie in, never a session to one row."""
+    # a window's next sample goes along, so that the last possible start, which has none, is the one left incomplete
+    first = F.greatest(F.lit(0), F.ceil((F.col("idx") - steps) / F.lit(stride)) * stride).cast("long")
+    last = (F.floor(F.col("idx") / F.lit(stride)) * stride).cast("long")
+    dealt = df.filter(first <= last).select("session_id", F.explode(F.sequence(first, last, F.lit(stride).cast("long"))).alias("start"), F.struct("idx", "value").alias("s"))
+    packed = dealt.groupBy("session_id", "start").agg(F.array_sort(F.collect_list("s")).alias("own")).filter(F.size("own") == steps + 1)
+    return packed.select("session_id", "start", F.transform(F.slice("own", 1, steps), lambda s: s.value).alias("values"))
