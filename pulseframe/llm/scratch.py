@@ -1,20 +1,26 @@
-"""Intermediate tables in the folder that the cluster shares."""
+"""Intermediate tables in the folder that the cluster shares, and joins whose hot keys are spread."""
 
 from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Sequence
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's spark.checkpoint.dir; a new folder under /tmp only where that is unset (local tests)."""
+    """The session's spark.checkpoint.dir. Where that is unset, a new folder under /tmp in local mode (tests); on a cluster, which would lose it, an error."""
     found = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if found:
         return found.rstrip("/")
     jsc = spark.sparkContext._jsc.sc()
     if jsc.getCheckpointDir().isEmpty():
+        master = spark.sparkContext.master or ""
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="spark-", dir="/tmp"))
     return jsc.getCheckpointDir().get().rstrip("/")
 
@@ -27,12 +33,24 @@ def new_path(spark: SparkSession, name: str) -> str:
 def written(df: DataFrame, name: str) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: its lineage ends there, and lost executors recompute nothing above it.
 
-    The files stay until the folder is cleared: a lazy result may still need them.
+    The files stay until `forget` or until the folder is cleared: a lazy result may still need them.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._scratch_path = path
+    return out
+
+
+def forget(*tables: DataFrame | None) -> None:
+    """Deletes the files of written tables that no later step reads."""
+    for table in tables:
+        path = getattr(table, "_scratch_path", None)
+        if path:
+            spark = table.sparkSession
+            where = spark._jvm.org.apache.hadoop.fs.Path(path)
+            where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -43,3 +61,29 @@ def checkpointed(df: DataFrame) -> DataFrame:
 
 def parallelism(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def same(x: DataFrame | str, y: DataFrame | str, pairs: Sequence[tuple[str, str]]) -> Column:
+    """Null-safe equality of the column pairs of two frames or aliases."""
+    side = lambda t, c: F.col(f"{t}.{c}") if isinstance(t, str) else t[c]
+    return reduce(lambda a, b: a & b, (side(x, a).eqNullSafe(side(y, b)) for a, b in pairs))
+
+
+def spread_join(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight: str, how: str = "inner") -> DataFrame:
+    """rows joined with facts (inner or left, null-safe), facts being unique on the keys and `weight` the number of rows each key meets.
+
+    A key with more than 1 / (4 * partitions) of all rows would fill a task by itself. There are fewer than 4 * partitions of
+    such keys, so their facts are broadcast and their rows stay where they are; only the other rows are shuffled. The
+    columns are those of rows, then the facts' others without the weight.
+    """
+    hidden = [f"__{k}" for k in keys]
+    own = facts.select(*(F.col(k).alias(h) for k, h in zip(keys, hidden, strict=True)), *(c for c in facts.columns if c not in keys))
+    total = own.agg(F.sum(weight)).first()[0] or 0
+    limit = total / (4 * parallelism(rows.sparkSession))
+    hot, cold = own.filter(F.col(weight) > limit), own.filter(F.col(weight) <= limit)
+    on = lambda y: same(rows, y, list(zip(keys, hidden, strict=True)))
+    near = rows.join(F.broadcast(hot), on(hot))
+    names = hot.select(*hidden)
+    far = rows.join(F.broadcast(names), on(names), "left_anti")
+    far = far.join(cold, reduce(lambda a, b: a & b, (far[k].eqNullSafe(cold[h]) for k, h in zip(keys, hidden, strict=True))), how)
+    return near.unionByName(far).drop(*hidden, weight)

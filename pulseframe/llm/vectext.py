@@ -25,24 +25,19 @@ LOWER[ord("A") : ord("Z") + 1] += 32
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _BASE_INV = pow(_BASE, -1, 1 << 64)
-CHUNK_BYTES = 1 << 20
+_MASK = (1 << 64) - 1
+CHUNK_BYTES = 1 << 18
 
 
-@lru_cache(maxsize=2)
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    up = np.full(n, _BASE, np.uint64)
-    down = np.full(n, _BASE_INV, np.uint64)
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray]:
+    """The powers of the hash base modulo 2**64 and of its inverse, for spans of up to CHUNK_BYTES."""
+    up = np.full(CHUNK_BYTES + 1, _BASE, np.uint64)
+    down = np.full(CHUNK_BYTES + 1, _BASE_INV, np.uint64)
     up[0] = down[0] = 1
     return np.multiply.accumulate(up), np.multiply.accumulate(down)
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the hash base modulo 2**64 and of its inverse."""
-    size = max(CHUNK_BYTES, 1 << (n - 1).bit_length()) if n else CHUNK_BYTES
-    up, down = _powers(size)
-    return up[:n], down[:n]
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """The splitmix64 finaliser."""
     x = x ^ (x >> np.uint64(30))
@@ -90,14 +85,36 @@ def word_spans(data: np.ndarray, offsets: np.ndarray, gap: np.ndarray) -> tuple[
     return starts, ends, np.searchsorted(starts, offsets)
 
 
+def _long_hash(data: np.ndarray) -> int:
+    """The unmixed hash of one span of any length, piece by piece."""
+    up, _ = _powers()
+    total, front, turn = 0, 1, pow(_BASE, CHUNK_BYTES, 1 << 64)
+    for at in range(0, len(data), CHUNK_BYTES):
+        piece = data[at : at + CHUNK_BYTES]
+        total = (total + front * int(((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)]).sum(dtype=np.uint64))) & _MASK
+        front = front * turn & _MASK
+    return total
+
+
 def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of the bytes of each span."""
-    if not starts.size:
-        return np.zeros(0, np.uint64)
-    up, down = powers(data.size + 1)
-    total = np.zeros(data.size + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: data.size], out=total[1:])
-    return mix((total[ends] - total[starts]) * down[starts] + (ends - starts).astype(np.uint64))
+    """A 64-bit hash of the bytes of each span; starts ascend. Prefix sums cover CHUNK_BYTES at a time, so a long text needs no more memory than its spans."""
+    out = np.zeros(len(starts), np.uint64)
+    up, down = _powers()
+    first = 0
+    while first < len(starts):
+        base = int(starts[first])
+        last = int(np.searchsorted(ends, base + CHUNK_BYTES, side="right"))
+        if last <= first:
+            out[first] = _long_hash(data[base : ends[first]])
+            first += 1
+            continue
+        piece = data[base : ends[last - 1]]
+        total = np.zeros(len(piece) + 1, np.uint64)
+        np.cumsum((piece.astype(np.uint64) + np.uint64(1)) * up[: len(piece)], out=total[1:])
+        at = starts[first:last] - base
+        out[first:last] = (total[ends[first:last] - base] - total[at]) * down[at]
+        first = last
+    return mix(out + (ends - starts).astype(np.uint64))
 
 
 def by_row(values: np.ndarray, firsts: np.ndarray, ufunc: np.ufunc, empty: float) -> np.ndarray:
