@@ -7,7 +7,7 @@ import uuid
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -69,21 +69,38 @@ def same(x: DataFrame | str, y: DataFrame | str, pairs: Sequence[tuple[str, str]
     return reduce(lambda a, b: a & b, (side(x, a).eqNullSafe(side(y, b)) for a, b in pairs))
 
 
-def spread_join(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight: str, how: str = "inner") -> DataFrame:
+def spread_join(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight: str, how: str = "inner", small: int = 0) -> DataFrame:
     """rows joined with facts (inner or left, null-safe), facts being unique on the keys and `weight` the number of rows each key meets.
 
     A key with more than 1 / (4 * partitions) of all rows would fill a task by itself. There are fewer than 4 * partitions of
-    such keys, so their facts are broadcast and their rows stay where they are; only the other rows are shuffled. The
-    columns are those of rows, then the facts' others without the weight.
+    such keys, so their facts are broadcast and their rows stay where they are; only the other rows are shuffled. Of up to
+    `small` facts all are broadcast. The columns are those of rows, then the facts' others without the weight.
     """
     hidden = [f"__{k}" for k in keys]
     own = facts.select(*(F.col(k).alias(h) for k, h in zip(keys, hidden, strict=True)), *(c for c in facts.columns if c not in keys))
-    total = own.agg(F.sum(weight)).first()[0] or 0
-    limit = total / (4 * parallelism(rows.sparkSession))
+    total, n = own.agg(F.sum(weight), F.count(F.lit(1))).first()
+    on = lambda x, y: same(x, y, list(zip(keys, hidden, strict=True)))
+    if n <= small:
+        return rows.join(F.broadcast(own), on(rows, own), how).drop(*hidden, weight)
+    limit = (total or 0) / (4 * parallelism(rows.sparkSession))
     hot, cold = own.filter(F.col(weight) > limit), own.filter(F.col(weight) <= limit)
-    on = lambda y: same(rows, y, list(zip(keys, hidden, strict=True)))
-    near = rows.join(F.broadcast(hot), on(hot))
+    near = rows.join(F.broadcast(hot), on(rows, hot))
     names = hot.select(*hidden)
-    far = rows.join(F.broadcast(names), on(names), "left_anti")
-    far = far.join(cold, reduce(lambda a, b: a & b, (far[k].eqNullSafe(cold[h]) for k, h in zip(keys, hidden, strict=True))), how)
+    far = rows.join(F.broadcast(names), on(rows, names), "left_anti")
+    far = far.join(cold, on(far, cold), how)
     return near.unionByName(far).drop(*hidden, weight)
+
+
+def in_front(rows: DataFrame, order: Sequence[Column], **sums: Column) -> DataFrame:
+    """rows with the sum of each expression over the rows in front of it in the order, which is total; 0 for the first.
+
+    Ranges of the order are summed in their tasks; one row for each range gives the offsets.
+    """
+    dealt = written(rows.repartitionByRange(max(2, parallelism(rows.sparkSession)), *order).withColumn("range", F.spark_partition_id()), "ranges")
+    parts = dealt.groupBy("range").agg(*(F.sum(c).alias(f"{n}_0") for n, c in sums.items()))
+    ahead = Window.orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
+    parts = parts.select(F.col("range").alias("r"), *(F.coalesce(F.sum(f"{n}_0").over(ahead), F.lit(0)).alias(f"{n}_0") for n in sums))
+    local = Window.partitionBy("range").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    own = dealt.withColumns({n: F.coalesce(F.sum(c).over(local), F.lit(0)) for n, c in sums.items()})
+    joined = own.join(F.broadcast(parts), F.col("range") == F.col("r"))  # a row for each range
+    return joined.select(*rows.columns, *((F.col(n) + F.col(f"{n}_0")).alias(n) for n in sums))

@@ -5,19 +5,19 @@ candidate boundaries (a map-side combined aggregate, a bounded number of bins fo
 bins in which a wanted splitter still lies, until every splitter is within tolerance. First the bits of the hash are refined,
 so groups of equal texts stay whole; only a group that is larger than the tolerance is cut, by doc_id.
 
-Each shard is a run of finer ranges, as many in all as the session has shuffle partitions, so the exchange, the sort and the
-slot numbers are spread over the cluster and no task holds a shard. Column expressions only.
+Each shard is a run of finer ranges, as many in all as the session has shuffle partitions and one a task, so the exchange and
+the sort are spread over the cluster and no task holds a shard. A row's slot is its number in its sorted range plus the rows of the
+shard's ranges in front. Column expressions only.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseframe.llm.scratch import parallelism, written
+from pulseframe.llm.scratch import forget, parallelism, written
 
 _BITS = 8  # bits of the key that a round refines at each open splitter
 _FIRST = 14  # bits of the first round
@@ -132,26 +132,39 @@ def _range_of(rows: DataFrame, splitters: list[Splitter]) -> DataFrame:
     return found.withColumn("range", (F.coalesce("before", F.lit(0)) + F.size(F.filter(F.coalesce("own", F.array().cast("array<struct<h:bigint,id:bigint>>")), lambda s: s <= key))).cast("int")).drop("bin", "before", "own")
 
 
-def shard(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.01, carry: Sequence[str] = ()) -> DataFrame:
-    """(doc_id, h, size, text_crc32, shard, slot), one row for each row of docs(doc_id, text), and the columns of docs named in `carry`.
-
-    Only keys and sizes are written for the counting; carried columns are read again and move once, in the exchange. Other
-    columns are ignored; a carried one must not have the name of a result column.
-
-    Shards are consecutive ranges of (xxhash64(text), doc_id) with nearly equal bytes; slot numbers a shard's rows from 0 in
-    that order. Equal texts share a shard unless their group is too large for the tolerance. Rows with equal doc_id and text stay
-    together and are numbered in any order, as they are equal. Fewer rows than shards leave shards empty.
-    """
+def _placed(docs: DataFrame, n_shards: int, tolerance: float, *more: Column) -> DataFrame:
+    """keyed(docs, *more) with shard and slot."""
     keys = written(keyed(docs), "shard-keys")
-    whole = keyed(docs, F.struct(*carry).alias("carried")) if carry else keys
     finer = max(1, -(-parallelism(docs.sparkSession) // n_shards))
     splitters = find_splitters(keys, n_shards * finer, tolerance)
-    ranged = _range_of(whole, splitters)
-    rows = _range_of(keys, splitters).groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # one row a range
+    counts = _range_of(keys, splitters).groupBy("range").agg(F.count(F.lit(1)).alias("n"))  # one row a range
     shard_of = F.floor(F.col("range") / finer).cast("int")
     ahead = Window.partitionBy(shard_of).orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
-    starts = rows.select(F.col("range").alias("r"), shard_of.alias("shard"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start"))
-    local = Window.partitionBy("range").orderBy("h", "id")
-    numbered = ranged.withColumn("k", F.row_number().over(local) - 1)
-    placed = numbered.join(F.broadcast(starts), numbered.range == starts.r)  # n_shards * finer rows at most
-    return placed.select("doc_id", "h", "size", "text_crc32", "shard", (F.col("start") + F.col("k")).cast("long").alias("slot"), *(["carried.*"] if carry else []))
+    starts = written(counts.select(F.col("range").alias("r"), shard_of.alias("shard"), F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("start")), "starts")
+    forget(None if not more else keys)
+    ranged = _range_of(keyed(docs, *more) if more else keys, splitters)
+    dealt = ranged.repartitionById(n_shards * finer, F.col("range")).sortWithinPartitions("h", "id")  # a range is a partition
+    numbered = dealt.withColumn("k", F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1)))  # the number within the partition
+    placed = numbered.join(F.broadcast(starts), F.col("range") == F.col("r"))  # n_shards * finer rows at most
+    return placed.withColumn("slot", (F.col("start") + F.col("k")).cast("long"))
+
+
+def shard(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.01) -> DataFrame:
+    """(doc_id, h, size, text_crc32, shard, slot), one row for each row of docs(doc_id, text); other columns are ignored.
+
+    Shards are consecutive ranges of (xxhash64(text), doc_id) with nearly equal bytes; slot numbers a shard's rows from 0 in
+    that order. Equal texts share a shard unless their group is too large for the tolerance. Rows with equal doc_id and text stay
+    together and are numbered in any order, as they are equal. A null text counts as an empty one, a null doc_id as the smallest. Fewer rows than
+    shards leave shards empty; an empty table gives an empty result. A very long text is one row, and its shard is as much longer.
+    """
+    return _placed(docs, n_shards, tolerance).select("doc_id", "h", "size", "text_crc32", "shard", "slot")
+
+
+def sharded(docs: DataFrame, n_shards: int = 16, tolerance: float = 0.01) -> DataFrame:
+    """The rows of docs, all columns, with the shard and slot that `shard` gives them; columns of docs with these two names are replaced.
+
+    Only keys and sizes are written for the counting; the rows are read again and move once, in the exchange.
+    """
+    others = [c for c in docs.columns if c.lower() not in ("shard", "slot")]
+    out = _placed(docs, n_shards, tolerance, F.struct("*").alias("row"))
+    return out.select(*(F.col("row").getField(c).alias(c) for c in others), "shard", "slot")

@@ -13,7 +13,7 @@ from pulseframe.llm.decontam import drop_contaminated, find_contamination
 from pulseframe.llm.line_dedup import dedup_lines
 from pulseframe.llm.mixing import mix, mixed
 from pulseframe.llm.near_dup import drop_near_duplicates, near_duplicates
-from pulseframe.llm.sharding import shard
+from pulseframe.llm.sharding import shard, sharded
 from pulseframe.llm.token_shards import permute, read_record, training_order, write_shards
 from pulseframe.llm.url_filter import filter_urls, rules_frame
 
@@ -191,7 +191,7 @@ def test_sharding(docs, empty):
         slots[r.shard].append(r.slot)
         texts[r.h].add(r.shard)
     assert all(sorted(s) == list(range(len(s))) for s in slots.values()) and set(slots) <= set(range(4))
-    carried = shard(docs, 4, carry=["text", "lang"])
+    carried = sharded(docs, 4)
     assert {r.doc_id: r.text for r in carried.collect()} == {i: t for i, t, *_ in corpus()}
     assert shard(empty).count() == 0
 
