@@ -9,10 +9,10 @@ combined, and the result is a bitmap of dropped lines in 64-bit words; words wit
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from pulseframe.llm.scratch import parallelism, written
+from pulseframe.llm.scratch import forget, parallelism, spread_join, written
 
 _BLANK = " \t\n\x0b\x0c\r"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -43,9 +43,11 @@ def dropped_lines(docs: DataFrame, least_docs: int = 10, keep_first: bool = Fals
     rows = written(_line_rows(docs), "lines")
     n = max(parallelism(docs.sparkSession), 2)
     dealt = rows.select("h1", "h2", "doc_id", "pos").repartitionByRange(n, "h1", "h2", "doc_id").sortWithinPartitions("h1", "h2", "doc_id", "pos")
-    firsts = dealt.groupBy("h1", "h2", "doc_id").agg(F.min("pos").alias("pos"))
+    stream = Window.partitionBy("h1", "h2", "doc_id").orderBy("pos")  # as the rows lie: no further exchange or sort
+    firsts = dealt.withColumn("k", F.row_number().over(stream)).filter("k = 1")
     common = firsts.groupBy("h1", "h2").agg(F.count(F.lit(1)).alias("n_docs"), F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "pos")).alias("head")).filter(F.col("n_docs") >= least_docs)
-    lost = rows.join(common, ["h1", "h2"])
+    common = written(common.select("h1", "h2", "n_docs", "head"), "common-lines")
+    lost = spread_join(rows, common, ["h1", "h2"], "n_docs")
     if keep_first:
         lost = lost.filter(~(F.col("doc_id").eqNullSafe(F.col("head.doc_id")) & (F.col("pos") == F.col("head.pos"))))
     word = F.expr("pos div 64").cast("int")
@@ -53,10 +55,19 @@ def dropped_lines(docs: DataFrame, least_docs: int = 10, keep_first: bool = Fals
     return bits.groupBy("doc_id", "t").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("dropped"))
 
 
-def is_dropped(bitmap: Column, pos: Column) -> Column:
-    """Whether the bitmap, which may be null, has the position."""
-    bits = F.coalesce(F.element_at(bitmap, F.floor(pos / 64).cast("int")), F.lit(0).cast("long"))
-    return F.getbit(bits, F.pmod(pos, F.lit(64))) == 1
+def dense(bitmap: Column) -> Column:
+    """The bitmap's words from 0 to its last one as an array, in one pass; null stays null."""
+
+    def filled(entries: Column) -> Column:
+        gap = lambda e, i: e.key - F.coalesce(F.get(entries, i - 1).key, F.lit(-1)) - 1
+        return F.flatten(F.transform(entries, lambda e, i: F.concat(F.array_repeat(F.lit(0).cast("long"), gap(e, i)), F.array(e.value))))
+
+    return F.transform(F.array(F.sort_array(F.map_entries(bitmap))), filled)[0]
+
+
+def is_dropped(words: Column, pos: Column) -> Column:
+    """Whether a dense bitmap has the position."""
+    return F.getbit(F.coalesce(F.get(words, F.floor(pos / 64).cast("int")), F.lit(0).cast("long")), F.pmod(pos, F.lit(64))) == 1
 
 
 def dedup_lines(docs: DataFrame, least_docs: int = 10, keep_first: bool = False) -> DataFrame:
@@ -64,11 +75,14 @@ def dedup_lines(docs: DataFrame, least_docs: int = 10, keep_first: bool = False)
 
     Null and empty texts have one empty line, which stays. Rows that repeat a doc_id and text count as one document and all
     get its bitmap; rows of one doc_id with different texts count once for a key. A null doc_id counts as one document.
+    An empty table gives an empty result. A very long text is split and joined whole in its row's task.
     """
     lost = dropped_lines(docs, least_docs, keep_first)
     left = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
     joined = left.join(lost, left.doc_id.eqNullSafe(lost.doc_id) & (left.t == lost.t), "left").select(left.doc_id, "text", "dropped")
     lines = _lines(F.col("text"))
-    kept = F.when(F.col("dropped").isNull(), lines).otherwise(F.filter(lines, lambda _, i: ~is_dropped(F.col("dropped"), i)))
+    # the dense bitmap is bound once a row: inside the filter's lambda it would be made anew for each line
+    own = F.transform(F.array(F.struct(dense(F.col("dropped")).alias("words"), lines.alias("lines"))), lambda r: F.filter(r.lines, lambda _, i: ~is_dropped(r.words, i)))[0]
+    kept = F.when(F.col("dropped").isNull(), lines).otherwise(own)
     counted = joined.select("doc_id", F.size(lines).cast("long").alias("n_lines"), "dropped", kept.alias("kept"))
     return counted.select("doc_id", "n_lines", (F.col("n_lines") - F.size("kept")).alias("n_dropped"), "dropped", F.array_join("kept", "\n").alias("kept_text"))
