@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.llm.scratch import checkpointed, parallelism, written
 
-_MARKS = r"^[ \t]*((?:>[ \t]?)+)"
+_MARKS = r"^[ \t]*+((?:>[ \t]?+)++)"  # possessive: long runs of marks or blanks cost one pass
 _WORD = r"[\p{L}\p{M}\p{N}_]+|[^\s\x{A0}]"
 
 
@@ -42,7 +42,7 @@ def _normal(text: Column) -> Column:
 
 
 def _strip(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.btrim(text, F.lit(" \t\n\x0b\f\r"))
 
 
 def parse(text: Column) -> Column:
