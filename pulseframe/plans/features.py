@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from pulseframe.operators import catalog as G
 from pulseframe.operators import features as X
 from pulseframe.plans.registry import query
 from pulseframe.sources.tables import IMU_SQL, SAMPLES_SQL, imu, samples, table
@@ -50,12 +51,80 @@ def g20_pause_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("l_suppkey", F.round("l_quantity_mean", 4).alias("l_quantity_mean"), F.round("l_discount_mean", 4).alias("l_discount_mean"), F.round("pause_frac_mean", 6).alias("pause_frac_mean"))
 
 
-@query("SELECT c_custkey, n_name AS subgroup, r_name AS grp FROM customer LEFT JOIN nation ON c_nationkey = n_nationkey LEFT JOIN region ON n_regionkey = r_regionkey")
+#: The catalog, by rules of its own.
+_CATALOG_SQL = """em(e) AS (VALUES ('hap'), ('sad'), ('sur'), ('fea'), ('ang'), ('dis'), ('con')), lv(l) AS (VALUES ('soft'), ('hard')),
+au AS (SELECT unnest([1, 2, 4, 5, 6, 7, 9, 10, 12, 14, 15, 17, 20, 23, 25, 26, 45]) AS i), tm AS (SELECT unnest([5, 12, 8, 48, 54, 28, 51, 66, 57]) AS i),
+raws(grp, block, subgroup, raw, fs) AS (
+  SELECT 'facial', 1, 'facial_landmarks', printf('fac_LMK%02ddisp', i), ['mean', 'std'] FROM range(68) t(i)
+  UNION ALL SELECT 'facial', 1, 'action_units', printf('fac_AU%02dint', i), ['mean', 'std'] FROM au
+  UNION ALL SELECT 'facial', 1, 'emotional_expressivity', 'fac_' || e || 'int' || l, ['mean', 'std'] FROM em, lv
+  UNION ALL SELECT 'facial', 1, 'facial_asymmetry', 'fac_asymmask' || unnest(['mouth', 'eyebrow', 'eye', 'com']), ['mean', 'std']
+  UNION ALL SELECT 'facial', 2, 'action_units', printf('fac_AU%02dpres', i), ['pct'] FROM (SELECT i FROM au UNION ALL SELECT 28)
+  UNION ALL SELECT 'facial', 2, 'emotional_expressivity', 'fac_' || e || 'pres', ['pct'] FROM em
+  UNION ALL SELECT 'facial', 3, CASE p WHEN 'pai' THEN 'pain_expressivity' ELSE 'overall_expressivity' END, 'fac_' || p || 'int' || l, ['mean', 'std', 'pct'] FROM (SELECT unnest(['com', 'comlow', 'comupp', 'pai', 'pos', 'neg']) AS p), lv
+  UNION ALL SELECT 'acoustic', 1, CASE f WHEN 'ff' THEN 'fundamental_frequency' WHEN 'int' THEN 'audio_intensity' WHEN 'hnr' THEN 'hnr' ELSE 'formant_frequencies' END, 'aco_' || f, ['mean', 'std', 'range'] FROM (SELECT unnest(['ff', 'fm1', 'fm2', 'fm3', 'fm4', 'int', 'hnr']) AS f)
+  UNION ALL SELECT 'acoustic', 2, 'mfcc', 'aco_mfcc' || i, ['mean'] FROM range(1, 13) t(i)
+  UNION ALL SELECT 'movement', 1, 'head_movement', 'mov_' || unnest(['headvel', 'hposedist', 'hposepitch', 'hposeyaw', 'hposeroll']), ['mean', 'std']
+  UNION ALL SELECT 'movement', 1, 'eye_gaze', 'mov_' || unnest(['lefteyex', 'lefteyey', 'lefteyez', 'righteyex', 'righteyey', 'righteyez', 'leyedisp', 'reyedisp']), ['mean', 'std']
+  UNION ALL SELECT 'movement', 2, 'eye_blink', 'mov_eyeblink', ['count', 'dur_mean', 'dur_std']
+  UNION ALL SELECT 'acoustic_seg', 1, f, 'aco_' || f, ['mean', 'wmean', 'std', 'wstd'] FROM (SELECT unnest(['jitter', 'shimmer', 'gne']) AS f)
+  UNION ALL SELECT 'audio_seg', 1, 'vocal_tremor', 'mov_' || k || 'trem' || f, ['mean', 'wmean'] FROM (SELECT unnest(['freq', 'amp']) AS k), (SELECT unnest(['freq', 'index', 'pindex']) AS f)
+  UNION ALL SELECT 'audio_seg', 1, 'voice_prevalence', 'aco_voicepct', ['mean', 'wmean']
+  UNION ALL SELECT 'pause', 1, 'pause', 'aco_' || unnest(['pausetime', 'totaltime', 'numpauses', 'pausefrac']), ['mean']
+  UNION ALL SELECT 'eyeblink_ear', 1, 'eye_blink', 'mov_blink_ear', ['mean', 'std']
+  UNION ALL SELECT 'facial_tremor', 1, 'facial_tremor', 'fac_tremor_median_' || i, ['mean'] FROM tm),
+cat AS (SELECT grp, block, raw, f AS function, CASE subgroup WHEN 'facial_tremor' THEN 'mov' ELSE split_part(raw, '_', 1) END AS label, subgroup,
+  replace(regexp_replace(raw || '_' || f, '^[a-z]+_|_[a-z]+$', '', 'g'), '_', '') AS feature, split_part(raw || '_' || f, '_', -1) AS metric FROM (SELECT *, unnest(fs) AS f FROM raws))"""
+
+
+@query(f"WITH {_CATALOG_SQL} SELECT grp, CAST(block AS INT) AS block, raw, function, label, subgroup, feature, metric FROM cat")
+def g21_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(G.entries(), "grp string, block int, raw string, function string, label string, subgroup string, feature string, metric string")
+
+
+@query("SELECT * FROM (VALUES ('facial', 3, 267), ('acoustic', 2, 33), ('movement', 2, 29), ('acoustic_seg', 1, 12), ('audio_seg', 1, 14), ('pause', 1, 4), ('eyeblink_ear', 1, 2), ('facial_tremor', 1, 9)) t(grp, blocks, columns)")
+def g22_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    columns = {group: sum(e[0] == group for e in G.entries()) for group in G.structure()}
+    return spark.createDataFrame([(group, n, columns[group]) for group, n in G.structure().items()], "grp string, blocks int, columns int")
+
+
+@query("""WITH n AS (SELECT p_partkey, ['fac', 'aco', 'mov'][p_partkey % 3 + 1] AS label, CASE p_partkey % 11 WHEN 0 THEN printf('LMK%02ddisp', p_partkey % 80) WHEN 1 THEN printf('AU%02dint', p_partkey % 50) WHEN 2 THEN 'conintsoft' WHEN 3 THEN 'comlowinthard'
+  WHEN 4 THEN 'mfcc' || p_partkey % 15 WHEN 5 THEN 'hnr' WHEN 6 THEN 'hposeyaw' WHEN 7 THEN 'leyedisp' WHEN 8 THEN 'eyeblinkdur' WHEN 9 THEN 'tremormedian' || p_partkey % 60 ELSE 'paiintsoft' END AS feature FROM part)
+SELECT p_partkey, label, feature, CASE WHEN label = 'fac' AND regexp_full_match(feature, 'LMK([0-5][0-9]|6[0-7])disp') THEN 'facial_landmarks'
+  WHEN label = 'fac' AND regexp_full_match(feature, 'AU(01|02|04|05|06|07|09|10|12|14|15|17|20|23|25|26|45)int') THEN 'action_units' WHEN label = 'fac' AND feature = 'conintsoft' THEN 'emotional_expressivity'
+  WHEN label = 'fac' AND feature = 'comlowinthard' THEN 'overall_expressivity' WHEN label = 'fac' AND feature = 'paiintsoft' THEN 'pain_expressivity'
+  WHEN label = 'fac' AND regexp_full_match(feature, 'tremormedian(5|12|8|48|54|28|51|66|57)') THEN 'facial_tremor' WHEN label = 'aco' AND feature = 'hnr' THEN 'hnr'
+  WHEN label = 'aco' AND regexp_full_match(feature, 'mfcc([1-9]|1[0-2])') THEN 'mfcc' WHEN label = 'mov' AND feature = 'hposeyaw' THEN 'head_movement' WHEN label = 'mov' AND feature = 'leyedisp' THEN 'eye_gaze'
+  WHEN label = 'mov' AND feature = 'eyeblinkdur' THEN 'eye_blink' END AS subgroup FROM n""")
 def g23_subgroups(spark: SparkSession, sf_dir: str) -> DataFrame:
-    nation, region = table(spark, sf_dir, "nation"), table(spark, sf_dir, "region")
-    labels = nation.join(region, nation.n_regionkey == region.r_regionkey, "left").select("n_nationkey", F.col("n_name").alias("subgroup"), F.col("r_name").alias("grp"))
-    customer = table(spark, sf_dir, "customer")
-    return customer.join(labels, customer.c_nationkey == labels.n_nationkey, "left").select("c_custkey", "subgroup", "grp")
+    k = F.col("p_partkey")
+    name = F.when(k % 11 == 0, F.format_string("LMK%02ddisp", k % 80)).when(k % 11 == 1, F.format_string("AU%02dint", k % 50)).when(k % 11 == 4, F.concat(F.lit("mfcc"), (k % 15).cast("string")))
+    name = name.when(k % 11 == 9, F.concat(F.lit("tremormedian"), (k % 60).cast("string")))
+    for rest, feature in ((2, "conintsoft"), (3, "comlowinthard"), (5, "hnr"), (6, "hposeyaw"), (7, "leyedisp"), (8, "eyeblinkdur")):
+        name = name.when(k % 11 == rest, feature)
+    label = F.get(F.array(*map(F.lit, ("fac", "aco", "mov"))), (k % 3).cast("int"))
+    return G.subgroup_of(table(spark, sf_dir, "part").select("p_partkey", label.alias("label"), name.otherwise("paiintsoft").alias("feature")), "label", "feature")
+
+
+@query(f"""WITH {SAMPLES_SQL}, {_CATALOG_SQL},
+a AS (SELECT session_id, avg(value) AS fac_LMK00disp_mean, stddev_samp(value) AS fac_LMK00disp_std, count(*) FILTER (event_type = 'click') / count(*) AS fac_happres_pct, avg(ln(value)) AS mov_headvel_mean, stddev_samp(ln(value)) AS mov_headvel_std,
+  sum(CASE WHEN event_type = 'error' THEN 60.0::DOUBLE ELSE 0 END) / nullif(max(idx), 0) AS mov_eyeblink_count FROM s GROUP BY 1),
+b AS (SELECT session_id, avg(gap) AS mov_eyeblink_dur_mean, stddev_pop(gap) AS mov_eyeblink_dur_std FROM (SELECT session_id, idx - lag(idx) OVER (PARTITION BY session_id ORDER BY idx) AS gap FROM s WHERE event_type = 'error') GROUP BY 1),
+l AS (SELECT l_suppkey AS session_id, avg(l_tax) AS aco_jitter_mean, stddev_samp(l_tax) AS aco_jitter_std, sum(l_tax * l_quantity) / sum(l_quantity) AS aco_jitter_wmean, sum(l_quantity) AS w1, sum(l_quantity * l_quantity) AS w2,
+  avg(l_discount) AS aco_voicepct_mean, sum(l_discount * l_quantity) / sum(l_quantity) AS aco_voicepct_wmean, sum(l_discount) AS aco_pausetime_mean, sum(l_quantity) AS aco_totaltime_mean, CAST(sum(l_linenumber) AS DOUBLE) AS aco_numpauses_mean,
+  sum(l_discount) / nullif(sum(l_quantity), 0) AS aco_pausefrac_mean FROM lineitem GROUP BY 1),
+m AS (SELECT l.session_id, sqrt(sum(l_quantity * (l_tax - aco_jitter_wmean) ** 2) / (any_value(w1) - any_value(w2) / any_value(w1))) AS aco_jitter_wstd FROM l JOIN lineitem ON l_suppkey = l.session_id GROUP BY 1),
+v AS (SELECT session_id, name, data FROM (UNPIVOT (SELECT * FROM a) ON COLUMNS(* EXCLUDE session_id) INTO NAME name VALUE data) UNION ALL SELECT session_id, name, data FROM (UNPIVOT (SELECT * FROM b) ON COLUMNS(* EXCLUDE session_id) INTO NAME name VALUE data)
+  UNION ALL SELECT session_id, name, data FROM (UNPIVOT (SELECT * EXCLUDE (w1, w2) FROM l) ON COLUMNS(* EXCLUDE session_id) INTO NAME name VALUE data) UNION ALL SELECT session_id, 'aco_jitter_wstd', aco_jitter_wstd FROM m)
+SELECT k.session_id, label AS "group", subgroup, feature, metric, round(data, 5) AS data FROM (SELECT session_id FROM s UNION SELECT l_suppkey FROM lineitem) k CROSS JOIN cat LEFT JOIN v ON v.session_id = k.session_id AND v.name = raw || '_' || function""")
+def g9_derived_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole catalog for every session, from tables that have a few raw columns of some groups each."""
+    own = samples(spark, sf_dir).select("session_id", "idx", F.col("value").alias("fac_LMK00disp"), (F.col("event_type") == "click").cast("int").alias("fac_happres"), F.log("value").alias("mov_headvel"), (F.col("event_type") == "error").cast("int").alias("mov_eyeblink"))
+    items = table(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("session_id"), F.col("l_tax").alias("aco_jitter"), F.col("l_quantity").alias("length"), F.col("l_discount").alias("aco_voicepct"), F.col("l_discount").alias("aco_pausetime"), F.col("l_quantity").alias("aco_totaltime"), F.col("l_linenumber").alias("aco_numpauses")
+    )
+    out = G.derived({"facial": own, "movement": own, "acoustic_seg": items, "audio_seg": items}, ["session_id"], {"acoustic_seg": "length", "audio_seg": "length"})
+    return out.withColumn("data", F.round("data", 5))
 
 
 @query(f"WITH {SAMPLES_SQL}, v AS (SELECT session_id, unnest(range(0, CAST(floor(count(*) * 0.5 * 2.0) AS BIGINT))) AS frame FROM s GROUP BY 1) SELECT v.session_id, frame, coalesce((event_type = 'error')::INT, 0) AS blink FROM v LEFT JOIN s ON s.session_id = v.session_id AND s.idx = frame")
