@@ -8,7 +8,7 @@ from __future__ import annotations
 import math
 from collections.abc import Callable
 from dataclasses import dataclass
-from functools import partial
+from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
@@ -62,18 +62,46 @@ def butterworth(d: Design) -> np.ndarray:
     return np.array(sections)
 
 
-def _section(x: np.ndarray, s: np.ndarray, z: tuple[float, float]) -> np.ndarray:
+_BLOCK = 64
+
+
+def _run(x: list[float], s: tuple[float, ...], z1: float, z2: float) -> tuple[list[float], list[tuple[float, float]]]:
+    """Outputs of a section and its states after each sample."""
     b0, b1, b2, a1, a2 = s
-    z1, z2 = z
-    out = np.empty_like(x)
-    for i, v in enumerate(x.tolist()):
+    out, states = [], []
+    for v in x:
         y = b0 * v + z1
         z1, z2 = b1 * v - a1 * y + z2, b2 * v - a2 * y
-        out[i] = y
-    return out
+        out.append(y)
+        states.append((z1, z2))
+    return out, states
+
+
+@lru_cache(maxsize=64)
+def _block(s: tuple[float, ...]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """What a block of samples does: outputs by inputs, outputs by the state before, the state after by inputs, and by the state before."""
+    pulse = [1.0] + [0.0] * (_BLOCK - 1)
+    out, states = _run(pulse, s, 0.0, 0.0)
+    free = [_run([0.0] * _BLOCK, s, *z) for z in ((1.0, 0.0), (0.0, 1.0))]
+    at = np.arange(_BLOCK)
+    forced = np.where(at[:, None] >= at, np.array(out)[np.maximum(at[:, None] - at, 0)], 0.0)
+    return forced, np.array([f[0] for f in free]).T, np.array(states[::-1]).T, np.array([f[1][-1] for f in free]).T
 
 
-def _steady(s: np.ndarray) -> tuple[float, float]:
+def _section(x: np.ndarray, s: np.ndarray, z: tuple[float, float]) -> np.ndarray:
+    """A section over x from the state z, block by block: products of matrices, and one small step a block for the state."""
+    forced, free, push, carry = _block(tuple(s.tolist()))
+    n = -(-len(x) // _BLOCK)
+    blocks = np.zeros((n, _BLOCK))
+    blocks.ravel()[: len(x)] = x
+    pushed, state, states = blocks @ push.T, np.array(z), np.empty((n, 2))
+    for k in range(n):
+        states[k] = state
+        state = carry @ state + pushed[k]
+    return (blocks @ forced.T + states @ free.T).ravel()[: len(x)]
+
+
+def steady(s: np.ndarray) -> tuple[float, float]:
     """State of a section that has seen a constant 1 for ever."""
     b0, b1, b2, a1, a2 = s
     y = (b0 + b1 + b2) / (1 + a1 + a2)
@@ -88,7 +116,7 @@ def zero_phase(x: np.ndarray, sections: np.ndarray) -> np.ndarray:
     ext = np.concatenate([2 * x[0] - x[pad:0:-1], x, 2 * x[-1] - x[-2 : -pad - 2 : -1]])
     for _ in range(2):
         for s in sections:
-            z1, z2 = _steady(s)
+            z1, z2 = steady(s)
             ext = _section(ext, s, (z1 * ext[0], z2 * ext[0]))
         ext = ext[::-1]
     return ext[pad : len(ext) - pad]
@@ -105,8 +133,67 @@ def envelope(x: np.ndarray) -> np.ndarray:
     return np.abs(np.fft.ifft(np.fft.fft(x) * gain))
 
 
+def _arcsinh_poles(order: int, ripple: float) -> np.ndarray:
+    """Poles of the analog Chebyshev prototype with `ripple` dB in the pass band."""
+    mu = math.asinh(1 / math.sqrt(10 ** (ripple / 10) - 1)) / order
+    theta = math.pi * (2 * np.arange(1, order + 1) - 1) / (2 * order)
+    return -np.sinh(mu) * np.sin(theta) + 1j * np.cosh(mu) * np.cos(theta)
+
+
+def chebyshev_lowpass(order: int, ripple: float, high: float, fs: float) -> np.ndarray:
+    """Second-order sections of a digital Chebyshev low-pass of even order whose pass band ends at `high`."""
+    analog = _arcsinh_poles(order, ripple) * 2 * fs * math.tan(math.pi * high / fs)
+    z = (2 * fs + analog) / (2 * fs - analog)
+    upper = sorted(z[z.imag > 1e-12], key=abs)
+    sections = []
+    for k, p in enumerate(upper):
+        a1, a2 = -2 * p.real, abs(p) ** 2
+        gain = (1 + a1 + a2) / 4 * (10 ** (-ripple / 20) if k == 0 else 1.0)  # an even order starts at the ripple's floor
+        sections.append([gain, 2 * gain, gain, a1, a2])
+    return np.array(sections)
+
+
+def decimated(x: np.ndarray, factor: int) -> np.ndarray:
+    """Every factor-th sample after a zero-phase Chebyshev low-pass of order 8 and 0.05 dB ripple at 0.8 of the new Nyquist frequency."""
+    return zero_phase(x, chebyshev_lowpass(8, 0.05, 0.8 / factor, 2.0))[::factor]
+
+
+def resampled(x: np.ndarray, n: int) -> np.ndarray:
+    """x at n equally spaced points, as a periodic band-limited signal (by the Fourier transform)."""
+    if not len(x) or not n:
+        return np.zeros(n)
+    least, spectrum = min(len(x), n), np.fft.rfft(x)
+    out = np.zeros(n // 2 + 1, complex)
+    out[: least // 2 + 1] = spectrum[: least // 2 + 1]
+    if least % 2 == 0 and len(x) != n:  # the shared highest frequency of an even length is one bin here and two there
+        out[least // 2] *= 2 if n < len(x) else 0.5
+    return np.fft.irfft(out, n) * (n / len(x))
+
+
+def spaced_peaks(x: np.ndarray, height: float, distance: float) -> np.ndarray:
+    """Positions of strict local maxima (a plateau's middle) of at least `height`, the highest first, without those nearer than `distance` samples to a higher one; of equal ones the later goes first."""
+    change = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
+    ends = np.append(change[1:], len(x)) - 1
+    v = x[change] if len(x) else x
+    top = np.zeros(len(change), bool)
+    if len(change) > 2:
+        top[1:-1] = (v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])
+    at = ((change + ends) // 2)[top]
+    at = at[x[at] >= height]
+    keep, gap = np.ones(len(at), bool), math.ceil(distance)
+    for k in np.argsort(x[at], kind="stable")[::-1]:
+        if keep[k]:
+            lo, hi = np.searchsorted(at, at[k] - gap, side="right"), np.searchsorted(at, at[k] + gap, side="left")
+            keep[lo:k] = keep[k + 1 : hi] = False
+    return at[keep]
+
+
+def sections_of(d: Design) -> np.ndarray:
+    return butterworth(d)
+
+
 def kernel(d: Design) -> Callable[[np.ndarray], np.ndarray]:
-    return envelope if d.kind == "hilbert" else partial(zero_phase, sections=butterworth(d))
+    return envelope if d.kind == "hilbert" else partial(zero_phase, sections=sections_of(d))
 
 
 def filtered(df: DataFrame, design: Design) -> DataFrame:
@@ -118,3 +205,33 @@ def filtered(df: DataFrame, design: Design) -> DataFrame:
         return own.assign(value=run(own["value"].to_numpy(float)))
 
     return df.select("session_id", "idx", "value").groupBy("session_id").applyInPandas(one, "session_id long, idx long, value double")
+
+
+def _per_session(df: DataFrame, run: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(session_id, idx, value) with the sessions' values run through a function that may change their number."""
+
+    def one(own: pd.DataFrame) -> pd.DataFrame:
+        out = run(own.sort_values("idx")["value"].to_numpy(float))
+        return pd.DataFrame({"session_id": own["session_id"].iloc[0], "idx": np.arange(len(out)), "value": out})
+
+    return df.select("session_id", "idx", "value").groupBy("session_id").applyInPandas(one, "session_id long, idx long, value double")
+
+
+def decimate(df: DataFrame, factor: int) -> DataFrame:
+    """(session_id, idx, value) of every factor-th sample behind an anti-aliasing filter; idx counts the kept ones."""
+    return _per_session(df, partial(decimated, factor=factor))
+
+
+def resample(df: DataFrame, ratio: float) -> DataFrame:
+    """(session_id, idx, value) with ratio times as many samples, cut to a whole number, by the Fourier transform."""
+    return _per_session(df, lambda x: resampled(x, int(len(x) * ratio)))
+
+
+def peaks(df: DataFrame, height: float, distance: float) -> DataFrame:
+    """(session_id, idx) of the peaks by height and distance."""
+
+    def one(own: pd.DataFrame) -> pd.DataFrame:
+        own = own.sort_values("idx")
+        return own.iloc[spaced_peaks(own["value"].to_numpy(float), height, distance)][["session_id", "idx"]]
+
+    return df.select("session_id", "idx", "value").groupBy("session_id").applyInPandas(one, "session_id long, idx long")

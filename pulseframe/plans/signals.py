@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.operators import filters
 from pulseframe.operators import signals as S
+from pulseframe.plans.filter_sql import envelope_sql, zero_phase_sql
 from pulseframe.plans.registry import query
 from pulseframe.sources.tables import IMU_SQL, SAMPLES_SQL, imu, samples
 
@@ -115,12 +116,19 @@ def r3_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return S.windows_of(samples(spark, sf_dir), 20, 5)
 
 
+#: Decimals of filtered values: recursions add up differently in blocks and step by step.
+_DIGITS = 4
+
+
 def _filtered(name: str, kind: str, **design: object) -> None:
+    own = filters.Design(kind, **design)
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return filters.filtered(samples(spark, sf_dir).select("session_id", "idx", "value"), filters.Design(kind, **design))
+        out = filters.filtered(samples(spark, sf_dir).select("session_id", "idx", "value"), own)
+        return out.withColumn("value", F.round("value", _DIGITS) + F.lit(0.0))
 
     run.__name__ = name
-    query()(run)
+    query(envelope_sql(_DIGITS) if kind == "hilbert" else zero_phase_sql(own, _DIGITS))(run)
 
 
 _filtered("s2_butterworth_icg", "butterworth", order=4, low=0.5, high=25.0, fs=1000.0)
@@ -130,3 +138,26 @@ _filtered("s8_lowpass", "butterworth", order=4, high=20.0, fs=500.0)
 _filtered("s13_bandpass_order5", "butterworth", order=5, low=15.0, high=60.0, fs=500.0)
 _filtered("s29_baseline", "butterworth", order=4, high=0.1, fs=1.0)
 _filtered("s9_envelope", "hilbert")
+
+
+@query(f"""WITH {SAMPLES_SQL}, n AS (SELECT session_id, count(*) AS n, CAST(floor(count(*) * 0.5::DOUBLE) AS BIGINT) AS m FROM s GROUP BY 1),
+g AS (SELECT session_id, n, m, unnest(range(m)) AS i FROM n)
+SELECT g.session_id, i AS idx, round(sum(value * (1.0::DOUBLE + 2 * list_sum([cos(2 * pi() * k * (s.idx::DOUBLE / n - i::DOUBLE / m)) for k in range(1, (m + 1) // 2)]) + CASE WHEN m % 2 = 0 THEN 2 * cos(pi() * m * s.idx / n) * cos(pi() * i) / 1 ELSE 0 END) / n), 4) + 0.0 AS value
+FROM g JOIN s USING (session_id) GROUP BY 1, 2""")
+def s24_resample_half(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Half as many samples by the Fourier transform; the SQL sums the cosines."""
+    return filters.resample(samples(spark, sf_dir), 0.5).withColumn("value", F.round("value", _DIGITS) + F.lit(0.0))
+
+
+@query(f"""WITH RECURSIVE {SAMPLES_SQL}, c AS MATERIALIZED (SELECT session_id, idx, value, row_number() OVER (PARTITION BY session_id ORDER BY value DESC, idx DESC) AS k FROM
+  (SELECT *, lag(value) OVER w AS a, lead(value) OVER w AS b FROM s WINDOW w AS (PARTITION BY session_id ORDER BY idx)) WHERE a < value AND b < value AND value >= 20),
+t(session_id, k, kept) AS (SELECT session_id, 1::BIGINT, [idx] FROM c WHERE k = 1
+  UNION ALL SELECT t.session_id, c.k, CASE WHEN len(list_filter(t.kept, lambda x: abs(x - c.idx) < 5)) = 0 THEN list_append(t.kept, c.idx) ELSE t.kept END FROM t JOIN c ON c.session_id = t.session_id AND c.k = t.k + 1)
+SELECT session_id, unnest(arg_max(kept, k)) AS idx FROM t GROUP BY 1""")
+def s19_spaced_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.peaks(samples(spark, sf_dir), 20.0, 4.5)
+
+
+@query()
+def s23_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filters.decimate(samples(spark, sf_dir), 4).withColumn("value", F.round("value", _DIGITS) + F.lit(0.0))
