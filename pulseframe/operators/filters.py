@@ -207,7 +207,7 @@ def filtered(df: DataFrame, design: Design) -> DataFrame:
     return df.select("session_id", "idx", "value").groupBy("session_id").applyInPandas(one, "session_id long, idx long, value double")
 
 
-def _per_session(df: DataFrame, run: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+def each_session(df: DataFrame, run: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
     """(session_id, idx, value) with the sessions' values run through a function that may change their number."""
 
     def one(own: pd.DataFrame) -> pd.DataFrame:
@@ -219,19 +219,24 @@ def _per_session(df: DataFrame, run: Callable[[np.ndarray], np.ndarray]) -> Data
 
 def decimate(df: DataFrame, factor: int) -> DataFrame:
     """(session_id, idx, value) of every factor-th sample behind an anti-aliasing filter; idx counts the kept ones."""
-    return _per_session(df, partial(decimated, factor=factor))
+    return each_session(df, partial(decimated, factor=factor))
 
 
 def resample(df: DataFrame, ratio: float) -> DataFrame:
     """(session_id, idx, value) with ratio times as many samples, cut to a whole number, by the Fourier transform."""
-    return _per_session(df, lambda x: resampled(x, int(len(x) * ratio)))
+    return each_session(df, lambda x: resampled(x, int(len(x) * ratio)))
 
 
-def peaks(df: DataFrame, height: float, distance: float) -> DataFrame:
-    """(session_id, idx) of the peaks by height and distance."""
+def each_session_at(df: DataFrame, run: Callable[[np.ndarray], np.ndarray]) -> DataFrame:
+    """(session_id, idx) of the positions that a function finds in the sessions' values."""
 
     def one(own: pd.DataFrame) -> pd.DataFrame:
         own = own.sort_values("idx")
-        return own.iloc[spaced_peaks(own["value"].to_numpy(float), height, distance)][["session_id", "idx"]]
+        return own.iloc[run(own["value"].to_numpy(float))][["session_id", "idx"]]
 
     return df.select("session_id", "idx", "value").groupBy("session_id").applyInPandas(one, "session_id long, idx long")
+
+
+def peaks(df: DataFrame, height: float, distance: float) -> DataFrame:
+    """(session_id, idx) of the peaks by height and distance."""
+    return each_session_at(df, partial(spaced_peaks, height=height, distance=distance))

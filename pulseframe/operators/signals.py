@@ -94,10 +94,32 @@ def savgol_weights(window: int = 61, order: int = 3) -> list[float]:
 
 def savgol_interior(window: int = 61, order: int = 3) -> Column:
     """The smoothed value where a full window fits, else null."""
-    half, weights = window // 2, savgol_weights(window, order)
-    around = F.collect_list("value").over(ordered().rowsBetween(-half, half))
-    dot = F.aggregate(F.zip_with(around, F.array(*map(F.lit, weights)), lambda a, b: a * b), F.lit(0.0), lambda t, x: t + x)
-    return F.when(F.size(around) == window, dot)
+    half = window // 2
+    around = [F.lag("value", -k).over(ordered()) * w for k, w in zip(range(-half, half + 1), savgol_weights(window, order), strict=True)]
+    return sum(around[1:], around[0])
+
+
+def savgol_edges(window: int = 61, order: int = 3) -> np.ndarray:
+    """Weights (samples of the first half window, samples of the window) of the polynomial fitted to the first window; mirrored for the last."""
+    design = np.vander(np.arange(window), order + 1, increasing=True).astype(float)
+    return design[: window // 2] @ np.linalg.pinv(design)
+
+
+def savgol(df: DataFrame, window: int = 61, order: int = 3) -> DataFrame:
+    """(session_id, idx, smooth): a Savitzky-Golay filter whose ends are the polynomials fitted to the first and last window. Sessions shorter than the window give null."""
+    half = window // 2
+    weights = [(j, [float(w) for w in column]) for j, column in enumerate(savgol_edges(window, order).T)]
+    table = df.sparkSession.createDataFrame(weights, "j int, w array<double>")
+    placed = df.select("session_id", "idx", "value").withColumn("smooth", savgol_interior(window, order)).withColumn("n", F.count(F.lit(1)).over(whole()))
+
+    def edge(j: Column, at: Column) -> DataFrame:
+        own = placed.filter((F.col("n") >= window) & (j < window)).withColumn("j", j.cast("int")).join(F.broadcast(table), "j")  # `window` rows
+        spread = own.select("session_id", "n", "value", F.posexplode("w").alias("i", "weight"))
+        return spread.groupBy("session_id", at.cast("long").alias("idx")).agg(F.sum(F.col("value") * F.col("weight")).alias("edge"))
+
+    ends = edge(F.col("idx"), F.col("i")).unionByName(edge(F.col("n") - 1 - F.col("idx"), F.col("n") - 1 - F.col("i")))
+    short = placed.filter((F.col("idx") >= half) & (F.col("idx") < F.col("n") - half) | (F.col("n") < window)).select("session_id", "idx", "smooth")
+    return short.unionByName(ends.withColumnRenamed("edge", "smooth"))
 
 
 def prominences(df: DataFrame) -> DataFrame:

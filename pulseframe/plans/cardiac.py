@@ -6,11 +6,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.operators import cardiac as C
-from pulseframe.operators.signals import interpolated
+from pulseframe.operators import correction, ecg
+from pulseframe.operators.filters import Design
+from pulseframe.plans.filter_sql import zero_phase_ctes
 from pulseframe.plans.registry import query
 from pulseframe.sources.tables import SAMPLES_SQL, samples
 
 FS = 20.0
+_BASE = Design("butterworth", order=4, high=0.1, fs=1.0)
 _BEATS_SQL = f"""{SAMPLES_SQL}, nn AS (SELECT session_id, count(*) AS n FROM s GROUP BY 1), p0 AS (SELECT session_id, idx AS r FROM s WHERE event_type = 'purchase'),
 p1 AS (SELECT p0.*, n, lag(r) OVER w AS bf, lead(r) OVER w AS af FROM p0 JOIN nn USING (session_id) WINDOW w AS (PARTITION BY session_id ORDER BY r)),
 p2 AS (SELECT *, r - coalesce(bf, 2 * r - af) AS back FROM p1 WHERE bf IS NOT NULL OR af IS NOT NULL),
@@ -139,10 +142,47 @@ def p22_outliers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.outliers(samples(spark, sf_dir).select("session_id", "idx", "value"))
 
 
-@query(f"""WITH {_OUT}, a AS (SELECT session_id, idx, CASE WHEN NOT outlier THEN value END AS v FROM o2),
-b AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER p AS bi, last_value(v IGNORE NULLS) OVER p AS bv, first_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER n AS ai, first_value(v IGNORE NULLS) OVER n AS av FROM a
-  WINDOW p AS (PARTITION BY session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), n AS (PARTITION BY session_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING))
-SELECT session_id, idx, round(CASE WHEN v IS NOT NULL THEN v WHEN av IS NULL THEN bv ELSE bv + (av - bv) * (idx - bi) / nullif(ai - bi, 0) END, 6) AS corrected FROM b""")
+#: Points for the corrections: R stands for B, with some missing.
+_BP = "CASE WHEN heartbeat_id % 7 <> 3 THEN r_peak_sample - 3 * CASE WHEN heartbeat_id % 5 = 2 THEN 1 ELSE 0 END END"
+_POINTS_SQL = _C_SQL.replace(", cp AS (", ", cp AS MATERIALIZED (").replace("s AS (", "s0 AS (", 1).replace(" FROM s ", " FROM s0 ").replace("FROM s WHERE", "FROM s0 WHERE").replace("s.session_id", "s0.session_id")
+_STATIONARY_SQL = f"""WITH RECURSIVE {_POINTS_SQL}, pt AS MATERIALIZED (SELECT session_id, heartbeat_id, b, c_point, (c_point - b) / 20.0::DOUBLE AS value, row_number() OVER (PARTITION BY session_id ORDER BY heartbeat_id) - 1 AS idx
+  FROM (SELECT *, {_BP} AS b FROM cp) WHERE b IS NOT NULL AND c_point IS NOT NULL),
+s AS MATERIALIZED (SELECT session_id, idx, value FROM pt UNION ALL SELECT session_id, unnest(range(m, 16)), last FROM (SELECT session_id, count(*) AS m, arg_max(value, idx) AS last FROM pt GROUP BY 1) WHERE m <= 15),
+{zero_phase_ctes(_BASE)}, st AS MATERIALIZED (SELECT pt.*, y AS base, value - y AS u FROM pt JOIN n USING (session_id) JOIN g ON g.session_id = pt.session_id AND g.j = n + p - 1 - idx),
+o1 AS (SELECT *, u - quantile_cont(u, 0.5) OVER (PARTITION BY session_id) AS o FROM st), o2 AS MATERIALIZED (SELECT *, o > 3 * quantile_cont(abs(o), 0.5) OVER (PARTITION BY session_id) AS outlier FROM o1)"""
+
+
+def _b_points(spark: SparkSession, sf_dir: str) -> DataFrame:
+    own, x = beats(spark, sf_dir)
+    b = F.when(F.col("heartbeat_id") % 7 != 3, F.col("r_peak_sample") - F.when(F.col("heartbeat_id") % 5 == 2, 3).otherwise(0))
+    return own.join(C.c_points(own, x), list(C.BEAT)).select(*C.BEAT, b.alias("b_point"), "c_point")
+
+
+@query(f"{_STATIONARY_SQL} SELECT session_id, heartbeat_id, round(u, 6) + 0.0 AS stationary, round(base, 6) + 0.0 AS baseline FROM st")
+def p21_stationarised(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = correction.stationarised(_b_points(spark, sf_dir), FS)
+    return out.select(*C.BEAT, *((F.round(c, 6) + F.lit(0.0)).alias(c) for c in ("stationary", "baseline")))
+
+
+@query(f"""{_STATIONARY_SQL}, a AS (SELECT *, CASE WHEN NOT outlier THEN u END AS v FROM o2),
+b2 AS (SELECT *, last_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER q AS bi, last_value(v IGNORE NULLS) OVER q AS bv, first_value(CASE WHEN v IS NOT NULL THEN idx END IGNORE NULLS) OVER r AS ai, first_value(v IGNORE NULLS) OVER r AS av FROM a
+  WINDOW q AS (PARTITION BY session_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW), r AS (PARTITION BY session_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING)),
+l AS (SELECT *, CASE WHEN v IS NOT NULL THEN v WHEN av IS NULL THEN bv ELSE bv + (av - bv) * (idx - bi) / nullif(ai - bi, 0) END AS line FROM b2)
+SELECT session_id, heartbeat_id, outlier, nullif(trunc(round(c_point - (line + base) * 20.0::DOUBLE, 6)), 0) AS corrected FROM l""")
 def p23_correct_linear(spark: SparkSession, sf_dir: str) -> DataFrame:
-    marked = C.outliers(samples(spark, sf_dir).select("session_id", "idx", "value")).withColumn("value", F.when(~F.col("outlier"), F.col("value")))
-    return marked.select("session_id", "idx", F.round(interpolated(), 6).alias("corrected"))
+    """One cycle of the correction by interpolation."""
+    return correction.stationarised(_b_points(spark, sf_dir), FS).select(*C.BEAT, "outlier", "corrected")
+
+
+@query()
+def p20_correct_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole loop."""
+    return correction.corrected(_b_points(spark, sf_dir), FS)
+
+
+@query()
+def p27_ao_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """AO points at the largest smoothed envelope in the 200 ms after R."""
+    own, x = beats(spark, sf_dir)
+    window = own.withColumn("end_sample", F.col("r_peak_sample") + int(0.2 * 100))
+    return C.c_points(window, ecg.scg_envelope(x.select("session_id", "idx", "value"), 100.0)).withColumnRenamed("c_point", "ao_point")

@@ -26,16 +26,21 @@ def _pass(name: str, source: str, sections: np.ndarray) -> str:
   UNION ALL SELECT session_id, j, v{n}, {names} FROM (SELECT {", ".join(step)}, p.* EXCLUDE (session_id, j, y) FROM {name} p JOIN {source} t ON t.session_id = p.session_id AND t.j = p.j + 1))"""
 
 
-def zero_phase_sql(design: Design, digits: int) -> str:
+def zero_phase_ctes(design: Design) -> str:
+    """CTEs over s(session_id, idx, value), with n(session_id, n, p, x0, x1), that end in g(session_id, j, y), the filtered samples backwards from j = n + p - 1 - idx."""
     sections = sections_of(design)
     pad = 3 * (2 * len(sections) + 1)
-    return f"""WITH RECURSIVE {SAMPLES_SQL}, n AS (SELECT session_id, count(*) AS n, least(count(*) - 1, {pad}) AS p, arg_min(value, idx) AS x0, arg_max(value, idx) AS x1 FROM s GROUP BY 1),
+    return f"""n AS (SELECT session_id, count(*) AS n, least(count(*) - 1, {pad}) AS p, arg_min(value, idx) AS x0, arg_max(value, idx) AS x1 FROM s GROUP BY 1),
 e AS MATERIALIZED (SELECT session_id, idx + p AS j, value AS x FROM s JOIN n USING (session_id)
   UNION ALL SELECT session_id, p - idx, 2 * x0 - value FROM s JOIN n USING (session_id) WHERE idx BETWEEN 1 AND p
   UNION ALL SELECT session_id, 2 * n + p - 2 - idx, 2 * x1 - value FROM s JOIN n USING (session_id) WHERE idx BETWEEN n - 1 - p AND n - 2),
 {_pass("f", "e", sections)},
 r AS MATERIALIZED (SELECT session_id, n + 2 * p - 1 - j AS j, y AS x FROM f JOIN n USING (session_id)),
-{_pass("g", "r", sections)}
+{_pass("g", "r", sections)}"""
+
+
+def zero_phase_sql(design: Design, digits: int) -> str:
+    return f"""WITH RECURSIVE {SAMPLES_SQL}, {zero_phase_ctes(design)}
 SELECT session_id, n + p - 1 - j AS idx, round(CASE WHEN n = 1 THEN x0 ELSE y END, {digits}) + 0.0 AS value FROM g JOIN n USING (session_id) WHERE j BETWEEN p AND n + p - 1"""
 
 

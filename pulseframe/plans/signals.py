@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.operators import filters
+from pulseframe.operators import ecg, filters
 from pulseframe.operators import signals as S
 from pulseframe.plans.filter_sql import envelope_sql, zero_phase_sql
 from pulseframe.plans.registry import query
@@ -101,6 +101,17 @@ def s4_savgol_interior(spark: SparkSession, sf_dir: str) -> DataFrame:
     return samples(spark, sf_dir).select("session_id", "idx", F.round(S.savgol_interior(), 6).alias("smooth"))
 
 
+_EDGES = ", ".join(f"({i}, [{', '.join(repr(float(w)) + '::DOUBLE' for w in row)}])" for i, row in enumerate(S.savgol_edges()))
+
+
+@query(f"""WITH {SAMPLES_SQL}, a AS (SELECT session_id, idx, list(value) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN 30 PRECEDING AND 30 FOLLOWING) AS v, count(*) OVER (PARTITION BY session_id) AS n FROM s),
+p AS (SELECT session_id, list(value ORDER BY idx) AS x FROM s GROUP BY 1), e(i, w) AS (VALUES {_EDGES})
+SELECT a.session_id, idx, round(CASE WHEN n < 61 THEN NULL WHEN idx < 30 THEN (SELECT list_dot_product(list_resize(x[1:61], 61, 0), w) FROM e WHERE i = idx) WHEN idx >= n - 30 THEN (SELECT list_dot_product(list_resize(list_reverse(x)[1:61], 61, 0), w) FROM e WHERE i = n - 1 - idx)
+  ELSE list_dot_product(list_resize(v, 61, 0), {S.savgol_weights()}::DOUBLE[]) END, 5) AS smooth FROM a JOIN p USING (session_id)""")
+def s4_savgol(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return S.savgol(samples(spark, sf_dir)).withColumn("smooth", F.round("smooth", 5))
+
+
 _RUNS = f"h AS (SELECT session_id, idx, idx - row_number() OVER w AS g FROM s WHERE event_type IN ('click', 'view') {_W}), r AS (SELECT session_id, min(idx) AS first_idx, max(idx) AS last_idx, count(*) AS n FROM h GROUP BY session_id, g)"
 
 
@@ -161,3 +172,13 @@ def s19_spaced_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def s23_decimate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filters.decimate(samples(spark, sf_dir), 4).withColumn("value", F.round("value", _DIGITS) + F.lit(0.0))
+
+
+@query()
+def s1_clean_ecg(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ecg.clean_ecg(samples(spark, sf_dir), 100.0).withColumn("value", F.round("value", _DIGITS) + F.lit(0.0))
+
+
+@query()
+def p5_r_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ecg.r_peaks(ecg.clean_ecg(samples(spark, sf_dir), 20.0, "neurokit"), 20.0)
