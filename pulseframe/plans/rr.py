@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -41,7 +43,7 @@ def r10_correct_missed(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _F = "(PARTITION BY session_id ORDER BY idx ROWS BETWEEN {0} PRECEDING AND {0} FOLLOWING)"
-_ARTEFACTS = f"""a AS (SELECT session_id, idx, rr, idx AS i, count(*) OVER p AS n, rr - lag(rr) OVER w AS diff FROM x
+_ARTEFACTS = f"""a AS (SELECT session_id, idx, rr, row_number() OVER w - 1 AS i, count(*) OVER p AS n, rr - lag(rr) OVER w AS diff FROM x
   WINDOW w AS (PARTITION BY session_id ORDER BY idx), p AS (PARTITION BY session_id)),
 b AS (SELECT *, coalesce(diff, avg(diff) OVER (PARTITION BY session_id)) AS d FROM a),
 c AS (SELECT *, 5.2 * (quantile_cont(abs(d), 0.75) OVER {_F.format(45)} - quantile_cont(abs(d), 0.25) OVER {_F.format(45)}) / 2 AS t1, quantile_cont(rr, 0.5) OVER {_F.format(5)} AS med FROM b),
@@ -65,6 +67,15 @@ def r11_rr_artefacts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("session_id", "idx", "rr_ms", F.round("threshold1", 6).alias("threshold1"), F.round("threshold2", 6).alias("threshold2"), "ectopic", "long", "short", "missed", "extra")
 
 
-@query()
+def _classes(stage: str, peaks: str) -> str:
+    """CTEs x, a .. k of one stage, with its name in front, over the intervals of peaks(session_id, idx)."""
+    rr = f"x AS (SELECT * FROM (SELECT session_id, idx, (idx - lag(idx) OVER (PARTITION BY session_id ORDER BY idx)) * 1000.0::DOUBLE / {FS} AS rr FROM {peaks}) WHERE rr IS NOT NULL), "
+    return re.sub(r"\b[a-hjkx](?= AS \(SELECT)|(?<=FROM )[a-hjkx]\b", lambda m: stage + m.group(), rr + _ARTEFACTS)
+
+
+@query(f"""WITH {SAMPLES_SQL}, {_PEAKS}, {_classes("one_", "p")},
+left_ AS MATERIALIZED (SELECT session_id, idx FROM (SELECT p.*, lag(coalesce(extra, false)) OVER (PARTITION BY p.session_id ORDER BY p.idx) AS gone FROM p LEFT JOIN one_k ON one_k.session_id = p.session_id AND one_k.idx = p.idx) WHERE NOT coalesce(gone, false)),
+{_classes("two_", "left_")}, b4 AS (SELECT session_id, idx, lag(idx) OVER (PARTITION BY session_id ORDER BY idx) AS before FROM left_)
+SELECT session_id, idx FROM left_ UNION SELECT session_id, before + (idx - before) // 2 FROM b4 JOIN two_k USING (session_id, idx) WHERE missed AND before IS NOT NULL""")
 def r9_correct_peaks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return R.correct_peaks(peaks(spark, sf_dir), FS)

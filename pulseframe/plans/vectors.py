@@ -86,7 +86,7 @@ def v11_angle(spark: SparkSession, sf_dir: str) -> DataFrame:
 _STATIC = f"""{IMU_SQL}, r AS (SELECT *, sqrt(gyr_x * gyr_x + gyr_y * gyr_y + gyr_z * gyr_z) AS rate FROM m),
 c AS (SELECT *, count(*) OVER f = 7 AND quantile_cont(rate, 0.5) OVER f <= 2.5 AS calm FROM r WINDOW f AS (PARTITION BY session_id ORDER BY idx ROWS BETWEEN 6 PRECEDING AND CURRENT ROW)),
 d AS (SELECT *, max(calm::INT) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 6 FOLLOWING) = 1 AS static FROM c),
-g AS (SELECT session_id, quantile_cont(acc_x, 0.5) AS x, quantile_cont(acc_y, 0.5) AS y, quantile_cont(acc_z, 0.5) AS z FROM d WHERE static GROUP BY session_id)"""
+g AS MATERIALIZED (SELECT session_id, quantile_cont(acc_x, 0.5) AS x, quantile_cont(acc_y, 0.5) AS y, quantile_cont(acc_z, 0.5) AS z FROM d WHERE static GROUP BY session_id)"""
 
 
 @query(f"WITH {_STATIC} SELECT session_id, round(x, 6) AS g_x, round(y, 6) AS g_y, round(z, 6) AS g_z FROM g")
