@@ -128,3 +128,27 @@ def diarization(segments: DataFrame, fs: int, least: float = 0.3) -> DataFrame:
     quiet = _edges(line, "quiet", F.lit("PANEL_INV"), fs)
     others = own.join(names, "session_id").filter("speaker <> test").select("session_id", "start", "stop", "speaker")
     return test.unionByName(quiet).unionByName(others).withColumn("length", F.col("stop") - F.col("start"))
+
+
+def durations(samples: DataFrame, fs: float) -> DataFrame:
+    """(session_id, duration): seconds of each recording of samples(session_id, idx)."""
+    return samples.groupBy("session_id").agg((F.count(F.lit(1)) / F.lit(fs)).alias("duration"))
+
+
+def guarded(recordings: DataFrame, results: DataFrame, least: float) -> DataFrame:
+    """(session_id, the columns of results, error) for every row of recordings(session_id, duration): errors are data.
+
+    A recording shorter than `least` seconds, or without a result, has null columns and says why in error; others have a null error.
+    """
+    short = F.col("duration") < least
+    joined = recordings.join(results.withColumn("_found", F.lit(True)), "session_id", "left")
+    error = F.when(short, F.concat(F.lit("shorter than "), F.lit(str(least)), F.lit(" s"))).when(F.col("_found").isNull(), F.lit("no result"))
+    values = [c for c in results.columns if c != "session_id"]
+    return joined.select("session_id", *(F.when(~short, F.col(c)).alias(c) for c in values), error.alias("error"))
+
+
+def diagnostics(points: DataFrame, point: str) -> DataFrame:
+    """(session_id, n_beats, n_failed, failed): how many heartbeats of points(session_id, heartbeat_id, point) have no point, and which, in order; a row for each session with some."""
+    failed = F.sort_array(F.collect_list(F.when(F.col(point).isNull(), F.col("heartbeat_id"))))
+    out = points.groupBy("session_id").agg(F.count(F.lit(1)).alias("n_beats"), F.count_if(F.col(point).isNull()).alias("n_failed"), failed.alias("failed"))
+    return out.filter("n_failed > 0")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from pulseframe.operators import cardiac as C
 from pulseframe.operators import correction, ecg
 from pulseframe.operators.filters import Design
+from pulseframe.operators.speech import diagnostics
 from pulseframe.plans.filter_sql import zero_phase_ctes
 from pulseframe.plans.registry import query
 from pulseframe.sources.tables import SAMPLES_SQL, samples
@@ -186,3 +187,11 @@ def p27_ao_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     own, x = beats(spark, sf_dir)
     window = own.withColumn("end_sample", F.col("r_peak_sample") + int(0.2 * 100))
     return C.c_points(window, ecg.scg_envelope(x.select("session_id", "idx", "value"), 100.0)).withColumnRenamed("c_point", "ao_point")
+
+
+@query(f"WITH {_C_SQL} SELECT session_id, count(*) AS n_beats, count(*) FILTER (heartbeat_id % 4 = 1) AS n_failed, list(heartbeat_id ORDER BY heartbeat_id) FILTER (heartbeat_id % 4 = 1) AS failed FROM cp GROUP BY 1 HAVING n_failed > 0")
+def i15_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Heartbeats without a point, here every fourth one."""
+    own = beats(spark, sf_dir)
+    points = C.c_points(*own).withColumn("c_point", F.when(F.col("heartbeat_id") % 4 != 1, F.col("c_point")))
+    return diagnostics(points, "c_point")

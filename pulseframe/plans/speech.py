@@ -112,3 +112,15 @@ al AS (SELECT e.session_id, start, stop, ts.test AS speaker FROM ({_EDGE.format(
 SELECT session_id, round(start, 6) AS start, round(stop, 6) AS stop, speaker, round(stop - start, 6) AS length FROM al""")
 def d9_diarization(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _ROUNDED(P.diarization(segments(spark, sf_dir), 20), "start", "stop", "length")
+
+
+@query(f"""WITH {SAMPLES_SQL}, d AS (SELECT session_id, count(*) / 1000.0::DOUBLE AS duration FROM s GROUP BY 1),
+v AS (SELECT session_id, count(*) AS n_frames, count(*) FILTER (event_type = 'click') AS n_voiced FROM s WHERE event_type IN ('click', 'view') AND session_id % 9 > 0 GROUP BY 1)
+SELECT d.session_id, CASE WHEN duration >= 0.064::DOUBLE THEN n_frames END AS n_frames, CASE WHEN duration >= 0.064::DOUBLE THEN n_voiced END AS n_voiced, CASE WHEN duration >= 0.064::DOUBLE THEN round(n_voiced / n_frames * 100, 6) END AS voiced_pct,
+  CASE WHEN duration < 0.064::DOUBLE THEN 'shorter than 0.064 s' WHEN n_frames IS NULL THEN 'no result' END AS error FROM d LEFT JOIN v USING (session_id)""")
+def a14_guarded_voice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Voiced shares of every recording, with errors as data."""
+    own = samples(spark, sf_dir)
+    flags = own.filter(F.col("event_type").isin("click", "view") & (F.col("session_id") % 9 > 0)).withColumn("speech", F.col("event_type") == "click")
+    shares = P.voiced_share(flags).withColumn("voiced_pct", F.round("voiced_pct", 6))
+    return P.guarded(P.durations(own, 1000.0), shares, 0.064)

@@ -1 +1,5 @@
-"""Structured Streaming twins of batch operators."""
+"""Streaming twins of the feature tables."""
+
+from pulseframe.streaming.windows import windowed_features
+
+__all__ = ["windowed_features"]
