@@ -14,7 +14,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from pulseframe.llm.scratch import written
+from pulseframe.llm.scratch import in_front, written
 
 BINS = 24
 _SPACE = r"[\x20\x09-\x0D]+"
@@ -132,20 +132,44 @@ def _bin(name: str, cuts: list[float]) -> Column:
     return F.size(F.filter(F.array(*map(F.lit, cuts)), lambda c: F.col(name) > c)) if cuts else F.lit(0)
 
 
+def quantiles(table: DataFrame, names: list[str]) -> dict[str, list[float]]:
+    """The exact BINS - 1 quantiles of each statistic within each label, as sorted distinct cuts.
+
+    A quantile is the least value that at least k / BINS of the label's rows do not exceed. Equal values are counted first;
+    the counts in front of a value are prefix sums over sorted ranges, so no label or statistic is gathered in one task and
+    the cuts are the same for every partitioning. At most (labels * statistics * BINS) rows come to the driver.
+    """
+    long = table.select("label", F.posexplode(F.array(*names)).alias("stat", "value"))
+    hist = long.groupBy("label", "stat", "value").agg(F.count(F.lit(1)).alias("n"))
+    rows = {r.label: r.n for r in table.groupBy("label").agg(F.count(F.lit(1)).alias("n")).orderBy("label").collect()}
+    if not rows:
+        return {n: [] for n in names}
+    ahead, before = [], 0
+    for label, n in rows.items():
+        ahead.append((label, n, before))
+        before += n * len(names)
+    own = F.broadcast(table.sparkSession.createDataFrame(ahead, "label int, label_rows long, before long"))  # a row for each label
+    ranked = in_front(hist, [F.col("label"), F.col("stat"), F.col("value")], front=F.col("n")).join(own, "label")
+    front = F.col("front") - F.col("before") - F.col("stat") * F.col("label_rows")
+    reached = lambda at: F.least(F.lit(float(BINS - 1)), F.floor(at * BINS / F.col("label_rows")).cast("double"))
+    cuts = ranked.filter(reached(front) < reached(front + F.col("n"))).select("stat", "value").distinct().collect()
+    return {n: sorted(float(r.value) for r in cuts if names[r.stat] == n) for n in names}
+
+
 def learn(labelled: DataFrame, max_rules: int = 8, max_tests: int = 4, least_bad: int = 5, least_precision: float = 0.9) -> list[Rule]:
     """Rules for label 0 from rows of text_stats plus (label, prune boolean).
 
-    Thresholds are the BINS - 1 quantiles of each statistic among the rows of either label. A rule stays while it covers at
+    Thresholds are the exact BINS - 1 quantiles of each statistic among the rows of either label. At most `max_rules` rules of
+    `max_tests` tests are learned, a bound on the list's length and not on the rows. A rule stays while it covers at
     least `least_bad` bad documents of the growing and pruning parts together with a precision of `least_precision` in
     each part that it covers; learning ends at the first that doesn't. No labelled rows give no rules.
     """
     stats = ratios()
     names = list(stats)
     table = labelled.select("label", "prune", *(c.alias(n) for n, c in stats.items()))
-    quantiles = table.groupBy("label").agg(*(F.percentile_approx(n, [k / BINS for k in range(1, BINS)], 10000).alias(n) for n in names)).collect()
-    cuts = {n: sorted({float(x) for row in quantiles for x in row[n]}) for n in names}
+    cuts = quantiles(table, names)
     bins = [_bin(n, cuts[n]).alias(n) for n in names]
-    left = written(table.select("label", "prune", *bins), "rule-bins") if quantiles else table.limit(0)
+    left = written(table.select("label", "prune", *bins), "rule-bins")
 
     def binned(test: Test) -> Column:
         k = cuts[test.stat].index(test.threshold)
@@ -167,7 +191,7 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_tests: int = 4, least_bad
         return sum(b for b, _ in own), sum(g for _, g in own)
 
     rules: list[Rule] = []
-    while quantiles and len(rules) < max_rules:
+    while len(rules) < max_rules:
         rows, tests, steps = left, [], []
         counts = counted(rows)
         while len(tests) < max_tests:
