@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm.scratch import new_path, written
+from pulseframe.llm.scratch import new_path, parallelism, written
 
 #: The pre-tokenisation pattern that belongs to the byte-level BPE vocabularies.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -102,9 +102,16 @@ def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield batch.set_column(batch.schema.get_field_index("tokens"), "tokens", pa.array(blobs, pa.binary()))
 
 
+def _in_order(docs: DataFrame) -> DataFrame:
+    """(doc_id, text) in ranges of (doc_id, text hash), sorted. Rows that tie in both are equal, so whichever way their place splits them, the result is one."""
+    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("place"))
+    order = ["doc_id", "h", "place"]
+    return keyed.repartitionByRange(max(2, parallelism(docs.sparkSession)), *order).sortWithinPartitions(*order).select("doc_id", "text")
+
+
 def _orders(docs: DataFrame, vocabulary: str, length: int, per_shard: int, key: int, waves: int) -> Iterator[DataFrame]:
     """training_order's rows in at most `waves` frames, each of a range of shards."""
-    table = written(docs.select("doc_id", "text").mapInArrow(partial(_tokenised, vocabulary=vocabulary, length=length), "doc_id long, chunk int, n_tokens int, tokens binary, part int, k long"), "tokens")
+    table = written(_in_order(docs).mapInArrow(partial(_tokenised, vocabulary=vocabulary, length=length), "doc_id long, chunk int, n_tokens int, tokens binary, part int, k long"), "tokens")
     counts = {r.part: r.n for r in table.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, n = {}, 0
     for part in sorted(counts):
@@ -123,8 +130,9 @@ def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int =
     """(slot, shard, offset, doc_id, chunk, n_tokens, tokens): every sequence of docs(doc_id, text), in partitions of one shard each, by slot.
 
     tokens are little-endian 16-bit ids; each document ends with the END id. Null and empty texts are one sequence of END
-    alone. Repeated rows are sequences of their own. Before the permutation, sequences are numbered by input partition
-    and row, so the order depends on the input's order and the key. Only one count for each input partition and no token comes to the driver.
+    alone. Repeated rows are sequences of their own. Before the permutation, sequences are numbered by (doc_id, text hash, chunk),
+    null ids first, so the order depends on the rows and the key alone, not on the input's files, splits or order. Only one count
+    for each range and no token comes to the driver. One text must fit a task.
     """
     return next(_orders(docs, vocabulary, length, per_shard, key, waves=1))
 

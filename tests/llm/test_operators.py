@@ -214,3 +214,28 @@ def test_permutation_and_shards(spark, docs, tmp_path):
     for slot in (0, 1, len(rows) // 2, len(rows) - 1):
         assert read_record(f"file://{tmp_path}/out", slot, 64, 32)[: rows[slot].n_tokens].tobytes() == rows[slot].tokens
     assert training_order(docs.limit(0)).count() == 0
+
+
+def test_order_does_not_depend_on_splits(spark):
+    rows = [(i // 2 if i % 5 else None, None if i == 3 else f"text {i % 70} " * (i % 40)) for i in range(200)] + [(7, "again " * 30)] * 90
+    found = []
+    for n, own in ((1, rows), (3, rows[::-1]), (11, rows[100:] + rows[:100])):
+        docs = spark.createDataFrame(own, "doc_id long, text string").repartition(n)
+        found.append(sorted((r.slot, r.doc_id is None, r.doc_id, r.chunk, bytes(r.tokens)) for r in training_order(docs, length=16, per_shard=32).collect()))
+    assert found[0] == found[1] == found[2]
+
+
+def test_quantiles(spark):
+    rng = np.random.default_rng(4)
+    rows = [(int(i % 3 == 0), float(rng.integers(0, 30)), float(rng.normal()), 1.0) for i in range(500)]
+    wanted = {}
+    for k, name in enumerate("abc", 1):
+        cuts = set()
+        for label in (0, 1):
+            own = sorted(r[k] for r in rows if r[0] == label)
+            cuts |= {own[-(-q * len(own) // decision_list.BINS) - 1] for q in range(1, decision_list.BINS)}
+        wanted[name] = sorted(cuts)
+    for n in (1, 7):
+        table = spark.createDataFrame(rows, "label int, a double, b double, c double").repartition(n)
+        assert decision_list.quantiles(table, ["a", "b", "c"]) == wanted
+    assert decision_list.quantiles(table.limit(0), ["a"]) == {"a": []}
