@@ -30,14 +30,14 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/scratch-{name}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str | None = None) -> DataFrame:
     """df written once as Parquet in the shared folder and read back: its lineage ends there, and lost executors recompute nothing above it.
 
     The files stay until `forget` or until the folder is cleared: a lazy result may still need them.
     """
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     out = spark.read.schema(df.schema).parquet(path)
     out._scratch_path = path
     return out

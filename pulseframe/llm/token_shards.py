@@ -3,8 +3,8 @@
 Texts become sequences of at most `length` token ids. A keyed Feistel network permutes 0..N-1, walking its cycles until the
 number is below N, and so gives every sequence one global slot; slot div per_shard is its shard. One exchange deals slots to
 shards, ranges of exactly per_shard slots, each is sorted, and a shard file holds fixed-stride records: the record of slot s
-starts at byte (s mod per_shard) * stride, so a reader resumes anywhere by arithmetic. Tokens are packed until they are
-written, and shards are dealt in a few waves, so that one wave at a time is in exchange files beside the packed tokens and the shards.
+starts at byte (s mod per_shard) * stride, so a reader resumes anywhere by arithmetic. Tokens wait in a
+table packed page by page, and shards are dealt in a few waves, so that one wave at a time is in exchange files beside that table and the shards.
 """
 
 from __future__ import annotations
@@ -44,7 +44,7 @@ def _encoding(vocabulary: str):  # noqa: ANN202
 
 
 def _tokenised(batches: Iterator[pa.RecordBatch], vocabulary: str, length: int) -> Iterator[pa.RecordBatch]:
-    encoding, codec, part, k = _encoding(vocabulary), pa.Codec(_CODEC), TaskContext.get().partitionId(), 0
+    encoding, part, k = _encoding(vocabulary), TaskContext.get().partitionId(), 0
     for batch in batches:
         for first in range(0, batch.num_rows, 256):
             rows = batch.slice(first, 256)
@@ -56,7 +56,7 @@ def _tokenised(batches: Iterator[pa.RecordBatch], vocabulary: str, length: int)
                     ids.append(doc_id)
                     chunks.append(c)
                     sizes.append(len(own))
-                    blobs.append(codec.compress(own.astype("<u2").tobytes(), asbytes=True))
+                    blobs.append(own.astype("<u2").tobytes())
             yield pa.RecordBatch.from_arrays(
                 [pa.array(ids, pa.int64()), pa.array(chunks, pa.int32()), pa.array(sizes, pa.int32()), pa.array(blobs, pa.binary()), pa.array([part] * len(ids), pa.int32()), pa.array(range(k, k + len(ids)), pa.int64())],
                 names=["doc_id", "chunk", "n_tokens", "tokens", "part", "k"],
@@ -85,14 +85,17 @@ def permute(index: np.ndarray, n: int, key: int) -> np.ndarray:
 
 
 def _slotted(batches: Iterator[pa.RecordBatch], offsets: dict[int, int], n: int, key: int, per_shard: int, stride: int, first: int, after: int) -> Iterator[pa.RecordBatch]:
+    codec = pa.Codec(_CODEC)
     for batch in batches:
         if not batch.num_rows:
             continue
         start = np.array([offsets[p] for p in batch.column("part").to_pylist()], np.int64)
         slot = permute(start + np.asarray(batch.column("k")), n, key)
         shard, at = slot // per_shard, slot % per_shard
-        out = pa.RecordBatch.from_arrays([pa.array(slot), pa.array(shard.astype(np.int32)), pa.array(at * stride), *(batch.column(c) for c in ("doc_id", "chunk", "n_tokens", "tokens"))], names=["slot", "shard", "offset", "doc_id", "chunk", "n_tokens", "tokens"])
-        yield out.filter(pa.array((shard >= first) & (shard < after)))
+        own = pa.array((shard >= first) & (shard < after))
+        kept = pa.RecordBatch.from_arrays([pa.array(slot), pa.array(shard.astype(np.int32)), pa.array(at * stride), *(batch.column(c) for c in ("doc_id", "chunk", "n_tokens", "tokens"))], names=["slot", "shard", "offset", "doc_id", "chunk", "n_tokens", "tokens"]).filter(own)
+        blobs = [codec.compress(blob.as_buffer(), asbytes=True) for blob in kept.column("tokens")]
+        yield kept.set_column(kept.schema.get_field_index("tokens"), "tokens", pa.array(blobs, pa.binary()))
 
 
 def _unpacked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -111,7 +114,7 @@ def _in_order(docs: DataFrame) -> DataFrame:
 
 def _orders(docs: DataFrame, vocabulary: str, length: int, per_shard: int, key: int, waves: int) -> Iterator[DataFrame]:
     """training_order's rows in at most `waves` frames, each of a range of shards."""
-    table = written(_in_order(docs).mapInArrow(partial(_tokenised, vocabulary=vocabulary, length=length), "doc_id long, chunk int, n_tokens int, tokens binary, part int, k long"), "tokens")
+    table = written(_in_order(docs).mapInArrow(partial(_tokenised, vocabulary=vocabulary, length=length), "doc_id long, chunk int, n_tokens int, tokens binary, part int, k long"), "tokens", codec=_CODEC)
     counts = {r.part: r.n for r in table.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, n = {}, 0
     for part in sorted(counts):
