@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.operators import cardiac as C
-from pulseframe.operators import correction, ecg
+from pulseframe.operators import correction, ecg, monotone
 from pulseframe.operators.filters import Design
 from pulseframe.operators.speech import diagnostics
 from pulseframe.plans.filter_sql import zero_phase_ctes
@@ -118,6 +118,36 @@ def p16_a_points(spark: SparkSession, sf_dir: str) -> DataFrame:
     return C.a_points(own, x, C.c_points(own, x))
 
 
+_A_SQL = f"""{_C_SQL}, e AS (SELECT *, lag(c_point) OVER (PARTITION BY session_id ORDER BY heartbeat_id) AS lc FROM cp),
+ax AS (SELECT e.session_id, heartbeat_id, idx, value FROM e JOIN s ON s.session_id = e.session_id AND idx >= c_point - (c_point - lc) // 3 AND idx < c_point WHERE lc IS NOT NULL),
+ak AS (SELECT *, coalesce(lag(value) OVER w, last(value) OVER u) AS a, coalesce(lead(value) OVER w, first(value) OVER u) AS b FROM ax
+  WINDOW w AS (PARTITION BY session_id, heartbeat_id ORDER BY idx), u AS (PARTITION BY session_id, heartbeat_id ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)),
+ap AS (SELECT session_id, heartbeat_id, idx AS a_point FROM ak WHERE value < a AND value < b QUALIFY row_number() OVER (PARTITION BY session_id, heartbeat_id ORDER BY value, idx) = 1)"""
+
+
+@query(f"""WITH {_A_SQL}, d1 AS (SELECT *, {_G.format('value')} AS d2 FROM s {_PW}), d AS (SELECT session_id, idx, value, d2, {_G.format('d2')} AS d3 FROM d1 {_PW}),
+x AS (SELECT cp.session_id, cp.heartbeat_id, a_point, c_point, d.idx, d.value, d2, d3, arg_max(d.value, d.idx) OVER v AS top, arg_min(d.value, d.idx) OVER v AS foot, lead(d2) OVER (PARTITION BY cp.session_id, cp.heartbeat_id ORDER BY d.idx) AS nx
+  FROM cp JOIN ap USING (session_id, heartbeat_id) JOIN d ON d.session_id = cp.session_id AND d.idx BETWEEN a_point AND c_point WINDOW v AS (PARTITION BY cp.session_id, cp.heartbeat_id)),
+b0 AS (SELECT *, CASE WHEN idx = c_point THEN 'end' WHEN idx = a_point THEN 'start' WHEN idx <= c_point - 2 AND d2 < 0 AND nx >= 0 THEN 'start' WHEN idx <= c_point - 2 AND d2 >= 0 AND nx < 0 THEN 'end' END AS kind FROM x),
+b1 AS (SELECT *, kind = 'start' AND value > trunc(top / 2) AS hs FROM b0 WHERE kind IS NOT NULL),
+b2 AS (SELECT *, NOT hs AND NOT coalesce(lag(hs) OVER w, false) AS r1 FROM b1 {_BW}),
+b3 AS (SELECT *, r1 AND kind = 'end' AND value < trunc(2 * top / 3) AS le FROM b2),
+b4 AS (SELECT *, le AND NOT coalesce(lag(r1) OVER w, false) AS bad, r1 AND NOT le AND NOT coalesce(lead(le) OVER w, false) AS stays FROM b3 {_BW}),
+f AS (SELECT session_id, heartbeat_id, bool_or(bad) AS failed FROM b4 GROUP BY 1, 2),
+j AS (SELECT *, value - lag(value) OVER w AS jump, lag(idx) OVER w AS origin, count(*) OVER (PARTITION BY session_id, heartbeat_id) AS n FROM b4 WHERE stays {_BW}),
+rm AS (SELECT session_id, heartbeat_id, origin AS rs, idx AS re FROM j WHERE n > 2 AND jump IS NOT NULL QUALIFY row_number() OVER (PARTITION BY session_id, heartbeat_id ORDER BY jump DESC, idx) = 1
+  UNION ALL SELECT session_id, heartbeat_id, min(idx), max(idx) FROM j WHERE n <= 2 GROUP BY 1, 2),
+i AS (SELECT x.session_id, x.heartbeat_id, x.idx, d2, d3, top - foot AS h, lag(d3) OVER q AS pv, lead(d3) OVER q AS nv FROM x JOIN rm USING (session_id, heartbeat_id) WHERE x.idx >= rs AND x.idx < re - CAST(trunc({2 / 3!r}::DOUBLE * (re - rs)) AS BIGINT)
+  WINDOW q AS (PARTITION BY x.session_id, x.heartbeat_id ORDER BY x.idx)),
+t AS (SELECT session_id, heartbeat_id, max(idx) AS hit FROM i WHERE (nv IS NOT NULL AND (d3 < 0) <> (nv < 0) AND d2 >= 0 AND d2 < 10 * h / 20.0::DOUBLE) OR (d3 >= coalesce(pv, d3) AND d3 >= coalesce(nv, d3) AND d3 >= 4 * h / 20.0::DOUBLE) GROUP BY 1, 2)
+SELECT hb.session_id, hb.heartbeat_id, CASE WHEN a_point IS NULL OR failed OR rs IS NULL OR (rs = a_point AND re = a_point) THEN NULL ELSE coalesce(hit, rs) END AS b_point
+FROM hb LEFT JOIN ap USING (session_id, heartbeat_id) LEFT JOIN f USING (session_id, heartbeat_id) LEFT JOIN rm USING (session_id, heartbeat_id) LEFT JOIN t USING (session_id, heartbeat_id)""")
+def p15_b_points_monotone(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """B points in the first third of the steepest rise between A and C."""
+    own, x = beats(spark, sf_dir)
+    return monotone.b_points_monotone(own, x, C.c_points(own, x), FS)
+
+
 _EXTREMA = """{0}f AS (SELECT *, {1} AS u, CASE WHEN value = lag(value) OVER w THEN 0 ELSE 1 END AS fresh FROM x WINDOW w AS (PARTITION BY session_id, heartbeat_id ORDER BY idx)),
 {0}g AS (SELECT *, sum(fresh) OVER (PARTITION BY session_id, heartbeat_id ORDER BY idx) AS run FROM {0}f),
 {0}h AS (SELECT session_id, heartbeat_id, run, (min(idx) + max(idx)) // 2 AS idx, first(u) AS u FROM {0}g GROUP BY 1, 2, 3),
