@@ -17,13 +17,15 @@ from pyspark.sql import DataFrame
 
 @dataclass(frozen=True)
 class Design:
-    """kind butterworth (low only: high-pass, high only: low-pass, both: band-pass; order of the prototype) or hilbert."""
+    """kind butterworth (low only: high-pass, high only: low-pass, both: band-pass; order of the prototype), elliptic (band-pass of even order, ripple and depth in dB) or hilbert."""
 
     kind: str
     order: int = 4
     low: float | None = None
     high: float | None = None
     fs: float = 1000.0
+    ripple: float = 1.0
+    depth: float = 80.0
 
 
 def butterworth(d: Design) -> np.ndarray:
@@ -188,8 +190,65 @@ def spaced_peaks(x: np.ndarray, height: float, distance: float) -> np.ndarray:
     return at[keep]
 
 
+def _theta_modulus(q: float) -> float:
+    """The elliptic modulus of a nome."""
+    m = np.arange(12)
+    return 4 * math.sqrt(q) * (float(np.sum(q ** (m * (m + 1)))) / (1 + 2 * float(np.sum(q ** ((m + 1) ** 2))))) ** 2
+
+
+def _complete(k: float) -> float:
+    """The complete elliptic integral of the first kind, by the arithmetic-geometric mean."""
+    a, g = 1.0, math.sqrt(1 - k * k)
+    while abs(a - g) > 1e-15 * a:
+        a, g = (a + g) / 2, math.sqrt(a * g)
+    return math.pi / (a + g)
+
+
+def _cd(u: np.ndarray, k: float) -> np.ndarray:
+    """cd(u * K, k) for complex u, by descending Landen steps."""
+    steps = []
+    while k > 1e-12:
+        k = (k / (1 + math.sqrt(1 - k * k))) ** 2
+        steps.append(k)
+    w = np.cos(u * math.pi / 2)
+    for v in reversed(steps):
+        w = (1 + v) * w / (1 + v * w * w)
+    return w
+
+
+def elliptic(d: Design) -> np.ndarray:
+    """Second-order sections of the digital elliptic band-pass of even order: `ripple` dB inside low..high, `depth` dB far outside."""
+    if d.order % 2 or not (d.low and d.high):
+        raise ValueError("an elliptic design is a band-pass of even order")
+    inner, outer = (math.sqrt(10 ** (db / 10) - 1) for db in (d.ripple, d.depth))
+    k1 = inner / outer
+    k = _theta_modulus(math.exp(-math.pi * _complete(math.sqrt(1 - k1 * k1)) / _complete(k1) / d.order))
+    # where the prototype's poles leave the axis: an incomplete integral of the complementary modulus, smooth on its short range
+    x, weight = np.polynomial.legendre.leggauss(128)
+    top = math.atan(1 / inner)
+    part = top / 2 * float(np.sum(weight / np.sqrt(1 - (1 - k1 * k1) * np.sin(top / 2 * (x + 1)) ** 2)))
+    u = (2 * np.arange(1, d.order // 2 + 1) - 1) / d.order
+    zeros, poles = 1j / (k * _cd(u, k)), 1j * _cd(u + 1j * part / (d.order * _complete(k1)) * -1, k)
+    lo, hi = (2 * d.fs * math.tan(math.pi * f / d.fs) for f in (d.low, d.high))
+
+    def band(roots: np.ndarray) -> list[complex]:
+        """Upper half of the digital band-pass roots of conjugate pairs of prototype roots."""
+        half = np.concatenate([roots, roots.conj()]) * (hi - lo) / 2
+        analog = np.concatenate([half + np.sqrt(half * half - lo * hi), half - np.sqrt(half * half - lo * hi)])
+        z = (2 * d.fs + analog) / (2 * d.fs - analog)
+        return sorted(z[z.imag > 0], key=lambda r: np.angle(r))
+
+    probe = np.exp(-2j * math.atan(math.sqrt(lo * hi) / (2 * d.fs)) * np.arange(3))
+    sections = []
+    for zero, pole in zip(band(zeros), band(poles), strict=True):
+        b, a = np.array([1, -2 * zero.real, abs(zero) ** 2]), np.array([1, -2 * pole.real, abs(pole) ** 2])
+        gain = abs((a @ probe) / (b @ probe)) * (10 ** (-d.ripple / 20) if not sections else 1.0)  # an even order starts at the ripple's floor
+        sections.append([*(b * gain), a[1], a[2]])
+    return np.array(sections)
+
+
 def sections_of(d: Design) -> np.ndarray:
-    return butterworth(d)
+    return elliptic(d) if d.kind == "elliptic" else butterworth(d)
 
 
 def kernel(d: Design) -> Callable[[np.ndarray], np.ndarray]:

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.operators import cardiac as C
-from pulseframe.operators import correction, ecg, monotone
+from pulseframe.operators import autoregression, correction, ecg, monotone
 from pulseframe.operators.filters import Design
 from pulseframe.operators.speech import diagnostics
 from pulseframe.plans.filter_sql import zero_phase_ctes
@@ -211,6 +211,12 @@ def p20_correct_interpolation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return correction.corrected(_b_points(spark, sf_dir), FS)
 
 
+@query()
+def p24_correct_autoregressive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The loop with forward and backward predictions instead of lines."""
+    return autoregression.corrected(_b_points(spark, sf_dir), FS)
+
+
 @query()
 def p27_ao_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
     """AO points at the largest smoothed envelope in the 200 ms after R."""

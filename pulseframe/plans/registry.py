@@ -25,6 +25,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 # ruff: noqa: E402
-from pulseframe.plans import cardiac, features, rr, signals, speech, vectors
+from pulseframe.plans import cardiac, features, recordings, rr, signals, speech, vectors
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "cardiac", "features", "query", "rr", "signals", "speech", "vectors"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "cardiac", "features", "query", "recordings", "rr", "signals", "speech", "vectors"]

@@ -143,6 +143,7 @@ def _filtered(name: str, kind: str, **design: object) -> None:
 
 
 _filtered("s2_butterworth_icg", "butterworth", order=4, low=0.5, high=25.0, fs=1000.0)
+_filtered("s3_elliptic_icg", "elliptic", order=2, low=0.75, high=40.0, fs=1000.0)
 _filtered("s5_butterworth_scg", "butterworth", order=4, low=5.0, high=40.0, fs=500.0)
 _filtered("s7_highpass", "butterworth", order=4, low=20.0, fs=500.0)
 _filtered("s8_lowpass", "butterworth", order=4, high=20.0, fs=500.0)
