@@ -32,6 +32,7 @@ LENGTH, PER_SHARD = 1024, 8192
 _ROUNDS = 6
 _WAVES = 4
 _CODEC = "zstd"
+_ROWS = "slot long, shard int, offset long, doc_id long, chunk int, n_tokens int, tokens binary"
 
 
 @lru_cache(maxsize=1)
@@ -113,20 +114,19 @@ def _in_order(docs: DataFrame) -> DataFrame:
 
 
 def _orders(docs: DataFrame, vocabulary: str, length: int, per_shard: int, key: int, waves: int) -> Iterator[DataFrame]:
-    """training_order's rows in at most `waves` frames, each of a range of shards."""
+    """training_order's rows, tokens still packed, in at most `waves` frames, each of a range of shards."""
     table = written(_in_order(docs).mapInArrow(partial(_tokenised, vocabulary=vocabulary, length=length), "doc_id long, chunk int, n_tokens int, tokens binary, part int, k long"), "tokens", codec=_CODEC)
     counts = {r.part: r.n for r in table.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     offsets, n = {}, 0
     for part in sorted(counts):
         offsets[part] = n
         n += counts[part]
-    schema = "slot long, shard int, offset long, doc_id long, chunk int, n_tokens int, tokens binary"
     shards = max(1, -(-n // per_shard))
     step = -(-shards // waves)
     for first in range(0, shards, step):
         after = min(shards, first + step)
-        dealt = table.mapInArrow(partial(_slotted, offsets=offsets, n=n, key=key, per_shard=per_shard, stride=2 * length, first=first, after=after), schema)
-        yield dealt.repartitionById(after - first, F.col("shard") - first).sortWithinPartitions("slot").mapInArrow(_unpacked, schema)
+        dealt = table.mapInArrow(partial(_slotted, offsets=offsets, n=n, key=key, per_shard=per_shard, stride=2 * length, first=first, after=after), _ROWS)
+        yield dealt.repartitionById(after - first, F.col("shard") - first).sortWithinPartitions("slot")
 
 
 def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int = LENGTH, per_shard: int = PER_SHARD, key: int = 20240607) -> DataFrame:
@@ -137,10 +137,10 @@ def training_order(docs: DataFrame, vocabulary: str = VOCABULARY, length: int =
     null ids first, so the order depends on the rows and the key alone, not on the input's files, splits or order. Only one count
     for each range and no token comes to the driver. One text must fit a task.
     """
-    return next(_orders(docs, vocabulary, length, per_shard, key, waves=1))
+    return next(_orders(docs, vocabulary, length, per_shard, key, waves=1)).mapInArrow(_unpacked, _ROWS)
 
 
-def _write(batches: Iterator[pa.RecordBatch], out: str, length: int) -> Iterator[pa.RecordBatch]:
+def _write(batches: Iterator[pa.RecordBatch], out: str, length: int, packed: bool) -> Iterator[pa.RecordBatch]:
     from pyarrow import fs
 
     store, base = fs.FileSystem.from_uri(out)
@@ -151,7 +151,7 @@ def _write(batches: Iterator[pa.RecordBatch], out: str, length: int) -> Iterator
             sink.close()
             store.move(name, f"{base}/shard-{current:06d}.bin")
 
-    for batch in batches:
+    for batch in _unpacked(batches) if packed else batches:
         for shard, n, blob in zip(batch.column("shard").to_pylist(), batch.column("n_tokens").to_pylist(), batch.column("tokens"), strict=True):
             if shard != current:
                 close()
@@ -162,13 +162,13 @@ def _write(batches: Iterator[pa.RecordBatch], out: str, length: int) -> Iterator
     close()
 
 
-def _index(ordered: DataFrame, out: str, length: int, path: str) -> None:
-    """Writes the shards of training_order's rows under `out` and appends (slot, shard, doc_id, chunk, n_tokens) of their records to the table `path`."""
+def _index(ordered: DataFrame, out: str, length: int, path: str, packed: bool) -> None:
+    """Writes the shards of ordered rows, tokens packed or not, under `out` and appends (slot, shard, doc_id, chunk, n_tokens) of their records to the table `path`."""
     from pyarrow import fs
 
     store, base = fs.FileSystem.from_uri(out)
     store.create_dir(base, recursive=True)
-    ordered.mapInArrow(partial(_write, out=out, length=length), _INDEX).write.mode("append").parquet(path)
+    ordered.mapInArrow(partial(_write, out=out, length=length, packed=packed), _INDEX).write.mode("append").parquet(path)
 
 
 _INDEX = "slot long, shard int, doc_id long, chunk int, n_tokens int"
@@ -180,7 +180,7 @@ def write_shards(ordered: DataFrame, out: str, length: int = LENGTH, per_shard:
     A task writes under a temporary name and moves the whole shard, so a repeated task only replaces a shard by an equal one.
     """
     path = new_path(ordered.sparkSession, "manifest")
-    _index(ordered, out, length, path)
+    _index(ordered, out, length, path, packed=False)
     return ordered.sparkSession.read.schema(_INDEX).parquet(path).groupBy("shard").agg(F.count(F.lit(1)).alias("records"), F.sum("n_tokens").alias("tokens"))
 
 
@@ -234,9 +234,8 @@ def stored_order(docs: DataFrame, out: str, vocabulary: str = VOCABULARY, length
     path = new_path(spark, "index")
     with _exchange_files_dropped(spark):
         for ordered in _orders(docs, vocabulary, length, per_shard, key, _WAVES):
-            _index(ordered, out, length, path)
-    schema = "slot long, shard int, offset long, doc_id long, chunk int, n_tokens int, tokens binary"
-    return spark.read.schema(_INDEX).parquet(path).mapInArrow(partial(_read, out=out, length=length, per_shard=per_shard), schema)
+            _index(ordered, out, length, path, packed=True)
+    return spark.read.schema(_INDEX).parquet(path).mapInArrow(partial(_read, out=out, length=length, per_shard=per_shard), _ROWS)
 
 
 def read_record(out: str, slot: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> np.ndarray:
