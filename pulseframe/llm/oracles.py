@@ -73,3 +73,31 @@ SELECT page_id, host, path, arg_max(rh || rp, length(rh || rp)) AS rule, coalesc
 FROM p LEFT JOIN r ON (host = rh OR ends_with(host, '.' || rh)) AND starts_with(path, rp)
 GROUP BY page_id, host, path
 """
+
+_TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
+SQL["op13_source_divergence"] = rf"""
+WITH d AS (
+  SELECT row_number() OVER () AS r, coalesce(lang, '') AS lang, coalesce(source, '') AS source, regexp_extract_all({_LOWER}, '{_TERM}') AS ts FROM documents),
+w AS (SELECT r, lang, source, unnest(ts) AS term FROM d),
+vocabulary AS (SELECT lang, term, count(*) AS n FROM w GROUP BY lang, term HAVING count(DISTINCT r) >= 3),
+cells AS (SELECT w.lang, w.source, w.term, count(*) AS n FROM w JOIN vocabulary v ON v.lang = w.lang AND v.term = w.term GROUP BY ALL),
+langs AS (
+  SELECT lang, coalesce(sum(n), 0) AS total, count(term) AS v FROM (SELECT DISTINCT lang FROM d) LEFT JOIN vocabulary USING (lang) GROUP BY lang),
+groups AS (
+  SELECT g.lang, g.source, coalesce(sum(c.n), 0) AS total FROM (SELECT DISTINCT lang, source FROM d) g LEFT JOIN cells c USING (lang, source) GROUP BY ALL),
+shares AS (
+  SELECT g.lang, g.source, k.term, coalesce(c.n, 0) AS n,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (coalesce(c.n, 0) + 1)) // (g.total + l.v) AS BIGINT) AS p,
+    CAST(1 + (CAST(1000000000 AS HUGEINT) * (k.n + 1)) // (l.total + l.v) AS BIGINT) AS q
+  FROM groups g JOIN langs l USING (lang) JOIN vocabulary k USING (lang) LEFT JOIN cells c ON c.lang = g.lang AND c.source = g.source AND c.term = k.term),
+pairs AS (
+  SELECT a.lang, a.source, b.source AS item, sum(((a.p - b.p) * (a.p - b.p)) // b.p) AS value
+  FROM shares a JOIN shares b ON a.lang = b.lang AND a.term = b.term AND a.source <> b.source GROUP BY ALL),
+parts AS (
+  SELECT g.lang, g.source, 'pair' AS part, h.source AS item, CAST(coalesce(p.value, 0) AS BIGINT) AS value
+  FROM groups g JOIN groups h ON g.lang = h.lang AND g.source <> h.source LEFT JOIN pairs p ON p.lang = g.lang AND p.source = g.source AND p.item = h.source
+  UNION ALL
+  SELECT lang, source, 'term', term, CAST(((p - q) * (p - q)) // q AS BIGINT) FROM shares WHERE n > 0 AND p > q)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INTEGER) AS rank
+FROM parts QUALIFY part = 'pair' OR rank <= 200
+"""

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from pulseframe.llm import decision_list, line_crf, oracles
+from pulseframe.llm import byte_bpe, decision_list, divergence, line_crf, oracles
 from pulseframe.llm.decontam import find_contamination
 from pulseframe.llm.line_dedup import dedup_lines
 from pulseframe.llm.mixing import mix
@@ -17,6 +17,7 @@ from pulseframe.llm.scratch import new_path
 from pulseframe.llm.sharding import shard
 from pulseframe.llm.token_shards import stored_order
 from pulseframe.llm.url_filter import filter_urls, rules_frame
+from pulseframe.llm.whitening import whiten
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = oracles.SQL
@@ -118,3 +119,26 @@ def op10_histogram_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of nearly equal bytes."""
     out = shard(table(spark, sf_dir, "documents"), n_shards=16)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
+
+
+@query
+def op11_embedding_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first 16 whitened components of every usable embedding."""
+    return whiten(table(spark, sf_dir, "embeddings"), components=16)
+
+
+@query
+def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document and the bytes that they decode to, as digests."""
+    import public_tokenizers
+
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    ids = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "ids")
+    digests = (F.sha2(byte_bpe.little_endian(F.col("ids")), 256).alias("ids_sha256"), F.sha2(byte_bpe.decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"))
+    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *digests)
+
+
+@query
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How far every source is from the others of its language, and the terms that set it apart."""
+    return divergence.audit(table(spark, sf_dir, "documents"), least_docs=3, ranks=200)
