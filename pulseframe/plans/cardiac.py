@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.operators import cardiac as C
-from pulseframe.operators import autoregression, correction, ecg, monotone
+from pulseframe.operators import autoregression, correction, ecg, monotone, visibility, wavelets
 from pulseframe.operators.filters import Design
 from pulseframe.operators.speech import diagnostics
 from pulseframe.plans.filter_sql import zero_phase_ctes
@@ -231,3 +231,35 @@ def i15_diagnostics(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = beats(spark, sf_dir)
     points = C.c_points(*own).withColumn("c_point", F.when(F.col("heartbeat_id") % 4 != 1, F.col("c_point")))
     return diagnostics(points, "c_point")
+
+
+_HOPS = 24
+_HOP = "w{0} AS (SELECT e.session_id, e.heartbeat_id, e.hi AS idx, sum(w) AS w FROM e JOIN w{1} u ON u.session_id = e.session_id AND u.heartbeat_id = e.heartbeat_id AND u.idx = e.lo GROUP BY 1, 2, 3)"
+
+
+@query(f"""WITH {_BEATS_SQL}, x AS (SELECT hb.session_id, heartbeat_id, idx, value FROM hb JOIN s ON s.session_id = hb.session_id AND idx >= start_sample AND idx < end_sample),
+v AS (SELECT i.session_id, i.heartbeat_id, i.idx AS i, j.idx AS j, i.value AS vi, j.value AS vj, (j.value - i.value) / (j.idx - i.idx) AS slope FROM x i JOIN x j ON j.session_id = i.session_id AND j.heartbeat_id = i.heartbeat_id AND i.idx < j.idx),
+p AS (SELECT *, min(slope) OVER (PARTITION BY session_id, heartbeat_id, j ORDER BY i DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS nearer FROM v),
+e AS (SELECT session_id, heartbeat_id, CASE WHEN vi > vj THEN i ELSE j END AS hi, CASE WHEN vi > vj THEN j ELSE i END AS lo FROM p WHERE vi <> vj AND (nearer IS NULL OR slope < nearer)),
+w0 AS (SELECT session_id, heartbeat_id, idx, 1.0::DOUBLE AS w FROM x), {", ".join(_HOP.format(k, k - 1) for k in range(1, _HOPS))},
+h AS ({" UNION ALL ".join(f"SELECT session_id, heartbeat_id, idx, w, {k} AS h FROM w{k}" for k in range(_HOPS))}),
+c AS (SELECT session_id, heartbeat_id, h, count(*) AS cnt FROM h GROUP BY 1, 2, 3), n AS (SELECT session_id, heartbeat_id, count(*) AS n, min(value) AS low FROM x GROUP BY 1, 2),
+f AS (SELECT session_id, heartbeat_id, any_value(n) AS n, any_value(low) AS low, coalesce(min(h) FILTER (cnt <= (1 - 0.55::DOUBLE) * n), max(h)) AS h FROM c JOIN n USING (session_id, heartbeat_id) GROUP BY 1, 2),
+z AS (SELECT f.session_id, f.heartbeat_id, x.idx AS c_point FROM f JOIN x USING (session_id, heartbeat_id) LEFT JOIN h ON h.session_id = f.session_id AND h.heartbeat_id = f.heartbeat_id AND h.h = f.h AND h.idx = x.idx
+  QUALIFY row_number() OVER (PARTITION BY f.session_id, f.heartbeat_id ORDER BY coalesce(w, 0) * (value - low) DESC, x.idx) = 1)
+SELECT hb.session_id, hb.heartbeat_id, c_point FROM hb LEFT JOIN z USING (session_id, heartbeat_id)""")
+def p10_c_points_visibility(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return visibility.c_points_by_visibility(*beats(spark, sf_dir))
+
+
+@query(f"""WITH {_BEATS_SQL}, a AS (SELECT session_id, idx, round(2 * value - 2 * lag(value) OVER w, 9) AS w1,
+  round((lead(value, 2) OVER w + 3 * lead(value) OVER w + 2 * value - 2 * lag(value) OVER w - 3 * lag(value, 2) OVER w - lag(value, 3) OVER w) / 4, 9) AS w2 FROM s {_PW}),
+m AS (SELECT *, CASE WHEN abs(w1) >= coalesce(abs(lag(w1) OVER w), -1) AND abs(w1) > coalesce(abs(lead(w1) OVER w), -1) THEN sign(w1) ELSE 0 END AS e1,
+  CASE WHEN abs(w2) >= coalesce(abs(lag(w2) OVER w), -1) AND abs(w2) > coalesce(abs(lead(w2) OVER w), -1) THEN sign(w2) ELSE 0 END AS e2 FROM a {_PW}),
+t AS (SELECT *, e2 < 0 AND min(e1) OVER (PARTITION BY session_id ORDER BY idx ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING) < 0 AS fall, w2 < 0 AND lead(w2) OVER w >= 0 AS turn FROM m {_PW}),
+u AS (SELECT hb.session_id, heartbeat_id, idx AS rise, w2 AS size FROM hb JOIN t ON t.session_id = hb.session_id AND idx BETWEEN r_peak_sample - 8 AND r_peak_sample WHERE e2 > 0 QUALIFY row_number() OVER (PARTITION BY hb.session_id, heartbeat_id ORDER BY w2 DESC, idx) = 1),
+d AS (SELECT u.session_id, heartbeat_id, max(idx) FILTER (fall AND -w2 >= 0.06 * size) AS down, max(idx) FILTER (turn) AS q FROM u JOIN t ON t.session_id = u.session_id AND idx BETWEEN rise - 8 AND rise - 1 GROUP BY 1, 2),
+f AS (SELECT hb.session_id, hb.heartbeat_id, r_peak_sample, max(q) AS q FROM hb LEFT JOIN (SELECT session_id, q FROM d WHERE q >= down) c ON c.session_id = hb.session_id AND q > start_sample AND q < end_sample GROUP BY 1, 2, 3)
+SELECT session_id, heartbeat_id, CASE WHEN q <= r_peak_sample THEN q END AS q_peak FROM f""")
+def p6_q_peaks_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wavelets.q_peaks_by_wavelet(*beats(spark, sf_dir), FS, search=0.4)
