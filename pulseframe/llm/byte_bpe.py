@@ -5,8 +5,8 @@ a fold over it merges, step by step, the pair of neighbours whose bytes together
 The ranks are a literal of the plan: an array of small maps, addressed by the CRC of the bytes, since one large map would be
 searched from its start.
 
-The commonest distinct words of all texts are folded once and then looked up in a literal of the same kind; other words are
-folded where they stand. So no word and no text moves, and the table of words, of bounded size, changes only the work.
+The commonest distinct words of all texts are folded once, into a table of bounded size; of its other words a text folds each distinct
+one itself. Arrow batches put the words' tokens in the texts' order. So no word and no text moves, and the table changes only the work.
 """
 
 from __future__ import annotations
@@ -15,12 +15,15 @@ import base64
 import json
 import zlib
 from collections.abc import Callable, Iterator
-from functools import lru_cache
+from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
 
+import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
 
 from pulseframe.llm.scratch import forget, parallelism, written
 
@@ -37,17 +40,18 @@ _NEW_LETTERS = (
 _NEW_NUMBERS = "10d40-10d49 116d0-116e3 11bf0-11bf9 11f50-11f59 16130-16139 16ac0-16ac9 16d70-16d79 1ccf0-1ccf9 1d2c0-1d2d3 1e4f0-1e4f9 1e5f1-1e5fa"
 
 
-def _ranges(listed: str) -> str:
-    return "".join(r"\x{%s}-\x{%s}" % tuple(r.split("-")) for r in listed.split())
+def _newer(listed: str) -> str:
+    """A character class of the listed ranges, behind one range that turns older characters away at once."""
+    return r"[\x{870}-\x{323af}&&[" + "".join(r"\x{%s}-\x{%s}" % tuple(r.split("-")) for r in listed.split()) + "]]"
 
 
-_L, _N, _S = r"\p{L}" + _ranges(_NEW_LETTERS), r"\p{N}" + _ranges(_NEW_NUMBERS), r"\p{IsWhite_Space}"
-#: The vocabulary's pattern with its classes spelt out, as Java reads \s and \p otherwise.
-PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^{_S}{_L}{_N}]+|{_S}+(?![^{_S}])|{_S}+"
+_L, _N, _S = r"\p{L}" + _newer(_NEW_LETTERS), r"\p{N}" + _newer(_NEW_NUMBERS), r"\p{IsWhite_Space}"
+#: The vocabulary's pattern with its classes spelt out, as Java reads \s and \p otherwise. Classes are tried from the commonest on, and never given back.
+PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?[a-zA-Z{_L}]++| ?[0-9{_N}]++| ?[^{_S}{_L}{_N}]++|{_S}+(?![^{_S}])|{_S}++"
 
 _NO_RANK = (1 << 31) - 1
 #: At most so many words are in the table of the plan, each of at most so many characters.
-TABLE_WORDS, TABLE_CHARS = 1 << 15, 32
+TABLE_WORDS, TABLE_CHARS = 1 << 16, 32
 #: A longer word (in bytes) is merged by a heap, as a fold's work grows with the square of it. Both ways give the same tokens.
 FOLDED_BYTES = 2048
 _RANK_BUCKETS, _WORD_BUCKETS = 1 << 14, 1 << 13
@@ -86,17 +90,19 @@ def _rank(table: Column, part: Column) -> Column:
     return _found(table, part, _RANK_BUCKETS)
 
 
+def _state(parts: Column, following: Column) -> Column:
+    return _let(following, lambda f: F.struct(parts.alias("parts"), f.alias("next"), F.array_min(f).alias("low")))
+
+
 def _merged(state: Column, p: Column, table: Column) -> Column:
-    """The state after its parts p and p + 1 have become one: next[i] is the rank of part i with the part after it."""
+    """The state after its parts p and p + 1 have become one: next[i] is the rank of part i with the part after it, low the least of them."""
     parts, following, n = state["parts"], state["next"], F.size(state["parts"])
     either = lambda s: F.array(F.coalesce(_rank(table, s), F.lit(_NO_RANK)))
 
     def with_joined(joined: Column) -> Column:
-        before = F.when(p > 1, either(F.concat(F.get(parts, p - 2), joined))).otherwise(F.array().cast("array<int>"))
-        return F.struct(
-            F.concat(F.slice(parts, F.lit(1), p - 1), F.array(joined), F.slice(parts, p + 2, n)).alias("parts"),
-            F.concat(F.slice(following, F.lit(1), F.greatest(p - 2, F.lit(0))), before, either(F.concat(joined, F.get(parts, p + 1))), F.slice(following, p + 2, n)).alias("next"),
-        )
+        last = either(F.concat(joined, F.get(parts, p + 1)))
+        around = F.when(p > 1, F.concat(F.slice(following, F.lit(1), p - 2), either(F.concat(F.get(parts, p - 2), joined)), last)).otherwise(last)
+        return _state(F.concat(F.slice(parts, F.lit(1), p - 1), F.array(joined), F.slice(parts, p + 2, n)), F.concat(around, F.slice(following, p + 2, n)))
 
     return _let(F.concat(F.get(parts, p - 1), F.get(parts, p)), with_joined)
 
@@ -105,12 +111,11 @@ def _folded(word: Column, table: Column) -> Column:
     """The ranks of the parts that the ranked merges leave of a word of bytes."""
 
     def step(state: Column, _: Column) -> Column:
-        low = F.array_min(state["next"])
-        return F.when(low == _NO_RANK, state).otherwise(_let(F.array_position(state["next"], low).cast("int"), lambda p: _merged(state, p, table)))
+        return F.when(state["low"] == _NO_RANK, state).otherwise(_let(F.array_position(state["next"], state["low"]).cast("int"), lambda p: _merged(state, p, table)))
 
     def merges(parts: Column) -> Column:
         pairs = F.transform(parts, lambda c, i: F.coalesce(_rank(table, F.concat(c, F.get(parts, i + 1))), F.lit(_NO_RANK)))
-        return F.aggregate(F.sequence(F.lit(1), F.size(parts)), F.struct(parts.alias("parts"), pairs.alias("next")), step, lambda state: F.transform(state["parts"], lambda s: _rank(table, s)))
+        return F.aggregate(F.sequence(F.lit(2), F.size(parts)), _state(parts, pairs), step, lambda state: F.transform(state["parts"], lambda s: _rank(table, s)))
 
     whole = _rank(table, word)
     return F.when(whole.isNotNull(), F.array(whole)).otherwise(_let(F.regexp_extract_all(word, F.lit("(?s)."), F.lit(0)), merges))
@@ -148,12 +153,23 @@ def _heap_merged(word: bytes, table: dict[bytes, int]) -> list[int]:
     return out
 
 
-def _long_words(vocabulary: str) -> Callable[[Iterator[pa.Array]], Iterator[pa.Array]]:
-    def merged(arrays: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        for words in arrays:
-            yield pa.array([[_heap_merged(w.encode(), ranks(vocabulary)) for w in own or ()] for own in words.to_pylist()], pa.list_(pa.list_(pa.int32())))
-
-    return merged
+def _assembled(batches: Iterator[pa.RecordBatch], known: Broadcast, vocabulary: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
+    """The columns and ids: each text's words, in order, replaced by their tokens."""
+    common = known.value
+    for batch in batches:
+        ids, ends = [np.zeros(0, np.int32)], [0]
+        for own, names, tokens in zip(*(batch.column(c) for c in ("words", "rare", "rare_ids")), strict=True):
+            found = dict(zip(names.as_py() or (), tokens.as_py() or (), strict=True))
+            flat: list[int] = []
+            for w in own.values.to_pylist():
+                of = common.get(w) or found.get(w)
+                if of is None:  # a long one
+                    of = found[w] = _heap_merged(w.encode(), ranks(vocabulary))
+                flat += of
+            ids.append(np.array(flat, np.int32))
+            ends.append(ends[-1] + len(flat))
+        made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
+        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), made], names=[*columns, "ids"])
 
 
 def split(docs: DataFrame) -> DataFrame:
@@ -192,24 +208,18 @@ def _rank_literal(vocabulary: str) -> Column:
 def encode(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = TABLE_WORDS) -> DataFrame:
     """docs with `ids`, the token ids of text as an array: every match of the pattern encoded by itself, without special tokens.
 
-    Null and empty texts have no ids. Repeated rows are encoded each. Columns `words` and `long_words` must not be in docs; `ids` is
-    replaced. Texts are encoded whole, one in a task; words of more than FOLDED_BYTES bytes are merged in Arrow batches by a heap.
+    Null and empty texts have no ids. Repeated rows are encoded each. Columns `words`, `rare` and `rare_ids` must not be in docs; `ids` is
+    replaced by the last column. Texts are encoded whole, one in a task; words of more than FOLDED_BYTES bytes are merged by a heap.
     An empty table gives an empty result.
     """
     common = word_table(docs.select("text"), vocabulary, most)
-    known = _bucketed({word: ids for word, ids in common.items()}, _WORD_BUCKETS, "array<int>")
-    is_long = lambda w: F.octet_length(w) > FOLDED_BYTES
-    heap = F.arrow_udf(_long_words(vocabulary), "array<array<int>>")
-    parts = split(docs).withColumn("long_words", F.filter(F.array_distinct("words"), is_long))
-    parts = parts.withColumn("long_ids", heap(F.col("long_words")))
-
-    def one(w: Column, known_words: Column, table: Column) -> Column:
-        by_heap = F.get(F.col("long_ids"), (F.array_position("long_words", w) - 1).cast("int"))
-        return F.coalesce(_found(known_words, w, _WORD_BUCKETS), F.when(is_long(w), by_heap), _let(_bytes_of(w), lambda b: _folded(b, table)))
-
-    both = F.struct(known.alias("known"), _rank_literal(vocabulary).alias("ranks"))
-    codes = _let(both, lambda t: F.flatten(F.transform("words", lambda w: one(w, t["known"], t["ranks"]))))
-    return parts.withColumn("ids", codes).drop("words", "long_words", "long_ids")
+    known, by_rank = _bucketed(dict.fromkeys(common, 1), _WORD_BUCKETS, "int"), _rank_literal(vocabulary)
+    to_fold = lambda t: F.filter(F.array_distinct("words"), lambda w: _found(t, w, _WORD_BUCKETS).isNull() & (F.octet_length(w) <= FOLDED_BYTES))
+    folded = lambda t: F.transform("rare", lambda w: _let(_bytes_of(w), lambda b: _folded(b, t)))
+    parts = split(docs).withColumn("rare", _let(known, to_fold)).withColumn("rare_ids", _let(by_rank, folded))
+    columns = [c for c in docs.columns if c != "ids"]
+    schema = StructType([*(docs.schema[c] for c in columns), StructField("ids", ArrayType(IntegerType()))])
+    return parts.mapInArrow(partial(_assembled, known=docs.sparkSession.sparkContext.broadcast(common), vocabulary=vocabulary, columns=columns), schema)
 
 
 def decode(ids: Column, vocabulary: str = VOCABULARY) -> Column:
@@ -219,10 +229,10 @@ def decode(ids: Column, vocabulary: str = VOCABULARY) -> Column:
     for token, rank in table.items():
         pieces[rank] = token.hex()
     literal = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
-    return _let(literal, lambda t: F.unhex(F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(t, i), F.raise_error(F.lit("unknown token id")).cast("string"))), "")))
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(literal, i), F.raise_error(F.lit("unknown token id")).cast("string"))), ""))
 
 
-def little_endian(ids: Column) -> Column:
-    """Ids below 65,536 as little-endian unsigned 32-bit integers, one after the other."""
-    swapped = lambda i: F.lpad(F.hex(F.shiftleft(i.bitwiseAND(255), 8).bitwiseOR(F.shiftright(i, 8))), 4, "0")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.concat(swapped(i), F.lit("0000"))), ""))
+def little_endian(ids: Column, size: int = 1 << 16) -> Column:
+    """Ids below `size` as little-endian unsigned 32-bit integers, one after the other."""
+    literal = F.from_json(F.lit(json.dumps([i.to_bytes(4, "little").hex() for i in range(size)], separators=(",", ":"))), "array<string>")
+    return F.unhex(F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(literal, i), F.raise_error(F.lit("too large a token id")).cast("string"))), ""))
