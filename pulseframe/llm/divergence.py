@@ -11,13 +11,19 @@ every group, then histograms over two bytes of the terms at a time find which ro
 
 from __future__ import annotations
 
+import re
+from collections import Counter
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.llm.scratch import forget, spread_join, written
 
-TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-_UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
+#: Terms in UTF-8: every byte beyond ASCII belongs to one, so bytes and code points give the same.
+TERM = re.compile(rb"[^\x00-\x40\x5B-\x60\x7B-\x7F]+")
+_LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 _BITS = 16
 GROUP = ["lang", "source"]
 
@@ -35,13 +41,25 @@ def _filled(docs: DataFrame) -> DataFrame:
     return docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")))
 
 
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(lang, source, term, n, docs) of each batch."""
+    for batch in batches:
+        found: dict[tuple[str, str], tuple[Counter[bytes], Counter[bytes]]] = {}
+        for text, *group in zip(batch.column("text").cast(pa.binary()), batch.column("lang").to_pylist(), batch.column("source").to_pylist(), strict=True):
+            terms = TERM.findall(text.as_py().translate(_LOWER))
+            n, docs = found.setdefault(tuple(group), (Counter(), Counter()))
+            n.update(terms)
+            docs.update(set(terms))
+        for (lang, source), (n, docs) in found.items():
+            terms = pa.array(list(n), pa.binary()).cast(pa.string())
+            counts = [pa.array(list(n.values()), pa.int64()), pa.array([docs[t] for t in n], pa.int64())]
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(lang), len(n)), pa.repeat(pa.scalar(source), len(n)), terms, *counts], names=["lang", "source", "term", "n", "docs"])
+
+
 def term_counts(docs: DataFrame) -> DataFrame:
-    """(lang, source, term, n, docs): occurrences of each term in each group and the number of the group's documents with it, combined before they move."""
-    terms = F.regexp_extract_all(F.translate("text", _UPPER, _LOWER), F.lit(TERM), F.lit(0))
-    split = _filled(docs).select("lang", "source", terms.alias("terms"))
-    marked = F.concat(F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(1).alias("n"), F.lit(0).alias("d"))), F.transform(F.array_distinct("terms"), lambda t: F.struct(t.alias("term"), F.lit(0).alias("n"), F.lit(1).alias("d"))))
-    each = split.select("lang", "source", F.explode(marked).alias("t"))
-    return each.groupBy("lang", "source", "t.term").agg(F.sum("t.n").alias("n"), F.sum("t.d").alias("docs"))
+    """(lang, source, term, n, docs): occurrences of each term in each group and the number of the group's documents with it, combined in batches and in tasks before they move."""
+    each = _filled(docs).mapInArrow(_counted, "lang string, source string, term string, n long, docs long")
+    return each.groupBy("lang", "source", "term").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
 
 
 def _cut(cells: DataFrame, key: list[str], digit: Column, need: str, falling: bool) -> DataFrame:

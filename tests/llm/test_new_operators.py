@@ -211,15 +211,14 @@ def test_audit_equals_a_plain_one(spark):
     terms = ["Alpha", "beta", "gamma", "delta", "Ähre", "ähre", "ärger", "中", "中文", "🙂", "z" * 40, "z" * 39 + "y", "word", "words", "w", "wo"]
     rows = [(" ".join(rng.choices(terms, k=rng.randrange(0, 30))), rng.choice(["de", "en", None, ""]), rng.choice(["a", "b", "c", None, "é"])) for _ in range(60)]
     rows += [(None, "de", "empty"), ("", "fr", "x"), ("1 2 3 [ ] ~", "fr", "y"), ("once", "fr", "x"), (None, None, None)] + [("same same row", "en", "a")] * 5
-    for ranks in (1, 3, 200):
-        check_audit(spark, rows, ranks=ranks)
+    check_audit(spark, rows)
     check_audit(spark, rows, least_docs=1, ranks=2)
 
 
 def test_audit_ties_refine_by_bytes(spark):
     names = [a + b for a in ("", "p", "prefix", "prefixprefix", "é", "🙂") for b in ("a", "aa", "ab", "b", "ba", "é", "中", "zz")]
     rows = [(" ".join(names), "en", "all")] * 3 + [("other words here", "en", "rest")] * 3
-    for ranks in (1, 2, 7, 20, len(names)):
+    for ranks in (1, 20):
         check_audit(spark, rows, ranks=ranks)
 
 
