@@ -103,12 +103,19 @@ def subgroup_of(rows: DataFrame, label: str, feature: str, name: str = "subgroup
     return joined.select(*rows.columns, F.col("_subgroup").alias(name))
 
 
-def _weighted(x: Column, w: Column) -> tuple[Column, Column]:
-    """Weighted mean, and standard deviation with reliability weights, in one pass over the moments."""
-    own = F.when(x.isNotNull(), w)
-    total, mean = F.sum(own), F.try_divide(F.sum(x * own), F.sum(own))
-    square = F.sum(x * x * own) - F.try_divide(F.sum(x * own) * F.sum(x * own), total)
-    return mean, F.sqrt(F.greatest(F.lit(0.0), F.try_divide(square, total - F.try_divide(F.sum(own * own), total))))
+def _weighted(x: Column, w: Column, centre: Column) -> tuple[Column, Column]:
+    """Weighted mean, and standard deviation with reliability weights, of moments about a centre near the mean, so that nothing cancels."""
+    own, off = F.when(x.isNotNull(), w), x - centre
+    total, shift = F.sum(own), F.try_divide(F.sum(off * own), F.sum(own))
+    square = F.sum(off * off * own) - F.sum(off * own) * shift
+    return F.first(centre) + shift, F.sqrt(F.try_divide(F.greatest(F.lit(0.0), square), total - F.try_divide(F.sum(own * own), total)))
+
+
+def _centred(df: DataFrame, keys: Sequence[str], raws: Sequence[str]) -> DataFrame:
+    """df with _c_<raw>, the mean of each raw column over the key, which weighted moments are taken about."""
+    means = df.groupBy(*keys).agg(*(F.avg(F.when(~F.isnan(F.col(raw).cast("double")), F.col(raw).cast("double"))).alias(f"_c_{raw}") for raw in raws))
+    names = means.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(f"_c_{raw}" for raw in raws))
+    return df.join(names, reduce(lambda x, y: x & y, (df[k].eqNullSafe(names[f"_k_{k}"]) for k in keys)), "left").drop(*(f"_k_{k}" for k in keys))
 
 
 def _columns(df: DataFrame, group: str, weight: str | None) -> list[Column]:
@@ -120,8 +127,8 @@ def _columns(df: DataFrame, group: str, weight: str | None) -> list[Column]:
                 continue
             x = F.when(~F.isnan(F.col(raw).cast("double")), F.col(raw).cast("double"))
             made = {n: f(x) for n, f in X.FUNCTIONS.items()}
-            if weight is not None:
-                made["wmean"], made["wstd"] = _weighted(x, F.col(weight))
+            if f"_c_{raw}" in df.columns:
+                made["wmean"], made["wstd"] = _weighted(x, F.col(weight), F.col(f"_c_{raw}"))
             out += [made[f].cast("double").alias(f"{raw}_{f}") for f in functions if f in made]
     return out
 
@@ -131,10 +138,13 @@ def derived(tables: Mapping[str, DataFrame], keys: Sequence[str], weights: Mappi
 
     tables maps groups to their raw tables. A group, or a raw column, that is missing gives null data, as keys without
     rows in a group do. weights names the column of segment lengths of acoustic_seg and audio_seg; pauses are summed over audio_seg.
-    Each group is one aggregation.
+    Each group is one aggregation; weighted deviations are taken about the plain means of a first one.
     """
     weights, found = weights or {}, []
     for group, df in tables.items():
+        weighed = [raw for g, _, raws, functions in blocks() if g == group and "wmean" in functions for raw in raws if raw in df.columns]
+        if group in weights and weighed:
+            df = _centred(df, keys, weighed)
         columns = _columns(df, group, weights.get(group))
         if group == "audio_seg" and {"aco_pausetime", "aco_totaltime", "aco_numpauses"} <= set(df.columns):
             columns += [F.sum(c).cast("double").alias(f"{c}_mean") for c in ("aco_pausetime", "aco_totaltime", "aco_numpauses")]
@@ -152,3 +162,15 @@ def derived(tables: Mapping[str, DataFrame], keys: Sequence[str], weights: Mappi
     grid = who.select(*keys, F.inline(names))
     rows = reduce(DataFrame.unionByName, found) if found else who.select(*keys, F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("data"))
     return grid.join(rows, [*keys, "name"], "left").select(*keys, "group", "subgroup", "feature", "metric", "data")
+
+
+def filled(rows: DataFrame) -> DataFrame:
+    """(grp, block, raw, function, label, subgroup, feature, metric, sessions): the catalog as a table, with the number of keys that have data in the rows of `derived`."""
+    counts = rows.groupBy(F.col("group").alias("label"), "feature", "metric").agg(F.count("data").alias("sessions"))
+    table = rows.sparkSession.createDataFrame(entries(), "grp string, block int, raw string, function string, label string, subgroup string, feature string, metric string")
+    return F.broadcast(table).join(counts, ["label", "feature", "metric"]).select("grp", "block", "raw", "function", "label", "subgroup", "feature", "metric", "sessions")
+
+
+def structure_of(catalog: DataFrame) -> DataFrame:
+    """(grp, blocks, columns, filled) of the table `filled`."""
+    return catalog.groupBy("grp").agg(F.count_distinct("block").alias("blocks"), F.count(F.lit(1)).alias("columns"), F.count_if(F.col("sessions") > 0).alias("filled"))

@@ -77,17 +77,6 @@ cat AS (SELECT grp, block, raw, f AS function, CASE subgroup WHEN 'facial_tremor
   replace(regexp_replace(raw || '_' || f, '^[a-z]+_|_[a-z]+$', '', 'g'), '_', '') AS feature, split_part(raw || '_' || f, '_', -1) AS metric FROM (SELECT *, unnest(fs) AS f FROM raws))"""
 
 
-@query(f"WITH {_CATALOG_SQL} SELECT grp, CAST(block AS INT) AS block, raw, function, label, subgroup, feature, metric FROM cat")
-def g21_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(G.entries(), "grp string, block int, raw string, function string, label string, subgroup string, feature string, metric string")
-
-
-@query("SELECT * FROM (VALUES ('facial', 3, 267), ('acoustic', 2, 33), ('movement', 2, 29), ('acoustic_seg', 1, 12), ('audio_seg', 1, 14), ('pause', 1, 4), ('eyeblink_ear', 1, 2), ('facial_tremor', 1, 9)) t(grp, blocks, columns)")
-def g22_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
-    columns = {group: sum(e[0] == group for e in G.entries()) for group in G.structure()}
-    return spark.createDataFrame([(group, n, columns[group]) for group, n in G.structure().items()], "grp string, blocks int, columns int")
-
-
 @query("""WITH n AS (SELECT p_partkey, ['fac', 'aco', 'mov'][p_partkey % 3 + 1] AS label, CASE p_partkey % 11 WHEN 0 THEN printf('LMK%02ddisp', p_partkey % 80) WHEN 1 THEN printf('AU%02dint', p_partkey % 50) WHEN 2 THEN 'conintsoft' WHEN 3 THEN 'comlowinthard'
   WHEN 4 THEN 'mfcc' || p_partkey % 15 WHEN 5 THEN 'hnr' WHEN 6 THEN 'hposeyaw' WHEN 7 THEN 'leyedisp' WHEN 8 THEN 'eyeblinkdur' WHEN 9 THEN 'tremormedian' || p_partkey % 60 ELSE 'paiintsoft' END AS feature FROM part)
 SELECT p_partkey, label, feature, CASE WHEN label = 'fac' AND regexp_full_match(feature, 'LMK([0-5][0-9]|6[0-7])disp') THEN 'facial_landmarks'
@@ -106,7 +95,7 @@ def g23_subgroups(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.subgroup_of(table(spark, sf_dir, "part").select("p_partkey", label.alias("label"), name.otherwise("paiintsoft").alias("feature")), "label", "feature")
 
 
-@query(f"""WITH {SAMPLES_SQL}, {_CATALOG_SQL},
+_DERIVED_SQL = f"""WITH {SAMPLES_SQL}, {_CATALOG_SQL},
 a AS (SELECT session_id, avg(value) AS fac_LMK00disp_mean, stddev_samp(value) AS fac_LMK00disp_std, count(*) FILTER (event_type = 'click') / count(*) AS fac_happres_pct, avg(ln(value)) AS mov_headvel_mean, stddev_samp(ln(value)) AS mov_headvel_std,
   sum(CASE WHEN event_type = 'error' THEN 60.0::DOUBLE ELSE 0 END) / nullif(max(idx), 0) AS mov_eyeblink_count FROM s GROUP BY 1),
 b AS (SELECT session_id, avg(gap) AS mov_eyeblink_dur_mean, stddev_pop(gap) AS mov_eyeblink_dur_std FROM (SELECT session_id, idx - lag(idx) OVER (PARTITION BY session_id ORDER BY idx) AS gap FROM s WHERE event_type = 'error') GROUP BY 1),
@@ -116,7 +105,10 @@ l AS (SELECT l_suppkey AS session_id, avg(l_tax) AS aco_jitter_mean, stddev_samp
 m AS (SELECT l.session_id, sqrt(sum(l_quantity * (l_tax - aco_jitter_wmean) ** 2) / (any_value(w1) - any_value(w2) / any_value(w1))) AS aco_jitter_wstd FROM l JOIN lineitem ON l_suppkey = l.session_id GROUP BY 1),
 v AS (SELECT session_id, name, data FROM (UNPIVOT (SELECT * FROM a) ON COLUMNS(* EXCLUDE session_id) INTO NAME name VALUE data) UNION ALL SELECT session_id, name, data FROM (UNPIVOT (SELECT * FROM b) ON COLUMNS(* EXCLUDE session_id) INTO NAME name VALUE data)
   UNION ALL SELECT session_id, name, data FROM (UNPIVOT (SELECT * EXCLUDE (w1, w2) FROM l) ON COLUMNS(* EXCLUDE session_id) INTO NAME name VALUE data) UNION ALL SELECT session_id, 'aco_jitter_wstd', aco_jitter_wstd FROM m)
-SELECT k.session_id, label AS "group", subgroup, feature, metric, round(data, 5) AS data FROM (SELECT session_id FROM s UNION SELECT l_suppkey FROM lineitem) k CROSS JOIN cat LEFT JOIN v ON v.session_id = k.session_id AND v.name = raw || '_' || function""")
+SELECT k.session_id, label AS "group", subgroup, feature, metric, round(data, 5) AS data FROM (SELECT session_id FROM s UNION SELECT l_suppkey FROM lineitem) k CROSS JOIN cat LEFT JOIN v ON v.session_id = k.session_id AND v.name = raw || '_' || function"""
+
+
+@query(_DERIVED_SQL)
 def g9_derived_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The whole catalog for every session, from tables that have a few raw columns of some groups each."""
     own = samples(spark, sf_dir).select("session_id", "idx", F.col("value").alias("fac_LMK00disp"), (F.col("event_type") == "click").cast("int").alias("fac_happres"), F.log("value").alias("mov_headvel"), (F.col("event_type") == "error").cast("int").alias("mov_eyeblink"))
@@ -127,6 +119,20 @@ def g9_derived_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("data", F.round("data", 5))
 
 
+@query(f"""WITH {_CATALOG_SQL}, d AS ({_DERIVED_SQL}), n AS (SELECT "group" AS label, feature, metric, count(data) AS sessions FROM d GROUP BY 1, 2, 3)
+SELECT grp, CAST(block AS INT) AS block, raw, function, cat.label, subgroup, feature, metric, sessions FROM cat JOIN n USING (label, feature, metric)""")
+def g21_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The catalog with the number of sessions that have data for each of its columns."""
+    return G.filled(g9_derived_catalog(spark, sf_dir))
+
+
+@query(f"""WITH {_CATALOG_SQL}, d AS ({_DERIVED_SQL}), n AS (SELECT "group" AS label, feature, metric, count(data) AS sessions FROM d GROUP BY 1, 2, 3)
+SELECT grp, count(DISTINCT block) AS blocks, count(*) AS columns, count(*) FILTER (sessions > 0) AS filled FROM cat JOIN n USING (label, feature, metric) GROUP BY 1""")
+def g22_structure(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The numbers of blocks and columns of each group, and of columns with data."""
+    return G.structure_of(G.filled(g9_derived_catalog(spark, sf_dir)))
+
+
 @query(f"WITH {SAMPLES_SQL}, v AS (SELECT session_id, unnest(range(0, CAST(floor(count(*) * 0.5 * 2.0) AS BIGINT))) AS frame FROM s GROUP BY 1) SELECT v.session_id, frame, coalesce((event_type = 'error')::INT, 0) AS blink FROM v LEFT JOIN s ON s.session_id = v.session_id AND s.idx = frame")
 def m1_blink_vector(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = samples(spark, sf_dir)

@@ -25,6 +25,6 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 
 # ruff: noqa: E402
-from pulseframe.plans import cardiac, features, recordings, rr, signals, speech, tremor, vectors
+from pulseframe.plans import cardiac, extraction, features, recordings, rr, signals, speech, tremor, vectors
 
-__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "cardiac", "features", "query", "recordings", "rr", "signals", "speech", "tremor", "vectors"]
+__all__ = ["FLAGSHIP", "ORACLE_SQL", "QUERIES", "cardiac", "extraction", "features", "query", "recordings", "rr", "signals", "speech", "tremor", "vectors"]
