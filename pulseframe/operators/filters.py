@@ -1,18 +1,25 @@
-"""Recursive filters and the Hilbert envelope, as NumPy kernels over one session at a time.
+"""Recursive filters, decimation and the Hilbert envelope.
 
-A session is one group: its samples are a recurrence from first to last and cannot be cut exactly. One session must fit a task.
+Recursive filters run on blocks of a session in different tasks. A block of samples maps the state of the filter's sections before
+it to the state after it by a matrix and an offset, so the blocks' offsets, computed from a zero state, are composed in their order,
+a few numbers a block, and every block then runs once more from its true state. The envelope and Fourier resampling need
+all samples of a session at once, so there one session must fit a task.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache, partial
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from pulseframe.operators.blocks import with_halo
 
 
 @dataclass(frozen=True)
@@ -155,9 +162,14 @@ def chebyshev_lowpass(order: int, ripple: float, high: float, fs: float) -> np.n
     return np.array(sections)
 
 
+def antialias(factor: int) -> np.ndarray:
+    """A Chebyshev low-pass of order 8 and 0.05 dB ripple at 0.8 of the new Nyquist frequency."""
+    return chebyshev_lowpass(8, 0.05, 0.8 / factor, 2.0)
+
+
 def decimated(x: np.ndarray, factor: int) -> np.ndarray:
-    """Every factor-th sample after a zero-phase Chebyshev low-pass of order 8 and 0.05 dB ripple at 0.8 of the new Nyquist frequency."""
-    return zero_phase(x, chebyshev_lowpass(8, 0.05, 0.8 / factor, 2.0))[::factor]
+    """Every factor-th sample after the anti-aliasing low-pass, forward and backward."""
+    return zero_phase(x, antialias(factor))[::factor]
 
 
 def resampled(x: np.ndarray, n: int) -> np.ndarray:
@@ -255,8 +267,148 @@ def kernel(d: Design) -> Callable[[np.ndarray], np.ndarray]:
     return envelope if d.kind == "hilbert" else partial(zero_phase, sections=sections_of(d))
 
 
-def filtered(df: DataFrame, design: Design) -> DataFrame:
+#: Samples of a block; shorter sessions are one block and are filtered at once.
+BLOCK = 1 << 15
+
+
+def _cascade(x: np.ndarray, sections: np.ndarray, state: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The sections over x from a state (two numbers a section), and the state after x."""
+    after = np.empty_like(state)
+    for k, s in enumerate(sections):
+        _, b1, b2, a1, a2 = s
+        y = _section(x, s, (state[2 * k], state[2 * k + 1]))
+        held = b2 * x[-2] - a2 * y[-2] if len(x) > 1 else state[2 * k + 1]
+        after[2 * k], after[2 * k + 1] = b1 * x[-1] - a1 * y[-1] + held, b2 * x[-1] - a2 * y[-1]
+        x = y
+    return x, after
+
+
+def _steady_state(first: float, sections: np.ndarray) -> np.ndarray:
+    """The state of sections that have seen the value `first` for ever."""
+    out = []
+    for b0, b1, b2, a1, a2 in sections:
+        z1, z2 = steady((b0, b1, b2, a1, a2))
+        out += [z1 * first, z2 * first]
+        first *= (b0 + b1 + b2) / (1 + a1 + a2)
+    return np.array(out)
+
+
+def _one_step(sections: np.ndarray) -> np.ndarray:
+    """The matrix of the states' change by one sample of 0."""
+    return np.array([_cascade(np.zeros(1), sections, unit)[1] for unit in np.eye(2 * len(sections))]).T
+
+
+def _extended(batch: pa.RecordBatch, pad: int, block: int) -> Iterator[tuple[int, np.ndarray, int]]:
+    """Of each row of packed blocks: its number in the batch, its samples, with the odd extension where the session begins or ends, and the extension's length."""
+    for i, (own, k, n) in enumerate(zip(batch.column("x"), batch.column("block").to_pylist(), batch.column("n").to_pylist(), strict=True)):
+        x = np.asarray(own.values.field("value"))
+        reach = min(n - 1, pad)
+        body = x[min(k * block, pad) :]
+        if k == 0:
+            body = np.concatenate([2 * x[0] - x[reach:0:-1], body])
+        if (k + 1) * block >= n:
+            body = np.concatenate([body, 2 * x[-1] - x[-2 : -reach - 2 : -1]])
+        yield i, body, reach
+
+
+def _ends(batches: Iterator[pa.RecordBatch], sections: np.ndarray, pad: int, block: int) -> Iterator[pa.RecordBatch]:
+    """(session_id, block, n, length, first, last_state) of extended blocks, from a zero state."""
+    for batch in batches:
+        found = [(len(x), float(x[0]), _cascade(x, sections, np.zeros(2 * len(sections)))[1]) for _, x, _ in _extended(batch, pad, block)]
+        yield _end_rows(batch, found)
+
+
+def _end_rows(batch: pa.RecordBatch, found: list[tuple[int, float, np.ndarray]]) -> pa.RecordBatch:
+    made = [pa.array([f[0] for f in found], pa.int64()), pa.array([f[1] for f in found], pa.float64()), pa.array([f[2] for f in found], pa.list_(pa.float64()))]
+    return pa.RecordBatch.from_arrays([batch.column("session_id"), batch.column("block"), *made], names=["session_id", "block", "length", "first", "after"])
+
+
+def _back_ends(batches: Iterator[pa.RecordBatch], sections: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        found = []
+        for own in batch.column("y"):
+            y = np.asarray(own.values)[::-1]
+            found.append((len(y), float(y[0]), _cascade(y, sections, np.zeros(2 * len(sections)))[1]))
+        yield _end_rows(batch, found)
+
+
+def _states(batches: Iterator[pa.RecordBatch], sections: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(session_id, block, state): the state in front of each block, from the blocks' ends in their order."""
+    step = _one_step(sections)
+    powers: dict[int, np.ndarray] = {}
+    for batch in batches:
+        for session, own in zip(batch.column("session_id").to_pylist(), batch.column("own").to_pylist(), strict=True):
+            states, state = [], _steady_state(own[0]["first"], sections)
+            for end in own:
+                states.append(state)
+                n = end["length"]
+                if n not in powers:
+                    powers[n] = np.linalg.matrix_power(step, n)
+                state = powers[n] @ state + np.array(end["after"])
+            yield pa.RecordBatch.from_arrays([pa.array([session] * len(own), pa.int64()), pa.array([e["block"] for e in own], pa.int64()), pa.array(states, pa.list_(pa.float64()))], names=["session_id", "block", "state"])
+
+
+def _forward(batches: Iterator[pa.RecordBatch], sections: np.ndarray, pad: int, block: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        states = batch.column("state")
+        y = [_cascade(x, sections, np.asarray(states[i].values))[0] for i, x, _ in _extended(batch, pad, block)]
+        yield pa.RecordBatch.from_arrays([batch.column("session_id"), batch.column("block"), batch.column("n"), pa.array(y, pa.list_(pa.float64()))], names=["session_id", "block", "n", "y"])
+
+
+def _rows(session: int, first: int, value: np.ndarray) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(session, pa.int64()), len(value)), pa.array(np.arange(first, first + len(value))), pa.array(value)], names=["session_id", "idx", "value"])
+
+
+def _backward(batches: Iterator[pa.RecordBatch], sections: np.ndarray, pad: int, block: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for session, k, n, own, state in zip(*(batch.column(c).to_pylist() for c in ("session_id", "block", "n")), batch.column("y"), batch.column("state"), strict=True):
+            y = _cascade(np.asarray(own.values)[::-1], sections, np.asarray(state.values))[0][::-1]
+            reach = min(n - 1, pad)
+            yield _rows(session, k * block, y[reach if k == 0 else 0 : len(y) - (reach if (k + 1) * block >= n else 0)])
+
+
+def _at_once(batches: Iterator[pa.RecordBatch], sections: np.ndarray) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for session, own in zip(batch.column("session_id").to_pylist(), batch.column("x"), strict=True):
+            yield _rows(session, 0, zero_phase(np.asarray(own.values.field("value")), sections))
+
+
+def zero_phased(df: DataFrame, sections: np.ndarray, block: int = BLOCK) -> DataFrame:
+    """(session_id, idx, value) of df(session_id, idx from 0 without gaps, value) filtered forward and backward.
+
+    Sessions of one block are filtered at once; of longer ones, each block is a row of its own in all steps, and only the
+    blocks' end states, two numbers a section, meet in one task a session.
+    """
+    pad = 3 * (2 * len(sections) + 1)
+    if block <= pad:
+        raise ValueError(f"a block must be longer than {pad} samples")
+    dealt = with_halo(df.select("session_id", "idx", F.col("value").cast("double").alias("value")), block, pad, 0)
+    packed = dealt.groupBy("session_id", "block").agg(F.sort_array(F.collect_list(F.struct("idx", "value"))).alias("x"), F.count_if("own").alias("size"))
+    facts = df.groupBy("session_id").agg(F.count(F.lit(1)).alias("n"))
+    spread = facts.select("session_id", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / F.lit(block)).cast("long"))).alias("block"))
+    blocks = packed.filter("size > 0").join(spread, ["session_id", "block"]).select("session_id", "block", "n", "x")
+    schema = "session_id long, idx long, value double"
+    short = blocks.filter(F.col("n") <= block).mapInArrow(partial(_at_once, sections=sections), schema)
+    long = blocks.filter(F.col("n") > block)
+    ends = "session_id long, block long, length long, first double, after array<double>"
+    held = "session_id long, block long, state array<double>"
+
+    def entered(found: DataFrame, rising: bool) -> DataFrame:
+        own = found.groupBy("session_id").agg(F.sort_array(F.collect_list(F.struct("block", "length", "first", "after")), rising).alias("own"))
+        return own.mapInArrow(partial(_states, sections=sections), held)
+
+    first = entered(long.mapInArrow(partial(_ends, sections=sections, pad=pad, block=block), ends), True)
+    forth = long.join(first, ["session_id", "block"]).mapInArrow(partial(_forward, sections=sections, pad=pad, block=block), "session_id long, block long, n long, y array<double>")
+    forth = forth.repartition("session_id", "block")
+    second = entered(forth.mapInArrow(partial(_back_ends, sections=sections), ends), False)
+    back = forth.join(second, ["session_id", "block"]).mapInArrow(partial(_backward, sections=sections, pad=pad, block=block), schema)
+    return short.unionByName(back)
+
+
+def filtered(df: DataFrame, design: Design, block: int = BLOCK) -> DataFrame:
     """(session_id, idx, value) with the filtered value; sections are designed once, on the driver."""
+    if design.kind != "hilbert":
+        return zero_phased(df, sections_of(design), block)
     run = kernel(design)
 
     def one(own: pd.DataFrame) -> pd.DataFrame:
@@ -276,9 +428,10 @@ def each_session(df: DataFrame, run: Callable[[np.ndarray], np.ndarray]) -> Data
     return df.select("session_id", "idx", "value").groupBy("session_id").applyInPandas(one, "session_id long, idx long, value double")
 
 
-def decimate(df: DataFrame, factor: int) -> DataFrame:
+def decimate(df: DataFrame, factor: int, block: int = BLOCK) -> DataFrame:
     """(session_id, idx, value) of every factor-th sample behind an anti-aliasing filter; idx counts the kept ones."""
-    return each_session(df, partial(decimated, factor=factor))
+    out = zero_phased(df, antialias(factor), block).filter(F.col("idx") % factor == 0)
+    return out.withColumn("idx", F.floor(F.col("idx") / F.lit(factor)).cast("long"))
 
 
 def resample(df: DataFrame, ratio: float) -> DataFrame:
