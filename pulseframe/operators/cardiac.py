@@ -7,10 +7,10 @@ end; points are null where they are not found. A window of samples is joined by
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from pulseframe.operators.prominence import chosen_by_history
 from pulseframe.operators.signals import gradient, local_maxima, ordered
 
 BEAT = ("session_id", "heartbeat_id")
@@ -67,44 +67,11 @@ def c_points_by_prominence(beats: DataFrame, samples: DataFrame, history: int =
     """(beat, c_point): of the beat's peaks that reach the highest prominence level from 1.0 down in steps of 0.1, the one whose
     distance from the R peak is nearest to the mean of the last `history` found ones; peaks before R only as a last resort null.
 
-    The choice depends on the beats before, so a session's beats are one ordered pass over its few candidates.
+    The choice depends on the beats before, so a session's peaks, not its samples, are one ordered pass.
     """
     rows = window_rows(beats, samples.select("session_id", "idx", "value"), F.col("start_sample"), F.col("end_sample") - 1, ("r_peak_sample",))
-
-    def one(own: pd.DataFrame) -> pd.DataFrame:
-        past: list[int] = []
-        out = []
-        for beat, rows_ in own.sort_values(["heartbeat_id", "idx"]).groupby("heartbeat_id", sort=True):
-            v, at, r = rows_["value"].tolist(), rows_["idx"].tolist(), int(rows_["r_peak_sample"].iloc[0])
-            found = []
-            for i in range(1, len(v) - 1):
-                j = i
-                while j + 1 < len(v) and v[j + 1] == v[i]:
-                    j += 1
-                if v[i - 1] < v[i] and j + 1 < len(v) and v[j + 1] < v[i]:
-                    low = []
-                    for side in (reversed(v[:i]), iter(v[j + 1 :])):
-                        least = v[i]
-                        for x in side:
-                            if x > v[i]:
-                                break
-                            least = min(least, x)
-                        low.append(least)
-                    found.append((at[(i + j) // 2] - r, v[i] - max(low)))
-            level = next((k / 10 for k in range(10, -1, -1) if any(p >= max(k / 10, 1e-16) for _, p in found)), None)
-            offsets = [o for o, p in found if level is not None and p >= max(level, 1e-16)]
-            if len(offsets) > 1:
-                offsets = [o for o in offsets if o >= 0] or []
-                if offsets and past:
-                    mean = sum(past[-history:]) / len(past[-history:])
-                    offsets = [min(offsets, key=lambda o: (abs(o - mean), o))]
-            chosen = offsets[0] if offsets and offsets[0] >= 0 else None
-            if chosen is not None:
-                past.append(chosen)
-            out.append((own["session_id"].iloc[0], beat, None if chosen is None else r + chosen))
-        return pd.DataFrame(out, columns=["session_id", "heartbeat_id", "c_point"]).astype({"c_point": "Int64"})
-
-    return _joined(beats, rows.groupBy("session_id").applyInPandas(one, "session_id long, heartbeat_id long, c_point long"), "c_point")
+    packed = rows.groupBy(*BEAT, "r_peak_sample").agg(F.sort_array(F.collect_list(F.struct("idx", F.col("value").cast("double").alias("value")))).alias("own"))
+    return _joined(beats, chosen_by_history(packed, history), "c_point")
 
 
 def q_peaks(beats: DataFrame, candidates: DataFrame) -> DataFrame:

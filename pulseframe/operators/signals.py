@@ -122,21 +122,6 @@ def savgol(df: DataFrame, window: int = 61, order: int = 3) -> DataFrame:
     return short.unionByName(ends.withColumnRenamed("edge", "smooth"))
 
 
-def prominences(df: DataFrame) -> DataFrame:
-    """(session_id, idx, value, prominence) of the local maxima: height above the higher of the minima on both sides up to a higher sample."""
-    packed = df.groupBy("session_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("idx", "value"))), lambda s: s.value).alias("v"))
-    peaks = local_maxima(df).join(packed, "session_id")
-
-    def lowest(side: Column) -> Column:
-        start = F.struct(F.col("value").alias("low"), F.lit(True).alias("open"))
-        step = lambda a, x: F.when(a.open & (x <= F.col("value")), F.struct(F.least(a.low, x).alias("low"), F.lit(True).alias("open"))).otherwise(F.struct(a.low.alias("low"), F.lit(False).alias("open")))
-        return F.aggregate(side, start, step, lambda a: a.low)
-
-    at = F.col("idx").cast("int")
-    left, right = F.reverse(F.slice("v", F.lit(1), at)), F.slice("v", at + 2, F.size("v"))
-    return peaks.select("session_id", "idx", "value", (F.col("value") - F.greatest(lowest(left), lowest(right))).alias("prominence"))
-
-
 def runs_of(df: DataFrame, flag: Column) -> DataFrame:
     """(session_id, run, first_idx, last_idx, n): runs of consecutive samples with the flag, numbered from 0."""
     hit = df.filter(flag).withColumn("g", F.col("idx") - F.row_number().over(ordered()))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from pulseframe.operators import ecg, filters
 from pulseframe.operators import signals as S
+from pulseframe.operators.prominence import prominences
 from pulseframe.plans.filter_sql import envelope_sql, zero_phase_sql
 from pulseframe.plans.registry import query
 from pulseframe.sources.tables import IMU_SQL, SAMPLES_SQL, imu, samples
@@ -45,7 +46,7 @@ SELECT b.session_id, b.idx, b.value, round(b.value - greatest(min(CASE WHEN s.id
   min(CASE WHEN s.idx >= b.idx AND s.idx < coalesce(r, 1000000) THEN s.value END)), 6) AS prominence
 FROM b JOIN s USING (session_id) GROUP BY 1, 2, 3, l, r""")
 def s18_prominence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return S.prominences(samples(spark, sf_dir)).withColumn("prominence", F.round("prominence", 6))
+    return prominences(samples(spark, sf_dir)).withColumn("prominence", F.round("prominence", 6))
 
 
 @query(f"""WITH {SAMPLES_SQL} SELECT session_id, idx, value FROM s

@@ -7,7 +7,7 @@ import math
 import numpy as np
 import pytest
 from pulseframe.functions import vectors as V
-from pulseframe.operators import cardiac, features, filters, rr, signals, speech
+from pulseframe.operators import prominence, cardiac, features, filters, rr, signals, speech
 from pyspark.sql import functions as F
 
 
@@ -33,7 +33,7 @@ def test_interpolation_keeps_leading_nulls(spark):
 
 
 def test_prominence(spark):
-    found = {r.idx: r.prominence for r in signals.prominences(signal(spark, 0, 3, 1, 5, 2, 4, 0)).collect()}
+    found = {r.idx: r.prominence for r in prominence.prominences(signal(spark, 0, 3, 1, 5, 2, 4, 0)).collect()}
     assert found == {1: 2.0, 3: 5.0, 5: 2.0}
 
 
