@@ -14,7 +14,7 @@ from __future__ import annotations
 import base64
 import json
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from functools import lru_cache, partial
 from heapq import heapify, heappop, heappush
 
@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark import Broadcast
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, IntegerType, StructField, StructType
+from pyspark.sql.types import ArrayType, BinaryType, IntegerType, StructField, StructType
 
 from pulseframe.llm.scratch import forget, parallelism, written
 
@@ -153,23 +153,38 @@ def _heap_merged(word: bytes, table: dict[bytes, int]) -> list[int]:
     return out
 
 
+#: Words that are put together at a time; a text with more is a part of its own.
+_WORDS = 1 << 18
+
+
+def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows of about _WORDS words."""
+    ends = np.asarray(batch.column("words").offsets, np.int64)
+    first = 0
+    while first < batch.num_rows:
+        last = max(first + 1, int(np.searchsorted(ends, ends[first] + _WORDS, side="right")) - 1)
+        yield batch.slice(first, last - first)
+        first = last
+
+
 def _assembled(batches: Iterator[pa.RecordBatch], known: Broadcast, vocabulary: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
-    """The columns and ids: each text's words, in order, replaced by their tokens."""
+    """The columns, ids and packed: each text's words, in order, replaced by their tokens. Every distinct word of a run of rows is looked up once."""
     common = known.value
-    for batch in batches:
-        ids, ends = [np.zeros(0, np.int32)], [0]
-        for own, names, tokens in zip(*(batch.column(c) for c in ("words", "rare", "rare_ids")), strict=True):
-            found = dict(zip(names.as_py() or (), tokens.as_py() or (), strict=True))
-            flat: list[int] = []
-            for w in own.values.to_pylist():
-                of = common.get(w) or found.get(w)
-                if of is None:  # a long one
-                    of = found[w] = _heap_merged(w.encode(), ranks(vocabulary))
-                flat += of
-            ids.append(np.array(flat, np.int32))
-            ends.append(ends[-1] + len(flat))
-        made = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate(ids)))
-        yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), made], names=[*columns, "ids"])
+    for part in (p for batch in batches for p in _parts(batch)):
+        coded = part.column("words").flatten().dictionary_encode()
+        found = dict(zip(part.column("rare").flatten().to_pylist(), part.column("rare_ids").flatten().to_pylist(), strict=True))
+        tokens = [common.get(w) or found.get(w) or _heap_merged(w.encode(), ranks(vocabulary)) for w in coded.dictionary.to_pylist()]
+        sizes = np.array([len(t) for t in tokens], np.int64)
+        starts = np.cumsum(sizes) - sizes
+        flat = np.array([i for t in tokens for i in t], np.int32)
+        code = np.asarray(coded.indices)
+        upto = np.concatenate([[0], np.cumsum(sizes[code])]) if len(code) else np.zeros(1, np.int64)
+        ids = flat[np.arange(upto[-1]) + np.repeat(starts[code] - upto[:-1], sizes[code])]
+        offsets = np.asarray(part.column("words").offsets, np.int64)
+        ends = upto[offsets - offsets[0]]
+        packed = pa.array([ids[x:y].astype("<u4").tobytes() for x, y in zip(ends[:-1], ends[1:], strict=True)], pa.binary())
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids))
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in columns), lists, packed], names=[*columns, "ids", "packed"])
 
 
 def split(docs: DataFrame) -> DataFrame:
@@ -205,11 +220,12 @@ def _rank_literal(vocabulary: str) -> Column:
     return _bucketed({token.decode("latin-1"): rank for token, rank in ranks(vocabulary).items()}, _RANK_BUCKETS, "int")
 
 
-def encode(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = TABLE_WORDS) -> DataFrame:
-    """docs with `ids`, the token ids of text as an array: every match of the pattern encoded by itself, without special tokens.
+def encode(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = TABLE_WORDS, keep: Sequence[str] | None = None) -> DataFrame:
+    """docs, or its columns `keep`, with `ids`, the token ids of text as an array, and `packed`, the same as little-endian unsigned 32-bit integers: every match
+    of the pattern encoded by itself, without special tokens.
 
-    Null and empty texts have no ids. Repeated rows are encoded each. Columns `words`, `rare` and `rare_ids` must not be in docs; `ids` is
-    replaced by the last column. Texts are encoded whole, one in a task; words of more than FOLDED_BYTES bytes are merged by a heap.
+    Null and empty texts have no ids. Repeated rows are encoded each. Columns `words`, `rare` and `rare_ids` must not be in docs; `ids` and
+    `packed` are replaced by the last columns. Texts are encoded whole, one in a task; words of more than FOLDED_BYTES bytes are merged by a heap.
     An empty table gives an empty result.
     """
     common = word_table(docs.select("text"), vocabulary, most)
@@ -217,8 +233,9 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = TABLE_WORD
     to_fold = lambda t: F.filter(F.array_distinct("words"), lambda w: _found(t, w, _WORD_BUCKETS).isNull() & (F.octet_length(w) <= FOLDED_BYTES))
     folded = lambda t: F.transform("rare", lambda w: _let(_bytes_of(w), lambda b: _folded(b, t)))
     parts = split(docs).withColumn("rare", _let(known, to_fold)).withColumn("rare_ids", _let(by_rank, folded))
-    columns = [c for c in docs.columns if c != "ids"]
-    schema = StructType([*(docs.schema[c] for c in columns), StructField("ids", ArrayType(IntegerType()))])
+    columns = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "packed")]
+    schema = StructType([*(docs.schema[c] for c in columns), StructField("ids", ArrayType(IntegerType())), StructField("packed", BinaryType())])
+    parts = parts.select(*columns, "words", "rare", "rare_ids")
     return parts.mapInArrow(partial(_assembled, known=docs.sparkSession.sparkContext.broadcast(common), vocabulary=vocabulary, columns=columns), schema)
 
 
@@ -230,9 +247,3 @@ def decode(ids: Column, vocabulary: str = VOCABULARY) -> Column:
         pieces[rank] = token.hex()
     literal = F.from_json(F.lit(json.dumps(pieces, separators=(",", ":"))), "array<string>")
     return F.unhex(F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(literal, i), F.raise_error(F.lit("unknown token id")).cast("string"))), ""))
-
-
-def little_endian(ids: Column, size: int = 1 << 16) -> Column:
-    """Ids below `size` as little-endian unsigned 32-bit integers, one after the other."""
-    literal = F.from_json(F.lit(json.dumps([i.to_bytes(4, "little").hex() for i in range(size)], separators=(",", ":"))), "array<string>")
-    return F.unhex(F.array_join(F.transform(ids, lambda i: F.coalesce(F.get(literal, i), F.raise_error(F.lit("too large a token id")).cast("string"))), ""))

@@ -133,9 +133,9 @@ def op12_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
     vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
-    ids = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary).select("doc_id", "ids")
-    digests = (F.sha2(byte_bpe.little_endian(F.col("ids"), 50256), 256).alias("ids_sha256"), F.sha2(byte_bpe.decode(F.col("ids"), vocabulary), 256).alias("decoded_sha256"))
-    return ids.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), *digests)
+    coded = byte_bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocabulary, keep=["doc_id"])
+    decoded = byte_bpe.decode(F.col("ids"), vocabulary)
+    return coded.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2("packed", 256).alias("ids_sha256"), F.sha2(decoded, 256).alias("decoded_sha256"))
 
 
 @query

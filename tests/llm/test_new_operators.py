@@ -109,9 +109,9 @@ def test_op11_on_the_smallest_tables(spark):
 
 def encoded(spark, texts, **how):
     df = spark.createDataFrame([(i, t, "x", 3) for i, t in enumerate(texts)], "doc_id long, text string, word string, ids int").repartition(3)
-    out = byte_bpe.encode(df, VOCABULARY, **how).withColumn("bytes", byte_bpe.decode(F.col("ids"), VOCABULARY)).withColumn("le", byte_bpe.little_endian(F.col("ids")))
+    out = byte_bpe.encode(df, VOCABULARY, **how).withColumn("bytes", byte_bpe.decode(F.col("ids"), VOCABULARY))
     assert out.columns[:4] == ["doc_id", "text", "word", "ids"]  # an earlier ids is replaced
-    return {r.doc_id: (r.ids, bytes(r.bytes), bytes(r.le)) for r in out.collect()}
+    return {r.doc_id: (r.ids, bytes(r.bytes), bytes(r.packed)) for r in out.collect()}
 
 
 EDGES = [
