@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.llm import vectext as V
-from pulseframe.llm.scratch import forget, same, spread_join, written
+from pulseframe.llm.scratch import forget, parallelism, salted_join, same, spread_join, written
 
 #: With 40 bands of 5, a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**5)**40 = 1.3e-7 (a test counts it).
 BANDS, ROWS = 40, 5
@@ -142,20 +142,31 @@ def _compared(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Re
 def components(edges: DataFrame) -> DataFrame:
     """(id, label): the smallest id reachable from each id of the edges (a, b), by min-label steps with pointer jumping.
 
-    Each round is joins and aggregates with map-side combining; a hot id is one row of labels, and the rows around it are combined before they move.
+    Each round is joins and aggregates with map-side combining. The edges of hubs, ids with more than 1 / (4 * partitions) of all edges, stay
+    where they are, as the labels of these few ids are broadcast.
     """
     both = written(edges.select("a", "b").union(edges.select(F.col("b"), F.col("a"))).distinct(), "edges")
-    state = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label")), "labels")
+    state = written(both.groupBy(F.col("a").alias("id")).agg(F.least(F.min("b"), F.first("a")).alias("label"), F.count(F.lit(1)).alias("edges")), "labels")
+    limit = (state.agg(F.sum("edges")).first()[0] or 0) / (4 * parallelism(edges.sparkSession))
+    hubs = written(state.filter(F.col("edges") > limit).select(F.col("id").alias("hub")), "hubs")  # fewer than 4 * partitions
+    if hubs.isEmpty():
+        at_hubs, others = None, both
+    else:
+        at_hubs, others = both.join(F.broadcast(hubs), F.col("b") == F.col("hub"), "left_semi"), both.join(F.broadcast(hubs), F.col("b") == F.col("hub"), "left_anti")
     while True:
         labels = state.select("id", "label")
-        near = both.join(labels.select(F.col("id").alias("b"), "label"), "b").groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
+        met = others.join(labels.select(F.col("id").alias("b"), "label"), "b").select("a", "label")
+        if at_hubs is not None:
+            few = labels.join(F.broadcast(hubs), F.col("id") == F.col("hub"), "left_semi").select(F.col("id").alias("b"), "label")
+            met = met.union(at_hubs.join(F.broadcast(few), "b").select("a", "label"))
+        near = met.groupBy(F.col("a").alias("id")).agg(F.min("label").alias("near"))
         step = labels.join(near, "id").select("id", F.least("label", "near").alias("next"), "label")
         jump = labels.select(F.col("id").alias("next"), F.col("label").alias("far"))
         step = written(step.join(jump, "next").select("id", F.least("next", "far").alias("label"), (F.least("next", "far") != F.col("label")).alias("moved")), "step")
         forget(state)
         state = step
         if step.filter("moved").isEmpty():
-            forget(both)
+            forget(both, hubs)
             return state.select("id", "label")
 
 
@@ -196,9 +207,14 @@ def _pairs(member: DataFrame, percent: int) -> DataFrame:
 
 def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b) that link, by their full sets."""
-    sides = [sets.select(F.col("vid").alias(x), F.col("members").alias(f"s{x}")) for x in "ab"]
-    compared = pairs.join(sides[1], "b").join(sides[0], "a").select("a", "b", "sa", "sb")
-    return written(compared.mapInArrow(partial(_compared, percent=percent), "a long, b long"), "links")
+    weights = {x: written(pairs.groupBy(x).agg(F.count(F.lit(1)).alias("n")), "degrees") for x in "ba"}
+    compared = pairs
+    for x, weight in weights.items():  # a head's set goes to as many tasks as its pairs need
+        side = sets.select(F.col("vid").alias(f"v{x}"), F.col("members").alias(f"s{x}"))
+        compared = salted_join(compared, side, x, f"v{x}", weight, by=("a", "b")).drop(f"v{x}")
+    out = written(compared.select("a", "b", "sa", "sb").mapInArrow(partial(_compared, percent=percent), "a long, b long"), "links")
+    forget(*weights.values())
+    return out
 
 
 def _united(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:

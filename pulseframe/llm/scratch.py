@@ -91,6 +91,21 @@ def spread_join(rows: DataFrame, facts: DataFrame, keys: Sequence[str], weight:
     return near.unionByName(far).drop(*hidden, weight)
 
 
+def salted_join(rows: DataFrame, facts: DataFrame, key: str, fact_key: str, weight: DataFrame, by: Sequence[str]) -> DataFrame:
+    """rows joined (inner) with facts, unique on fact_key, of any size each; weight(key, n) holds the number of rows of each key.
+
+    A key with more than 1 / (4 * partitions) of all rows is dealt to as many parts as it has such shares, by a hash of
+    the columns `by`, and its fact is repeated once a part. There are fewer than 4 * partitions of such keys, and of parts in all, so only their numbers are broadcast.
+    """
+    total = weight.agg(F.sum("n")).first()[0] or 0
+    limit = max(1, total // (4 * parallelism(rows.sparkSession)))
+    hot = weight.filter(F.col("n") > limit).select(F.col(key).alias("__key"), (F.floor(F.col("n") / F.lit(limit)) + 1).cast("int").alias("__parts"))
+    parts = F.coalesce("__parts", F.lit(1))
+    dealt = rows.join(F.broadcast(hot), F.col(key) == F.col("__key"), "left").withColumn("__part", F.pmod(F.xxhash64(*by), parts).cast("int")).drop("__key", "__parts")
+    copies = facts.join(F.broadcast(hot), F.col(fact_key) == F.col("__key"), "left").withColumn("__copy", F.explode(F.sequence(F.lit(0), parts - 1))).drop("__key", "__parts")
+    return dealt.join(copies, (F.col(key) == F.col(fact_key)) & (F.col("__part") == F.col("__copy"))).drop("__part", "__copy")
+
+
 def in_front(rows: DataFrame, order: Sequence[Column], **sums: Column) -> DataFrame:
     """rows with the sum of each expression over the rows in front of it in the order, which is total; 0 for the first.
 
