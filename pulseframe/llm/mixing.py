@@ -144,24 +144,39 @@ def _edge_rows(placed: DataFrame) -> DataFrame:
     return last.withColumn("extra", F.greatest(F.lit(0), F.least("size", F.col("size") - F.col("upto") + F.col("need"))).cast("long")).drop("upto")
 
 
+def _last_rows(placed: DataFrame) -> DataFrame:
+    """(doc_id, h, at_edge, meets): how many words the documents at their sources' thresholds give, and how many rows each is."""
+    return _edge_rows(placed).groupBy("doc_id", "h").agg(F.max("extra").alias("at_edge"), F.count(F.lit(1)).alias("meets"))
+
+
+def _extra() -> Column:
+    """The words that a row gives beyond its whole copies: at the threshold what is still needed, in front of it all, behind it none."""
+    return F.coalesce(F.col("at_edge"), F.when(F.col("y") < F.col("lo"), F.col("size")), F.lit(0)).cast("long")
+
+
+def _copies() -> Column:
+    """The one rule of how often a row is taken, of its columns whole, size and extra."""
+    return F.col("whole") + F.when((F.col("size") > 0) & (2 * F.col("extra") >= F.col("size")), 1).otherwise(0)
+
+
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: int = 2, seed: int = 7) -> DataFrame:
     """(doc_id, source, h, size, source_size, target, rate, copies, part, taken), one row for each row of docs(doc_id, text, source); other columns are ignored.
 
-    taken = copies * size + part: whole copies, and `part` words of one more copy of one document a source. The taken words of a
-    source come to its target but for rounding to a whole word; no document exceeds cap times its size. Null and blank texts
-    have size 0 and copies 0; a null source is a source of its own. Repeated rows are documents of their own, in a fixed
-    order, and may differ in copies. The choice depends on doc_id, text and seed only, so reruns agree. An empty table gives an empty
+    taken = copies * size, the words that `mixed` takes of the row. `part` is, for the one document a source at the threshold, what the
+    source still lacks at it; the document is taken once more if that is at least half of it. So the taken words of a
+    source are off its target by no more than half that document; no document exceeds cap times its size. Null and blank texts
+    have size 0 and copies 0; a null source is a source of its own. Of repeated rows at the threshold all are taken if one is. The
+    choice depends on doc_id, text and seed only, so reruns agree. An empty table gives an empty
     result. Very long texts are split whole, in their row's task.
     """
     rated, plan = _planned(docs, weights, share, float(cap), seed)
     edge = plan.select("source", "need", "lo", "hi", "before", F.col("rows").alias("meets"))
     placed = spread_join(rated, edge, ["source"], "meets", small=SMALL)
-    columns = ["doc_id", "source", "size", "source_size", "target", "rate", "whole", "extra", "h"]
-    rest = placed.filter(~_at_edge()).withColumn("extra", F.when(F.col("y") < F.col("lo"), F.col("size")).otherwise(0).cast("long"))
-    done = rest.select(*columns).unionByName(_edge_rows(placed).select(*columns))
-    copies = (F.col("whole") + F.when((F.col("extra") == F.col("size")) & (F.col("size") > 0), 1).otherwise(0)).cast("long")
+    last = written(_last_rows(placed), "thresholds")
+    placed = spread_join(placed, last, ["doc_id", "h"], "meets", "left", small=SMALL).withColumn("extra", _extra())
     part = F.when(F.col("extra") == F.col("size"), 0).otherwise(F.col("extra")).cast("long")
-    return done.select("doc_id", "source", "h", "size", "source_size", "target", "rate", copies.alias("copies"), part.alias("part"), (copies * F.col("size") + part).cast("long").alias("taken"))
+    copies = _copies().cast("long")
+    return placed.select("doc_id", "source", "h", "size", "source_size", "target", "rate", copies.alias("copies"), part.alias("part"), (copies * F.col("size")).cast("long").alias("taken"))
 
 
 def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.5, cap: int = 2, seed: int = 7) -> DataFrame:
@@ -172,12 +187,9 @@ def mixed(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = 1.
     """
     rated, plan = _planned(docs, weights, share, float(cap), seed)
     edge = plan.select("source", "need", "lo", "hi", "before", F.col("rows").alias("meets"))
-    last = _edge_rows(spread_join(rated, edge, ["source"], "meets", small=SMALL)).groupBy("doc_id", "h").agg(F.max("extra").alias("extra"), F.count(F.lit(1)).alias("meets"))
-    last = written(last, "thresholds")
+    last = written(_last_rows(spread_join(rated, edge, ["source"], "meets", small=SMALL)), "thresholds")
     forget(rated)
     packed = _sized(docs, seed, F.struct("*").alias("row"))  # no name of docs can clash
     placed = spread_join(_rated(packed, plan.drop("need", "lo", "hi", "before"), float(cap)), edge, ["source"], "meets", small=SMALL)
-    placed = spread_join(placed, last, ["doc_id", "h"], "meets", "left", small=SMALL)
-    words = F.coalesce(F.col("extra"), F.when(F.col("y") < F.col("lo"), F.col("size")), F.lit(0))
-    copies = F.col("whole") + F.when((F.col("size") > 0) & (2 * words >= F.col("size")), 1).otherwise(0)
-    return placed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), copies.cast("int")))).select("row.*")
+    placed = spread_join(placed, last, ["doc_id", "h"], "meets", "left", small=SMALL).withColumn("extra", _extra())
+    return placed.withColumn("copy", F.explode(F.array_repeat(F.lit(0), _copies().cast("int")))).select("row.*")

@@ -19,7 +19,7 @@ def test_no_text_is_cut(spark):
     assert all(r.text == texts[r.doc_id] for r in out)
     times, words, edge = Counter(r.doc_id for r in out), defaultdict(int), defaultdict(int)
     for i, r in plan.items():
-        assert times[i] == r.copies + (r.part > 0 and 2 * r.part >= r.size) <= 2
+        assert times[i] == r.copies <= 2 and r.taken == times[i] * r.size
         words[rows[i][2]] += times[i] * r.size
         edge[rows[i][2]] = max(edge[rows[i][2]], r.size * (r.part > 0))
     assert all(abs(words[r.source] - r.target) <= edge[r.source] / 2 + 1 for r in plan.values())
