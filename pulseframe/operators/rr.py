@@ -2,9 +2,15 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from collections.abc import Iterator
+from functools import partial
+
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from pulseframe.operators.blocks import with_halo
 from pulseframe.operators.signals import ordered, whole
 
 
@@ -32,23 +38,54 @@ def correct_missed(peaks: DataFrame, missed: DataFrame) -> DataFrame:
     return peaks.select("session_id", "idx").unionByName(fresh).distinct()
 
 
-def _spread(value: str, alpha: float) -> Column:
-    """alpha times half the quartile range of |value| over 91 intervals."""
-    quartiles = F.percentile(F.abs(value), F.array(F.lit(0.25), F.lit(0.75))).over(ordered().rowsBetween(-45, 45))
-    return alpha * (quartiles[1] - quartiles[0]) / 2
-
-
-def artefacts(rr: DataFrame, c1: float = 0.13, c2: float = 0.17, alpha: float = 5.2) -> DataFrame:
+#: Intervals on each side of a quartile range and of a median; a block of positions sees both in front of it and behind it.
+_WIDE, _NEAR = 45, 5
+BLOCK = 1 << 13
+
+
+def rolling_quantiles(x: np.ndarray, half: int, ps: tuple[float, ...]) -> np.ndarray:
+    """The quantiles, between order statistics by the line, of the values up to `half` positions away that are there: rows by position, columns by p. NaN is no value."""
+    padded = np.concatenate([np.full(half, np.nan), x, np.full(half, np.nan)])
+    near = np.sort(np.lib.stride_tricks.sliding_window_view(padded, 2 * half + 1), axis=1)
+    last = np.maximum((~np.isnan(near)).sum(axis=1) - 1, 0)
+    out = np.empty((len(x), len(ps)))
+    for k, p in enumerate(ps):
+        place = last * p
+        low = np.floor(place).astype(np.int64)
+        below, above = (np.take_along_axis(near, i[:, None], axis=1)[:, 0] for i in (low, np.minimum(low + 1, last)))
+        out[:, k] = below + (above - below) * (place - low)
+    return out
+
+
+def _thresholds(batches: Iterator[pa.RecordBatch], alpha: float) -> Iterator[pa.RecordBatch]:
+    """The rows of packed blocks with both thresholds, the medians and what the intervals are off them."""
+    for batch in batches:
+        for session, own in zip(batch.column("session_id").to_pylist(), batch.column("rows"), strict=True):
+            rows = own.values
+            mine = np.asarray(rows.field("own").to_numpy(zero_copy_only=False))
+            rr, d = (rows.field(c).to_numpy(zero_copy_only=False).astype(float) for c in ("rr_ms", "d"))
+            spread = lambda x: alpha * np.diff(rolling_quantiles(np.abs(x), _WIDE, (0.25, 0.75)), axis=1)[:, 0] / 2
+            med = rolling_quantiles(rr, _NEAR, (0.5,))[:, 0]
+            off = rr - med
+            m = np.where(off < 0, 2 * off, off)
+            made = [spread(d), med, m, spread(m)]
+            kept = pa.array(mine)
+            columns = [rows.field(c).filter(kept) for c in ("idx", "rr_ms", "i", "n", "d")]
+            yield pa.RecordBatch.from_arrays([pa.repeat(pa.scalar(session, pa.int64()), int(mine.sum())), *columns, *(pa.array(x[mine], mask=np.isnan(x[mine])) for x in made)], names=["session_id", "idx", "rr_ms", "i", "n", "d", "threshold1", "med", "m", "threshold2"])
+
+
+def artefacts(rr: DataFrame, c1: float = 0.13, c2: float = 0.17, alpha: float = 5.2, block: int = BLOCK) -> DataFrame:
     """rr(session_id, idx, rr_ms) with the two thresholds, the normalised differences and the classes ectopic, long, short, missed, extra.
 
-    Quartile ranges run over 91, medians over 11 intervals around each. With a threshold of 0 nothing is flagged.
+    Quartile ranges run over 91, medians over 11 intervals around each, on blocks of a session and what they reach. With a threshold of 0 nothing is flagged.
     """
     n = F.count(F.lit(1)).over(whole())
     base = rr.select("session_id", "idx", "rr_ms", (F.row_number().over(ordered()) - 1).alias("i"), n.alias("n"), (F.col("rr_ms") - F.lag("rr_ms").over(ordered())).alias("diff"))
     base = base.withColumn("d", F.coalesce("diff", F.avg("diff").over(whole())))
-    base = base.withColumn("threshold1", _spread("d", alpha)).withColumn("med", F.percentile("rr_ms", F.lit(0.5)).over(ordered().rowsBetween(-5, 5)))
-    off = F.col("rr_ms") - F.col("med")
-    base = base.withColumn("m", F.when(off < 0, 2 * off).otherwise(off)).withColumn("threshold2", _spread("m", alpha))
+    base = base.select("session_id", "idx", F.col("rr_ms").cast("double").alias("rr_ms"), F.col("i").cast("long").alias("i"), "n", F.col("d").cast("double").alias("d"))
+    dealt = with_halo(base, block, _WIDE + _NEAR, _WIDE + _NEAR, "i")
+    packed = dealt.groupBy("session_id", "block").agg(F.sort_array(F.collect_list(F.struct("i", "idx", "rr_ms", "n", "d", "own"))).alias("rows"))
+    base = packed.mapInArrow(partial(_thresholds, alpha=alpha), "session_id long, idx long, rr_ms double, i long, n long, d double, threshold1 double, med double, m double, threshold2 double")
     base = base.withColumn("s11", F.try_divide("d", "threshold1")).withColumn("mrr", F.try_divide("m", "threshold2")).withColumn("all", F.percentile("rr_ms", F.lit(0.5)).over(whole()))
     lag, lead, lead2 = F.lag("s11").over(ordered()), F.lead("s11").over(ordered()), F.lead("s11", 2).over(ordered())
     ends = (F.col("i") == 0) | (F.col("i") == F.col("n") - 1)

@@ -84,33 +84,46 @@ def test_speaker(segments: DataFrame) -> DataFrame:
     return total.withColumn("k", F.row_number().over(w)).filter("k = 1").select("session_id", F.col("speaker").alias("test"))
 
 
-def speaker_timeline(segments: DataFrame, fs: int) -> DataFrame:
-    """(session_id, idx, test, panel): 0/1 for each sample that a session spans.
+def speaker_intervals(segments: DataFrame, fs: int) -> DataFrame:
+    """(session_id, k, lo, hi, test, panel): the runs of samples lo..hi-1 between the edges of segments, numbered in order, with the flags of all their samples.
 
-    Segments are closed at both ends. The panel flag is that of the last segment, in order of start, that covers the sample;
-    where several speakers overlap, the test speaker is off. A run without the test speaker that has some panel is panel.
+    Segments are closed at both ends. The panel flag is that of the last segment, in order of start, that covers a run;
+    where several speakers overlap, the test speaker is off. A stretch without the test speaker that has some panel is panel. The first and the
+    last sample of a session are runs of their own. Rows grow with segments and their overlaps, not with samples.
     """
+    at = lambda c, f: f(F.round(F.col(c) * fs, 6)).cast("long")
     who = segments.join(test_speaker(segments), "session_id")
     order = F.row_number().over(Window.partitionBy("session_id").orderBy("start", "stop", "speaker"))
-    spans = who.withColumn("ord", order).withColumn("idx", F.explode(F.sequence(F.ceil(F.round(F.col("start") * fs, 6)), F.floor(F.round(F.col("stop") * fs, 6)))))
-    covered = spans.groupBy("session_id", "idx").agg(
+    spans = who.withColumn("ord", order).select("session_id", "speaker", "test", "ord", at("start", F.ceil).alias("a"), (at("stop", F.floor) + 1).alias("b"))
+    ends = segments.groupBy("session_id").agg(F.floor(F.round(F.max("stop") * fs, 6)).cast("long").alias("end"))
+    edges = spans.filter("a < b").select("session_id", F.explode(F.array("a", "b")).alias("cut")).union(ends.select("session_id", F.explode(F.array(F.lit(0).cast("long"), F.lit(1).cast("long"), F.col("end"), F.col("end") + 1)).alias("cut"))).distinct()
+    w = Window.partitionBy("session_id").orderBy("cut")
+    cuts = edges.join(ends, "session_id").filter("cut between 0 and end + 1").withColumn("k", F.row_number().over(w)).withColumn("hi", F.lead("cut").over(w)).drop("end")
+    begins, stops = cuts.select("session_id", F.col("cut").alias("a"), F.col("k").alias("first")), cuts.select("session_id", F.col("cut").alias("b"), F.col("k").alias("beyond"))
+    placed = spans.join(begins, ["session_id", "a"]).join(stops, ["session_id", "b"]).filter("first < beyond").withColumn("k", F.explode(F.sequence("first", F.col("beyond") - 1)))
+    covered = placed.groupBy("session_id", "k").agg(
         F.max((F.col("speaker") == F.col("test")).cast("int")).alias("test"), F.count_distinct("speaker").alias("n"), F.max(F.struct("ord", (F.col("speaker") != F.col("test")).cast("int").alias("p"))).alias("last")
     )
-    ends = segments.groupBy("session_id").agg(F.floor(F.round(F.max("stop") * fs, 6)).alias("end"))
-    grid = ends.select("session_id", F.explode(F.sequence(F.lit(0).cast("long"), "end")).alias("idx"))
-    flat = grid.join(covered, ["session_id", "idx"], "left").select("session_id", "idx", F.when(F.col("n") > 1, 0).otherwise(F.coalesce("test", F.lit(0))).alias("test"), F.coalesce("last.p", F.lit(0)).alias("panel"))
-    run = flat.withColumn("step", F.coalesce(F.abs(F.col("test") - F.lag("test").over(ordered())), F.lit(0))).withColumn("run", F.sum("step").over(ordered()))
+    flat = cuts.filter("hi is not null").join(covered, ["session_id", "k"], "left")
+    flat = flat.select("session_id", "k", F.col("cut").alias("lo"), "hi", F.when(F.col("n") > 1, 0).otherwise(F.coalesce("test", F.lit(0))).alias("test"), F.coalesce("last.p", F.lit(0)).alias("panel"))
+    by_k = Window.partitionBy("session_id").orderBy("k")
+    run = flat.withColumn("step", F.coalesce(F.abs(F.col("test") - F.lag("test").over(by_k)), F.lit(0))).withColumn("run", F.sum("step").over(by_k))
     own = Window.partitionBy("session_id", "run")
     some = (F.max("test").over(own) == 0) & (F.max("panel").over(own) == 1)
-    return run.select("session_id", "idx", "test", F.when(some, 1).otherwise(F.col("panel")).alias("panel"))
+    return run.select("session_id", "k", "lo", "hi", "test", F.when(some, 1).otherwise(F.col("panel")).alias("panel"))
+
+
+def speaker_timeline(segments: DataFrame, fs: int) -> DataFrame:
+    """(session_id, idx, test, panel): the flags of speaker_intervals for each sample that a session spans."""
+    return speaker_intervals(segments, fs).select("session_id", F.explode(F.sequence("lo", F.col("hi") - 1)).alias("idx"), "test", "panel")
 
 
-def _edges(timeline: DataFrame, flag: str, name: Column, fs: int) -> DataFrame:
-    step = F.col(flag) - F.lag(flag).over(ordered())
-    moved = timeline.withColumn("step", step).filter("step <> 0")
-    w = Window.partitionBy("session_id", "step").orderBy("idx")
-    numbered = moved.withColumn("k", F.row_number().over(w))
-    out = numbered.groupBy("session_id", "k").agg(F.max(F.when(F.col("step") > 0, F.col("idx"))).alias("a"), F.max(F.when(F.col("step") < 0, F.col("idx"))).alias("b"))
+def _edges(runs: DataFrame, flag: str, name: Column, fs: int) -> DataFrame:
+    step = F.col(flag) - F.lag(flag).over(Window.partitionBy("session_id").orderBy("k"))
+    moved = runs.withColumn("step", step).filter("step <> 0")
+    w = Window.partitionBy("session_id", "step").orderBy("k")
+    numbered = moved.withColumn("pair", F.row_number().over(w))
+    out = numbered.groupBy("session_id", "pair").agg(F.max(F.when(F.col("step") > 0, F.col("lo"))).alias("a"), F.max(F.when(F.col("step") < 0, F.col("lo"))).alias("b"))
     return out.select("session_id", (F.col("a") / fs).alias("start"), (F.col("b") / fs).alias("stop"), name.alias("speaker"))
 
 
@@ -120,8 +133,9 @@ def diarization(segments: DataFrame, fs: int, least: float = 0.3) -> DataFrame:
     Starts and ends are paired by number, so a session that begins with speech pairs an end with a later start.
     """
     own = clean_segments(segments, least)
-    line = speaker_timeline(own, fs)
-    edge = (F.lag("idx").over(ordered()).isNull()) | (F.lead("idx").over(ordered()).isNull())
+    line = speaker_intervals(own, fs)
+    by_k = Window.partitionBy("session_id").orderBy("k")
+    edge = (F.lag("k").over(by_k).isNull()) | (F.lead("k").over(by_k).isNull())  # the first and the last sample
     line = line.withColumn("quiet", F.when(edge, 0).otherwise(1 - F.col("panel")))
     names = test_speaker(own)
     test = _edges(line, "test", F.lit("test"), fs).join(names, "session_id").select("session_id", "start", "stop", F.col("test").alias("speaker"))
