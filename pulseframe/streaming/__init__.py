@@ -1,4 +1,4 @@
-"""Streaming twins of the feature tables."""
+"""Streaming twins of the feature tables and of voice activity."""
 
 from pulseframe.streaming.windows import windowed_features
 
