@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from pulseframe.operators import radar
 from pulseframe.plans.registry import query
-from pulseframe.sources import wav
-from pulseframe.sources.tables import SAMPLES_SQL, imu, samples
+from pulseframe.sources import wav, wav_source
+from pulseframe.sources.tables import SAMPLES_SQL, imu, new_folder, samples
 
 _FS = 10
 _PCM_SQL = "greatest(-32768, least(32767, CAST(round(value * 10) AS BIGINT)))"
@@ -45,6 +45,18 @@ def i12_cut_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wav.cut(own.select("session_id", "idx", "value"), segments, _FS)
 
 
+@query(f"""WITH {SAMPLES_SQL}, {_CUTS_SQL}, e AS (SELECT session_id, max(idx) + 1 AS n FROM s GROUP BY 1)
+SELECT 'user_' || session_id || '_seg_' || segment || '.wav' AS name, 8000 AS fs, s.idx - CAST(start * 10 AS BIGINT) AS idx, CAST(round(value * 10) AS INTEGER) AS value FROM c JOIN e USING (session_id) JOIN s USING (session_id)
+WHERE s.idx >= CAST(start * 10 AS BIGINT) AND s.idx < coalesce(CAST(stop * 10 AS BIGINT), n)""")
+def i12_segment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Segments written as WAV files in the shared folder and read back by byte ranges."""
+    own = i12_cut_segments(spark, sf_dir).select("session_id", "segment", "idx", (F.col("value") * 10).alias("value"))
+    folder = new_folder(spark, "segments")
+    wav_source.write_segments(own, "user", folder, 8000)
+    found = wav_source.read_wav(spark, folder, 1 << 16)
+    return found.select(F.substring_index("path", "/", -1).alias("name"), "fs", "idx", "value")
+
+
 @query(f"""WITH {SAMPLES_SQL}, n AS (SELECT session_id, count(*) AS n FROM s GROUP BY 1), p AS (SELECT session_id, idx FROM s JOIN n USING (session_id) WHERE event_type = 'purchase' AND idx < (n - 1) // 20 * 20),
 d AS (SELECT session_id, idx, coalesce((lead(idx) OVER w - idx) / 10.0::DOUBLE, 0) AS step, lead(idx) OVER w IS NULL AS tail FROM p WINDOW w AS (PARTITION BY session_id ORDER BY idx))
 SELECT session_id, idx, 1.0::DOUBLE AS quality, 0.0::DOUBLE AS outlier, round(CASE WHEN tail THEN avg(step) OVER (PARTITION BY session_id) ELSE step END, 9) AS rr FROM d""")
