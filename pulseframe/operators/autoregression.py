@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame
 
 from pulseframe.operators.correction import POINTS, _filled, _outlying, baseline
 
-_MAX_LAG, _CYCLES, _FITS = 30, 29, 50
+_MAX_LAG, _CYCLES, _FITS = 30, 29, 1000
 
 
 def chosen_order(x: np.ndarray, most: int = _MAX_LAG) -> int:
@@ -56,17 +56,24 @@ class Model:
         self.x, self.order, self.mean = x, order, float(np.mean(x))
         for _ in range(_FITS):
             self.predictors, left = burg(x - self.mean, order)
-            ones, own = (np.array([self._rest(v, t) for t in range(len(x))]) for v in (np.ones(len(x)), x))
+            ones, own = self._rests(np.ones(len(x))), self._rests(x)
             weight = ones / left[np.minimum(np.arange(len(x)), order)]
             mean = float(weight @ own) / float(weight @ ones) if float(weight @ ones) > 1e-12 else self.mean
             moved, self.mean = abs(mean - self.mean), mean
             if moved <= 1e-10 * max(1.0, abs(mean)):
                 break
+        else:
+            raise ArithmeticError(f"the constant of an autoregression of order {order} still moves by {moved} after {_FITS} fits")
         self.predictors, _ = burg(x - self.mean, order)
 
-    def _rest(self, v: np.ndarray, t: int) -> float:
-        p = self.predictors[min(t, self.order)]
-        return float(v[t] - p @ v[t - len(p) : t][::-1])
+    def _rests(self, v: np.ndarray) -> np.ndarray:
+        """What the predictors leave of each value: those of rising order at the start, then the full one over all windows at once."""
+        out, n = v.astype(float), min(self.order, len(v))
+        for t in range(1, n):
+            out[t] -= self.predictors[t] @ v[:t][::-1]
+        if 0 < self.order < len(v):
+            out[n:] -= np.lib.stride_tricks.sliding_window_view(v, n)[:-1] @ self.predictors[n][::-1]
+        return out
 
     def predict(self, t: int) -> float:
         """The best linear prediction of x[t], t at most len(x), from all values in front of it."""

@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 #: Raw feature -> names of functions.
@@ -87,10 +89,34 @@ def blink_vector(videos: DataFrame, blinks: DataFrame) -> DataFrame:
     return frames.join(blinks.select("session_id", "frame", F.lit(1).alias("blink")).distinct(), ["session_id", "frame"], "left").withColumn("blink", F.coalesce("blink", F.lit(0)))
 
 
-def facial_tremor(df: DataFrame, landmarks: Sequence[int], reference: int = 28, area: float = 350000.0) -> DataFrame:
+# The settings of the tremor of the face, and the landmarks that it is taken of.
+@dataclass(frozen=True)
+class TremorConfig:
+    """The reference landmark, the area that faces are scaled to, the pairs of landmarks that give a face's width and height, and the landmarks."""
+
+    reference: int = 28
+    area: float = 350000.0
+    width: tuple[int, int] = (15, 1)
+    height: tuple[int, int] = (8, 27)
+    landmarks: tuple[int, ...] = (5, 12, 8, 48, 54, 28, 51, 66, 57)
+
+    @classmethod
+    def read(cls, spark: SparkSession, path: str) -> TremorConfig:
+        """The settings of a JSON file of any store that Spark reads; what it does not name keeps its default."""
+        text = spark.read.text(path, wholetext=True).first()[0]
+        known = {k: tuple(v) if isinstance(v, list) else v for k, v in json.loads(text).items() if k in cls.__dataclass_fields__}
+        return cls(**known)
+
+
+def configured_tremor(df: DataFrame, config: TremorConfig) -> DataFrame:
+    """facial_tremor with the settings of a config."""
+    return facial_tremor(df, config.landmarks, config.reference, config.area, config.width, config.height)
+
+
+def facial_tremor(df: DataFrame, landmarks: Sequence[int], reference: int = 28, area: float = 350000.0, width: tuple[int, int] = (15, 1), height: tuple[int, int] = (8, 27)) -> DataFrame:
     """(session_id, tremor_<n>) of df(session_id, idx, l<n>_x, l<n>_y): median displacement, scaled by the face's size in the first frame, times 1 - correlation with the reference.
 
-    Frames in which all landmarks are 0 are left out; the face is l15_x - l1_x wide and l8_y - l27_y high. Without a size or a varying displacement the value is null.
+    Frames in which all landmarks are 0 are left out; the face is l15_x - l1_x wide and l8_y - l27_y high, or as width and height say. Without a size or a varying displacement the value is null.
     """
     points = [c for c in df.columns if c.startswith("l") and c[-2:] in ("_x", "_y")]
     zero = F.lit(True)
@@ -100,7 +126,7 @@ def facial_tremor(df: DataFrame, landmarks: Sequence[int], reference: int = 28,
     kept = df.filter(~zero)
     marks = sorted({*landmarks, reference})
     move = {n: F.coalesce(F.hypot(F.col(f"l{n}_x") - F.lag(f"l{n}_x").over(w), F.col(f"l{n}_y") - F.lag(f"l{n}_y").over(w)), F.lit(0.0)) for n in marks}
-    moved = kept.select("session_id", "idx", (F.abs(F.col("l15_x") - F.col("l1_x")) * F.abs(F.col("l8_y") - F.col("l27_y"))).alias("face"), *(c.alias(f"d{n}") for n, c in move.items()))
+    moved = kept.select("session_id", "idx", (F.abs(F.col(f"l{width[0]}_x") - F.col(f"l{width[1]}_x")) * F.abs(F.col(f"l{height[0]}_y") - F.col(f"l{height[1]}_y"))).alias("face"), *(c.alias(f"d{n}") for n, c in move.items()))
     scale = F.try_divide(F.lit(area), F.min_by("face", "idx"))
     return moved.groupBy("session_id").agg(*((scale * F.percentile(f"d{n}", F.lit(0.5)) * (1 - F.corr(f"d{n}", f"d{reference}"))).alias(f"tremor_{n}") for n in landmarks))
 
@@ -114,6 +140,22 @@ def dominant(scores: Sequence[str]) -> Column:
     return out
 
 
+#: The emotions in the order of their codes.
+EMOTIONS = ("happy", "surprise", "neutral", "sad", "angry", "disgust", "fear")
+
+
+def emotion_code(name: Column, emotions: Sequence[str] = EMOTIONS) -> Column:
+    """The position of an emotion's name in the list; null for any other name."""
+    at = F.array_position(F.array(*map(F.lit, emotions)), name)
+    return F.when(at > 0, at - 1).cast("int")
+
+
+def scored_frames(scores: DataFrame, fps_out: float, emotions: Sequence[str] = EMOTIONS) -> DataFrame:
+    """(session_id, time, the emotions, emotion, code) of a detector's frames(session_id, idx, emotions, ...): time is idx / fps_out, emotion the name of the largest score; other columns, boxes among them, go."""
+    code = dominant(list(emotions))
+    return scores.select("session_id", (F.col("idx") / F.lit(fps_out)).alias("time"), *emotions, F.get(F.array(*map(F.lit, emotions)), code).alias("emotion"), code.alias("code"))
+
+
 def since_start(keys: Sequence[str], time: str) -> Column:
     return F.col(time) - F.first(time).over(Window.partitionBy(*keys).orderBy(time))
 

@@ -6,11 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.operators import cardiac as C
-from pulseframe.operators import autoregression, correction, ecg, monotone, visibility, wavelets
+from pulseframe.operators import autoregression, contract, correction, ecg, monotone, visibility, wavelets
 from pulseframe.operators.filters import Design
 from pulseframe.operators.speech import diagnostics
 from pulseframe.plans.filter_sql import zero_phase_ctes
-from pulseframe.plans.registry import query
+from pulseframe.plans.registry import ORACLE_SQL, query
 from pulseframe.sources.tables import SAMPLES_SQL, samples
 
 FS = 20.0
@@ -263,3 +263,19 @@ f AS (SELECT hb.session_id, hb.heartbeat_id, r_peak_sample, max(q) AS q FROM hb
 SELECT session_id, heartbeat_id, CASE WHEN q <= r_peak_sample THEN q END AS q_peak FROM f""")
 def p6_q_peaks_wavelet(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelets.q_peaks_by_wavelet(*beats(spark, sf_dir), FS, search=0.4)
+
+
+_POINTS = {"c_highest": p9_c_points_argmax, "c_visibility": p10_c_points_visibility, "q_onset": p7_q_onsets, "q_wavelet": p6_q_peaks_wavelet}
+
+
+@query(" UNION ALL ".join(f"SELECT '{name}' AS extraction, session_id, heartbeat_id, CAST({column} AS DOUBLE) AS point FROM ({ORACLE_SQL[f.__name__]})" for (name, f), column in zip(_POINTS.items(), ("c_point", "c_point", "q_onset", "q_peak"), strict=True)))
+def p1_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Points of several extractions of one contract, in one table."""
+    own, x = beats(spark, sf_dir)
+    found: dict[str, contract.Extraction] = {
+        "c_highest": lambda samples, heartbeats, fs: C.c_points(heartbeats, samples),
+        "c_visibility": lambda samples, heartbeats, fs: visibility.c_points_by_visibility(heartbeats, samples),
+        "q_onset": lambda samples, heartbeats, fs: C.q_onsets(heartbeats, fs),
+        "q_wavelet": lambda samples, heartbeats, fs: wavelets.q_peaks_by_wavelet(heartbeats, samples, fs, search=0.4),
+    }
+    return contract.extracted(found, x, own, FS)

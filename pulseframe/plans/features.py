@@ -193,3 +193,12 @@ def f7_relative_time(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {SAMPLES_SQL} SELECT session_id, idx, round(idx / 30.0::DOUBLE, 6) AS time FROM s WHERE idx % 7 = 0")
 def f2_sampled_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.sampled_frames(samples(spark, sf_dir), 30.0, 4.0).select("session_id", "idx", F.round("time", 6).alias("time"))
+
+
+@query("""WITH e AS (SELECT vec_id, label, embedding[1:7] AS e FROM embeddings)
+SELECT CAST(label AS BIGINT) AS session_id, round(vec_id / 4.0::DOUBLE, 6) AS time, ['happy', 'surprise', 'neutral', 'sad', 'angry', 'disgust', 'fear'][list_position(e, list_max(e))] AS emotion, CAST(list_position(e, list_max(e)) - 1 AS INTEGER) AS code, CAST(list_position(e, list_max(e)) - 1 AS INTEGER) AS code_by_name FROM e""")
+def f4_scored_frames(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Frames of a detector with their times, emotions and codes."""
+    scores = table(spark, sf_dir, "embeddings").select(F.col("label").cast("long").alias("session_id"), F.col("vec_id").alias("idx"), *(F.col("embedding")[k].alias(n) for k, n in enumerate(X.EMOTIONS)), F.col("embedding").alias("box"))
+    out = X.scored_frames(scores, 4.0)
+    return out.select("session_id", F.round("time", 6).alias("time"), "emotion", "code", X.emotion_code(F.col("emotion")).alias("code_by_name"))

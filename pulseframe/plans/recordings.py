@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from pulseframe.operators import radar
 from pulseframe.plans.registry import query
 from pulseframe.sources import wav, wav_source
-from pulseframe.sources.tables import SAMPLES_SQL, imu, new_folder, samples
+from pulseframe.sources.tables import IMU_SQL, SAMPLES_SQL, imu, new_folder, samples
 
 _FS = 10
 _PCM_SQL = "greatest(-32768, least(32767, CAST(round(value * 10) AS BIGINT)))"
@@ -70,3 +70,11 @@ def r1_beat_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
 def r4_radar_channels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Signals derived from two channels; recursions over recursions, so no SQL."""
     return radar.prepared(imu(spark, sf_dir).select("session_id", "idx", F.col("acc_x").alias("i"), F.col("acc_y").alias("q")), 200.0)
+
+
+@query(f"WITH {IMU_SQL} SELECT 'sensor-' || session_id AS path, 100 AS fs, idx, CAST(floor((CAST(floor(acc_x * 100) AS INT) + CAST(floor(acc_y * 100) AS INT)) / 2.0::DOUBLE) AS INT) AS value FROM m")
+def i4_mono(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two channels as one."""
+    channels = F.posexplode(F.array(*(F.floor(F.col(c) * 100).cast("int") for c in ("acc_x", "acc_y")))).alias("channel", "value")
+    own = imu(spark, sf_dir).select(F.concat(F.lit("sensor-"), F.col("session_id").cast("string")).alias("path"), F.lit(100).alias("fs"), "idx", channels)
+    return wav.to_mono(own)

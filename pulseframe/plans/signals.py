@@ -148,6 +148,8 @@ _filtered("s3_elliptic_icg", "elliptic", order=2, low=0.75, high=40.0, fs=1000.0
 _filtered("s5_butterworth_scg", "butterworth", order=4, low=5.0, high=40.0, fs=500.0)
 _filtered("s7_highpass", "butterworth", order=4, low=20.0, fs=500.0)
 _filtered("s8_lowpass", "butterworth", order=4, high=20.0, fs=500.0)
+_filtered("s14_lowpass_order4", "butterworth", order=4, high=1.5, fs=200.0)
+_filtered("s15_highpass_order4", "butterworth", order=4, low=0.2, fs=200.0)
 _filtered("s13_bandpass_order5", "butterworth", order=5, low=15.0, high=60.0, fs=500.0)
 _filtered("s29_baseline", "butterworth", order=4, high=0.1, fs=1.0)
 _filtered("s9_envelope", "hilbert")

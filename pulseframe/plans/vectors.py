@@ -102,3 +102,15 @@ def v12_align_to_gravity(spark: SparkSession, sf_dir: str) -> DataFrame:
     own = imu(spark, sf_dir)
     aligned = I.align_to_gravity(own, 10.0).join(I.static_vector(own, 7, 2.5), "session_id", "left_semi")
     return aligned.select("session_id", "idx", *((F.round(a, 4) + F.lit(0.0)).alias(a) for a in I.ACC))
+
+
+@query(f"""WITH {IMU_SQL}, r AS (SELECT *, CASE WHEN session_id % 3 > 0 THEN cos(session_id / 10.0::DOUBLE) ELSE 1 END AS c, CASE WHEN session_id % 3 > 0 THEN sin(session_id / 10.0::DOUBLE) ELSE 0 END AS s FROM m)
+SELECT session_id, idx, round(c * acc_x - s * acc_y, 5) + 0.0 AS acc_x, round(s * acc_x + c * acc_y, 5) + 0.0 AS acc_y, round(acc_z, 5) AS acc_z,
+  round(c * gyr_x - s * gyr_y, 5) + 0.0 AS gyr_x, round(s * gyr_x + c * gyr_y, 5) + 0.0 AS gyr_y, round(gyr_z, 5) AS gyr_z FROM r""")
+def v9_rotated(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Both sensors turned about z by a tenth of the session's number; every third session has no rotation and stays."""
+    own = imu(spark, sf_dir)
+    angle = F.col("session_id") / 10.0
+    rows = F.array(F.array(F.cos(angle), -F.sin(angle), F.lit(0.0)), F.array(F.sin(angle), F.cos(angle), F.lit(0.0)), F.array(F.lit(0.0), F.lit(0.0), F.lit(1.0)))
+    matrices = own.select("session_id").distinct().filter("session_id % 3 > 0").select("session_id", rows.alias("matrix"))
+    return I.rotate(own, matrices).select("session_id", "idx", *((F.round(a, 5) + F.lit(0.0)).alias(a) for a in (*I.ACC, *I.GYR)))
