@@ -92,7 +92,7 @@ def _latest(rows: DataFrame, key: list[str], by: str, value: str, found: str) ->
     return joined.select(*(f"x.{c}" for c in rows.columns), F.greatest("x.own", "y.top").alias(found))
 
 
-def link_quotes(messages: DataFrame, min_chars: int = 8) -> DataFrame:
+def link_quotes(messages: DataFrame, min_chars: int = 1) -> DataFrame:
     """One row for each row of messages(conv_id, turn, role, text), without quotes and in reply order; other columns are ignored.
 
     Columns: conv_id, turn, role, body (the text without quoted lines, ends stripped), n_quotes (passages), n_linked (passages
