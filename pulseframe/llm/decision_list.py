@@ -156,13 +156,13 @@ def quantiles(table: DataFrame, names: list[str]) -> dict[str, list[float]]:
     return {n: sorted(float(r.value) for r in cuts if names[r.stat] == n) for n in names}
 
 
-def learn(labelled: DataFrame, max_rules: int = 8, max_tests: int = 4, least_bad: int = 5, least_precision: float = 0.9) -> list[Rule]:
+def learn(labelled: DataFrame, least_bad: int = 5, least_precision: float = 0.9) -> list[Rule]:
     """Rules for label 0 from rows of text_stats plus (label, prune boolean).
 
-    Thresholds are the exact BINS - 1 quantiles of each statistic among the rows of either label. At most `max_rules` rules of
-    `max_tests` tests are learned, a bound on the list's length and not on the rows. A rule stays while it covers at
+    Thresholds are the exact BINS - 1 quantiles of each statistic among the rows of either label. A rule grows while a test gains
+    information, and is pruned to the tests that the pruning part bears out. It stays if it covers at
     least `least_bad` bad documents of the growing and pruning parts together with a precision of `least_precision` in
-    each part that it covers; learning ends at the first that doesn't. No labelled rows give no rules.
+    each part that it covers; learning ends at the first that doesn't. As every rule takes bad rows away, it ends. No labelled rows give no rules.
     """
     stats = ratios()
     names = list(stats)
@@ -191,10 +191,10 @@ def learn(labelled: DataFrame, max_rules: int = 8, max_tests: int = 4, least_bad
         return sum(b for b, _ in own), sum(g for _, g in own)
 
     rules: list[Rule] = []
-    while len(rules) < max_rules:
+    while True:
         rows, tests, steps = left, [], []
         counts = counted(rows)
-        while len(tests) < max_tests:
+        while True:
             bad0, good0 = totals(counts, False)
             if not bad0 or not good0:
                 break
