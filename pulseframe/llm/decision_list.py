@@ -54,7 +54,8 @@ def _repeat_words(words: Column, window: int = 5) -> Column:
 def text_stats(docs: DataFrame) -> DataFrame:
     """(doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, and the counts the rules use) of docs(doc_id, text), one row a row.
 
-    Null, empty and blank texts have 0 everywhere. Other columns are ignored.
+    Null, empty and blank texts have 0 everywhere. Repeated rows are counted each. Very long texts are split whole, in their row's task.
+    An empty table gives an empty result. Other columns, also of the names of the counts, are ignored.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     filled = F.filter(F.split(text, "\n", -1), lambda line: line.rlike(r"[^\x20\x09-\x0D]"))
@@ -234,7 +235,11 @@ def base_failed() -> Column:
 
 
 def judge(docs: DataFrame, labels: DataFrame) -> tuple[DataFrame, list[Rule]]:
-    """text_stats of docs with base_failed, rule (0: none, else its number) and kept, and the rules learned from labels(doc_id, label)."""
+    """text_stats of docs with base_failed, rule (0: none, else its number) and kept, and the rules learned from labels(doc_id, label).
+
+    One row for each row of docs, repeated ones too. Null, empty and blank texts fail the base rules. Null ids are judged, but have no label.
+    Without usable labels no rule is learned and the base rules decide. An empty table gives an empty result. Other columns are ignored.
+    """
     stats = written(text_stats(docs), "text-stats")
     rules = learn(labelled_stats(stats, labels).filter(~base_failed()))
     return stats.withColumns({"base_failed": base_failed(), "rule": verdict(rules)}).withColumn("kept", ~F.col("base_failed") & (F.col("rule") == 0)), rules

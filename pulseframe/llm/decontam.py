@@ -186,7 +186,8 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, b
     """(doc_id, n_words, n_hit, item_ids): words of each document inside an occurrence of a benchmark window, and the items found, ascending.
 
     Words are [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after lower-casing A-Z. Null and empty texts have no words. Items with a null
-    id or without words have no window. Repeated rows are judged alike, one result row each. An empty benchmark hits nothing.
+    id or without words have no window. Repeated rows are judged alike, one result row each. An empty benchmark hits nothing. Very
+    long texts are searched whole, in pieces of bounded size; other columns are ignored.
 
     The tables that a task holds are those of at most `block_bytes` of benchmark text, whose size is checked first. A larger
     benchmark is cut by hash into blocks; each is searched against all documents, and a document's findings are joined by
@@ -215,7 +216,11 @@ def _clean(batches: Iterator[pa.RecordBatch], shared: object) -> Iterator[pa.Rec
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """The rows of docs in whose text no benchmark window occurs, all columns unchanged; each block of the benchmark filters in turn, without a shuffle."""
+    """The rows of docs in whose text no benchmark window occurs, all columns unchanged; each block of the benchmark filters in turn, without a shuffle.
+
+    Null and empty texts stay, as does everything where the benchmark is empty. Repeated rows stay or go together. docs may have any
+    further columns, of any names. Very long texts are searched whole, in pieces of bounded size.
+    """
     for block in _blocks(benchmark, width, block_bytes):
         docs = docs.mapInArrow(partial(_clean, shared=block), docs.schema)
     return docs

@@ -276,7 +276,8 @@ def train(docs: DataFrame, labels: DataFrame, where: Column | None = None, max_d
     """A model from docs(doc_id, text) and labels(doc_id, label 0/1), on the whole texts of at most max_docs ids; `where` chooses label rows.
 
     Rows with a null id or label are no labels; of several labels of an id the larger counts, and of several texts each. Null and
-    empty texts are one empty line. Empty tables give a model that scores 0.5 or so. Other columns are ignored.
+    empty texts are one empty line. Empty tables give a model that scores 0.5 or so. Other columns are ignored. The sample is bounded in
+    documents, not in lines: the features of its whole texts are held on the driver, so labelled texts of millions of lines take memory and time there.
     """
     rows = labels.filter("doc_id is not null and label is not null")
     if where is not None:

@@ -93,7 +93,7 @@ def _latest(rows: DataFrame, key: list[str], by: str, value: str, found: str) ->
 
 
 def link_quotes(messages: DataFrame, min_chars: int = 1) -> DataFrame:
-    """One row for each row of messages(conv_id, turn, role, text), without quotes and in reply order; other columns are ignored.
+    """One row for each row of messages(conv_id, turn, role, text), without quotes and in reply order; other columns are ignored. Very long texts are parsed whole, in their row's task.
 
     Columns: conv_id, turn, role, body (the text without quoted lines, ends stripped), n_quotes (passages), n_linked (passages
     found), max_depth, parent_turn, depth (replies above it) and position (from 0 in the conversation: parents before replies,

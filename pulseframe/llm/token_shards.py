@@ -177,7 +177,8 @@ _INDEX = "slot long, shard int, doc_id long, chunk int, n_tokens int"
 def write_shards(ordered: DataFrame, out: str, length: int = LENGTH, per_shard: int = PER_SHARD) -> DataFrame:
     """Writes training_order's rows as shard-NNNNNN.bin files under the URI `out` of a store that all executors share, and returns their manifest.
 
-    A task writes under a temporary name and moves the whole shard, so a repeated task only replaces a shard by an equal one.
+    A task writes under a temporary name and moves the whole shard, so a repeated task only replaces a shard by an equal one. Nulls, empty
+    texts and repeats are sequences like others; without rows there are no files and the manifest is empty. Further columns are ignored.
     """
     path = new_path(ordered.sparkSession, "manifest")
     _index(ordered, out, length, path, packed=False)
@@ -229,6 +230,8 @@ def stored_order(docs: DataFrame, out: str, vocabulary: str = VOCABULARY, length
     """training_order's rows after all shards have been written under the URI `out`: offset, n_tokens and tokens as read back from the shard files.
 
     doc_id and chunk come from the index that is kept beside the shards. A record's tokens end at its first END, as no text has one.
+    Null and empty texts are records of END alone, repeated rows records of their own, and an empty table gives an empty result. Further
+    columns of docs are ignored. ids must be bigint.
     """
     spark = docs.sparkSession
     path = new_path(spark, "index")
