@@ -6,7 +6,6 @@ A session's points are one row a heartbeat, so the group in a task is a few numb
 from __future__ import annotations
 
 import math
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -124,4 +123,8 @@ def corrected(points: DataFrame, fs: float, cycles: int = _CYCLES) -> DataFrame:
 
     Values are rounded to 6 decimals before they are cut to whole samples; a point at 0 is null. Beats without both points keep what they have.
     """
-    return points.groupBy("session_id").applyInPandas(partial(_corrected, fs=fs, cycles=cycles), POINTS + "b_point long")
+
+    def one(own: pd.DataFrame) -> pd.DataFrame:
+        return _corrected(own, fs, cycles)
+
+    return points.groupBy("session_id").applyInPandas(one, POINTS + "b_point long")

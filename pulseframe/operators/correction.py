@@ -5,7 +5,6 @@ A session's points are one row a heartbeat, so the group in a task is a few numb
 
 from __future__ import annotations
 
-from functools import partial
 
 import numpy as np
 import pandas as pd
@@ -63,12 +62,17 @@ def stationarised(points: DataFrame, fs: float) -> DataFrame:
     median; corrected is b_point after one cycle: outliers on the line between their neighbours, plus the baseline, cut to whole
     samples (after rounding to 6 decimals, so that unchanged points stay), null where that is 0 or there is no earlier neighbour.
     """
-    return points.groupBy("session_id").applyInPandas(partial(_stationarised, fs=fs), POINTS + "stationary double, baseline double, outlier boolean, corrected double")
+
+    def one(own: pd.DataFrame) -> pd.DataFrame:
+        return _stationarised(own, fs)
+
+    return points.groupBy("session_id").applyInPandas(one, POINTS + "stationary double, baseline double, outlier boolean, corrected double")
 
 
 def _corrected(own: pd.DataFrame, fs: float, cycles: int) -> pd.DataFrame:
     own = own.sort_values("heartbeat_id")
     b, c = own["b_point"].to_numpy(float, na_value=np.nan), own["c_point"].to_numpy(float, na_value=np.nan)
+    raw = b.copy()
     for _ in range(cycles):
         both = np.flatnonzero(~np.isnan(b) & ~np.isnan(c))
         if not len(both):
@@ -76,10 +80,18 @@ def _corrected(own: pd.DataFrame, fs: float, cycles: int) -> pd.DataFrame:
         _, _, hit, fresh = _cycle(b[both], c[both], fs)
         if not hit.any():
             break
+        b = raw.copy()
         b[both] = fresh
     return own[["session_id", "heartbeat_id"]].assign(b_point=pd.array(b, dtype="Float64").astype("Int64"))
 
 
 def corrected(points: DataFrame, fs: float, cycles: int = 199) -> DataFrame:
-    """(beat, b_point) of points(beat, b_point, c_point), corrected in cycles until there is no outlier, at most `cycles`. Beats without both points keep what they have."""
-    return points.groupBy("session_id").applyInPandas(partial(_corrected, fs=fs, cycles=cycles), POINTS + "b_point long")
+    """(beat, b_point) of points(beat, b_point, c_point), corrected in cycles until there is no outlier, at most `cycles`.
+
+    Beats without both points keep what they have. Every cycle corrects the given points, so one that a cycle had no line for is back in the next.
+    """
+
+    def one(own: pd.DataFrame) -> pd.DataFrame:
+        return _corrected(own, fs, cycles)
+
+    return points.groupBy("session_id").applyInPandas(one, POINTS + "b_point long")
