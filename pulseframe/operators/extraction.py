@@ -6,6 +6,7 @@ deviation are two lookups, however long it is. Only state machines (pauses, trem
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -21,12 +22,20 @@ def prefix_moments(frames: DataFrame, values: Sequence[str], block: int = 4096)
     """(session_id, idx, and for each value its session's mean c, and up to idx the count n, the sum s and the sum of squares q of what it is off that mean).
 
     frames(session_id, idx, values) are numbered from 0 without gaps; nulls and NaN do not count. Blocks of positions are summed in their own
-    tasks; one row a block gives the offsets. Sums about the mean keep the digits that raw sums of squares would lose.
+    tasks; one row a block gives the offsets. Sums about the mean keep the digits that raw sums of squares would lose. Infinities are only
+    counted, in u and d, and left out of means and sums, which they would spoil for all positions behind them.
     """
     clean = {v: F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double")) for v in values}
-    means = frames.groupBy("session_id").agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(f"{v}_c") for v, c in clean.items()))
+    finite = {v: F.when(F.abs(c) < math.inf, c) for v, c in clean.items()}
+    means = frames.groupBy("session_id").agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(f"{v}_c") for v, c in finite.items()))
     off = frames.join(means, "session_id").select("session_id", "idx", F.floor(F.col("idx") / F.lit(block)).alias("block"), *(f"{v}_c" for v in values), *((clean[v] - F.col(f"{v}_c")).alias(v) for v in values))
-    parts = {f"{v}_{k}": f for v in values for k, f in (("n", F.when(F.col(v).isNotNull(), 1).otherwise(0)), ("s", F.coalesce(v, F.lit(0.0))), ("q", F.coalesce(F.col(v) * F.col(v), F.lit(0.0))))}
+
+    def of(v: str) -> dict[str, Column]:
+        x = F.when(F.abs(v) < math.inf, F.col(v))
+        one = lambda hit: F.when(hit, 1).otherwise(0)
+        return {"n": one(F.col(v).isNotNull()), "s": F.coalesce(x, F.lit(0.0)), "q": F.coalesce(x * x, F.lit(0.0)), "u": one(F.col(v) == math.inf), "d": one(F.col(v) == -math.inf)}
+
+    parts = {f"{v}_{k}": f for v in values for k, f in of(v).items()}
     totals = off.groupBy("session_id", "block").agg(*(F.sum(f).alias(n) for n, f in parts.items()))
     ahead = Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = totals.select("session_id", "block", *(F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"{n}0") for n in parts))
@@ -38,13 +47,14 @@ def prefix_moments(frames: DataFrame, values: Sequence[str], block: int = 4096)
 def segment_moments(frames: DataFrame, segments: DataFrame, values: Sequence[str], block: int = 4096) -> DataFrame:
     """(segment_id, session_id, start, stop, and for each value _count, _mean, _std): of frames start..stop-1 of segments(segment_id, session_id, start, stop).
 
-    Bounds beyond the session are cut to it. A segment without values has count 0 and nulls; the deviation of one value is null.
+    Bounds beyond the session are cut to it. A segment without values has count 0 and nulls; the deviation of one value is null. Infinities
+    make the mean of the segments that they are in infinite, NaN if there are both, and the deviation NaN.
     """
     table = prefix_moments(frames, values, block)
     sizes = frames.groupBy("session_id").agg((F.max("idx") + 1).alias("size"))
     cut = segments.select("segment_id", "session_id", "start", "stop").join(sizes, "session_id", "left")
     cut = cut.withColumn("a", F.least(F.greatest("start", F.lit(0)), "size") - 1).withColumn("b", F.least(F.greatest("stop", F.lit(0)), "size") - 1)
-    names = [f"{v}_{k}" for v in values for k in "nsq"]
+    names = [f"{v}_{k}" for v in values for k in "nsqud"]
 
     def at(end: str) -> DataFrame:
         return table.select("session_id", F.col("idx").alias(end), *(F.col(n).alias(f"{end}_{n}") for n in names), *(F.col(f"{v}_c").alias(f"{end}_{v}_c") for v in values))
@@ -52,9 +62,11 @@ def segment_moments(frames: DataFrame, segments: DataFrame, values: Sequence[str
     both = cut.join(at("a"), ["session_id", "a"], "left").join(at("b"), ["session_id", "b"], "left")
     out = ["segment_id", "session_id", "start", "stop"]
     for v in values:
-        n, s, q = ((F.when(F.col("b") > F.col("a"), F.coalesce(f"b_{v}_{k}", F.lit(0)) - F.coalesce(f"a_{v}_{k}", F.lit(0))).otherwise(0)) for k in "nsq")
-        spread = F.when(n > 1, F.sqrt(F.greatest(F.lit(0.0), q - s * s / n) / (n - 1)))
-        out += [n.cast("long").alias(f"{v}_count"), (F.col(f"b_{v}_c") + F.try_divide(s, n)).alias(f"{v}_mean"), spread.alias(f"{v}_std")]
+        n, s, q, up, down = ((F.when(F.col("b") > F.col("a"), F.coalesce(f"b_{v}_{k}", F.lit(0)) - F.coalesce(f"a_{v}_{k}", F.lit(0))).otherwise(0)) for k in "nsqud")
+        infinite = F.when(up > 0, F.lit(math.inf)).otherwise(0.0) + F.when(down > 0, F.lit(-math.inf)).otherwise(0.0)
+        mean = F.when(up + down > 0, infinite).otherwise(F.col(f"b_{v}_c") + F.try_divide(s, n))
+        spread = F.when(n > 1, F.when(up + down > 0, F.lit(math.nan)).otherwise(F.sqrt(F.greatest(F.lit(0.0), q - s * s / n) / (n - 1))))
+        out += [n.cast("long").alias(f"{v}_count"), mean.alias(f"{v}_mean"), spread.alias(f"{v}_std")]
     return both.select(*out)
 
 

@@ -22,6 +22,11 @@ def norm(*axes: str) -> Column:
     return F.sqrt(sum((F.col(a) * F.col(a) for a in axes[1:]), F.col(axes[0]) * F.col(axes[0])))
 
 
+def logarithm(value: Column) -> Column:
+    """The natural logarithm, minus infinity for 0; null below."""
+    return F.when(value == 0, F.lit(-math.inf)).otherwise(F.log(value))
+
+
 def gradient(value: str, w: WindowSpec | None = None) -> Column:
     """Central differences, one-sided at the ends; null for a single sample."""
     w = w or ordered()
