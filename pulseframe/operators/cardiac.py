@@ -138,11 +138,13 @@ def ao_points(beats: DataFrame, samples: DataFrame, fs: float, window_ms: float
     """(beat, ivc_point, ao_point) in the window after R, cut at the beat's end.
 
     IVC is the first local minimum below the window's mean by more than half the depth of its lowest value; AO the first local
-    maximum after it that rises from it by more than 0.7 of its distance from the mean.
+    maximum after it that rises from it by more than 0.7 of its distance from the mean. The mean adds up in the order of the samples,
+    so that values on a threshold fall on the same side in every run.
     """
     n = int(window_ms / 1000 * fs)
     rows = window_rows(beats, samples.select("session_id", "idx", "value"), F.col("r_peak_sample"), F.least(F.col("r_peak_sample") + n, F.col("end_sample")) - 1)
-    facts = rows.groupBy(*BEAT).agg(F.avg("value").alias("mean"), F.min("value").alias("low"))
+    held = rows.filter("value is not null").groupBy(*BEAT).agg(F.sort_array(F.collect_list(F.struct("idx", F.col("value").cast("double").alias("value")))).alias("own"), F.min("value").alias("low"))
+    facts = held.select(*BEAT, "low", (F.aggregate("own", F.lit(0.0), lambda s, x: s + x["value"]) / F.size("own")).alias("mean"))
     lows = local_maxima(rows.withColumn("down", -F.col("value")), BEAT, "down").join(facts, list(BEAT))
     ivc = lows.filter(-F.col("value") < F.col("mean") - 0.5 * F.abs(F.col("low") - F.col("mean"))).groupBy(*BEAT).agg(F.min(F.struct("idx", (-F.col("value")).alias("v"))).alias("ivc"), F.first("mean").alias("mean"))
     highs = local_maxima(rows, BEAT).join(ivc, list(BEAT)).filter((F.col("idx") > F.col("ivc.idx")) & (F.col("value") > F.col("ivc.v") + 0.7 * F.abs(F.col("ivc.v") - F.col("mean"))))

@@ -6,8 +6,9 @@ import math
 from pathlib import Path
 
 import duckdb
-from pulseframe.operators import extraction
+from pulseframe.operators import cardiac, extraction
 from pulseframe.plans.registry import ORACLE_SQL, QUERIES
+from pyspark.sql import functions as F
 
 
 def cells(v):
@@ -45,3 +46,10 @@ def test_infinite_values_of_segments(spark):
     segments = spark.createDataFrame([(k, 0, *span) for k, span in spans.items()], "segment_id long, session_id long, start long, stop long")
     found = {r.segment_id: (r.value_count, cells(r.value_mean), r.value_std and cells(round(r.value_std, 9))) for r in extraction.segment_moments(frames, segments, ["value"], block=3).collect()}
     assert found == {1: (1, 1.0, None), 2: (2, math.inf, None), 3: (2, 3.0, round(math.sqrt(2), 9)), 4: (5, None, None), 5: (2, -math.inf, None), 6: (2, 8.5, round(math.sqrt(0.5), 9)), 7: (1, math.inf, None)}
+
+
+def test_a_mean_at_a_threshold_adds_up_in_order(spark):
+    values = [4.62, 26.0, 120.38, 145.1, 31.06, 101.14, 23.78, 7.92]  # 31.06 is half way between the mean and the lowest; summed backwards it is not below
+    samples = spark.createDataFrame([(s, i, v) for s in range(40) for i, v in enumerate(values)], "session_id long, idx long, value double").repartition(7).sortWithinPartitions("session_id", (-F.col("idx")))
+    beats = spark.createDataFrame([(s, 0, 0, 30, 0) for s in range(40)], "session_id long, heartbeat_id long, start_sample long, end_sample long, r_peak_sample long")
+    assert {(r.ivc_point, r.ao_point) for r in cardiac.ao_points(beats, samples, 40.0).collect()} == {(4, 5)}
