@@ -184,14 +184,16 @@ def resampled(x: np.ndarray, n: int) -> np.ndarray:
     return np.fft.irfft(out, n) * (n / len(x))
 
 
-def spaced_peaks(x: np.ndarray, height: float, distance: float) -> np.ndarray:
-    """Positions of strict local maxima (a plateau's middle) of at least `height`, the highest first, without those nearer than `distance` samples to a higher one; of equal ones the later goes first."""
+def spaced_peaks(x: np.ndarray, height: float, distance: float, plateaus: bool = True) -> np.ndarray:
+    """Positions of strict local maxima (a plateau's middle, or none) of at least `height`, the highest first, without those nearer than `distance` samples to a higher one; of equal ones the later goes first."""
     change = np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) if len(x) else np.zeros(0, int)
     ends = np.append(change[1:], len(x)) - 1
     v = x[change] if len(x) else x
     top = np.zeros(len(change), bool)
     if len(change) > 2:
         top[1:-1] = (v[1:-1] > v[:-2]) & (v[1:-1] > v[2:])
+    if not plateaus:
+        top &= change == ends
     at = ((change + ends) // 2)[top]
     at = at[x[at] >= height]
     keep, gap = np.ones(len(at), bool), math.ceil(distance)
@@ -449,6 +451,6 @@ def each_session_at(df: DataFrame, run: Callable[[np.ndarray], np.ndarray]) -> D
     return df.select("session_id", "idx", "value").groupBy("session_id").applyInPandas(one, "session_id long, idx long")
 
 
-def peaks(df: DataFrame, height: float, distance: float) -> DataFrame:
+def peaks(df: DataFrame, height: float, distance: float, plateaus: bool = True) -> DataFrame:
     """(session_id, idx) of the peaks by height and distance."""
-    return each_session_at(df, partial(spaced_peaks, height=height, distance=distance))
+    return each_session_at(df, partial(spaced_peaks, height=height, distance=distance, plateaus=plateaus))

@@ -6,7 +6,7 @@ import math
 from pathlib import Path
 
 import duckdb
-from pulseframe.operators import cardiac, extraction
+from pulseframe.operators import cardiac, extraction, filters
 from pulseframe.plans.registry import ORACLE_SQL, QUERIES
 from pyspark.sql import functions as F
 
@@ -53,3 +53,10 @@ def test_a_mean_at_a_threshold_adds_up_in_order(spark):
     samples = spark.createDataFrame([(s, i, v) for s in range(40) for i, v in enumerate(values)], "session_id long, idx long, value double").repartition(7).sortWithinPartitions("session_id", (-F.col("idx")))
     beats = spark.createDataFrame([(s, 0, 0, 30, 0) for s in range(40)], "session_id long, heartbeat_id long, start_sample long, end_sample long, r_peak_sample long")
     assert {(r.ivc_point, r.ao_point) for r in cardiac.ao_points(beats, samples, 40.0).collect()} == {(4, 5)}
+
+
+def test_plateaus_are_no_spaced_peaks(spark, tmp_path):
+    rows = agrees(spark, tmp_path, "s19_spaced_peaks", events=events("[1, 30, 2, 2, 2, 2, 2, 40, 40, 3, 3, 3, 3, 3, 35, 1, 50, 50, 50, 1]"))
+    assert sorted(r[1] for r in rows) == [1, 14]
+    both = filters.peaks(spark.createDataFrame([(0, i, v) for i, v in enumerate([1.0, 30.0, 30.0, 30.0, 2.0])], "session_id long, idx long, value double"), 20.0, 4.5)
+    assert [r.idx for r in both.collect()] == [2]
