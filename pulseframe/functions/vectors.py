@@ -57,8 +57,10 @@ def some_orthogonal(a: Column) -> Column:
     return normalized(F.when(parallel(a, vector(1, 0, 0)), cross(a, vector(0, 1, 0))).otherwise(cross(a, vector(1, 0, 0))))
 
 
-def orthogonal(a: Column, b: Column) -> Column:
-    """A unit vector orthogonal to both."""
+def orthogonal(a: Column, b: Column, exact: bool = False) -> Column:
+    """A unit vector orthogonal to both; of nearly parallel ones one that is orthogonal to a, or, where exact, still their own, null where their product is zero."""
+    if exact:
+        return normalized(cross(a, b))
     return normalized(F.when(~parallel(a, b), cross(a, b)).when(parallel(a, vector(1, 0, 0)), cross(a, vector(0, 1, 0))).otherwise(cross(a, vector(1, 0, 0))))
 
 

@@ -60,3 +60,9 @@ def test_plateaus_are_no_spaced_peaks(spark, tmp_path):
     assert sorted(r[1] for r in rows) == [1, 14]
     both = filters.peaks(spark.createDataFrame([(0, i, v) for i, v in enumerate([1.0, 30.0, 30.0, 30.0, 2.0])], "session_id long, idx long, value double"), 20.0, 4.5)
     assert [r.idx for r in both.collect()] == [2]
+
+
+def test_nearly_parallel_vectors_keep_their_own_orthogonal(spark, tmp_path):
+    vectors = "SELECT i AS vec_id, [1, 2, 3, 1 + e, 2, 3 - e]::FLOAT[] AS embedding FROM (SELECT unnest(range(4)) AS i, unnest([0, 0.001, -0.002, 0.5]) AS e)"
+    rows = agrees(spark, tmp_path, "v5_orthogonal", embeddings=vectors)
+    assert [r[1] is None for r in sorted(rows)] == [True, False, False, False]
