@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from pulseframe.operators import features as X
@@ -118,7 +118,13 @@ def _centred(df: DataFrame, keys: Sequence[str], raws: Sequence[str]) -> DataFra
     return df.join(names, reduce(lambda x, y: x & y, (df[k].eqNullSafe(names[f"_k_{k}"]) for k in keys)), "left").drop(*(f"_k_{k}" for k in keys))
 
 
-def _columns(df: DataFrame, group: str, weight: str | None) -> list[Column]:
+def _summed(df: DataFrame, keys: Sequence[str], raws: Sequence[str], time: str) -> DataFrame:
+    """df with _s_<raw>, the sum of each raw column over the key up to the row in order of time."""
+    upto = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
+    return df.withColumns({f"_s_{raw}": F.sum(F.when(~F.isnan(F.col(raw).cast("double")), F.col(raw).cast("double"))).over(upto) for raw in raws})
+
+
+def _columns(df: DataFrame, group: str, weight: str | None, time: str) -> list[Column]:
     """The aggregates of the group's catalog entries that df has the raw column for, but for those of event times."""
     out = []
     for g, _, raws, functions in blocks():
@@ -127,6 +133,8 @@ def _columns(df: DataFrame, group: str, weight: str | None) -> list[Column]:
                 continue
             x = F.when(~F.isnan(F.col(raw).cast("double")), F.col(raw).cast("double"))
             made = {n: f(x) for n, f in X.FUNCTIONS.items()}
+            if f"_s_{raw}" in df.columns:
+                made["mean"] = F.try_divide(F.max_by(f"_s_{raw}", time), F.count(x))
             if f"_c_{raw}" in df.columns:
                 made["wmean"], made["wstd"] = _weighted(x, F.col(weight), F.col(f"_c_{raw}"))
             out += [made[f].cast("double").alias(f"{raw}_{f}") for f in functions if f in made]
@@ -138,14 +146,18 @@ def derived(tables: Mapping[str, DataFrame], keys: Sequence[str], weights: Mappi
 
     tables maps groups to their raw tables. A group, or a raw column, that is missing gives null data, as keys without
     rows in a group do. weights names the column of segment lengths of acoustic_seg and audio_seg; pauses are summed over audio_seg.
-    Each group is one aggregation; weighted deviations are taken about the plain means of a first one.
+    Each group is one aggregation; weighted deviations are taken about the plain means of a first one. Means of tables with the column
+    time add up in its order, so that their last digit is the same in every run.
     """
     weights, found = weights or {}, []
     for group, df in tables.items():
         weighed = [raw for g, _, raws, functions in blocks() if g == group and "wmean" in functions for raw in raws if raw in df.columns]
         if group in weights and weighed:
             df = _centred(df, keys, weighed)
-        columns = _columns(df, group, weights.get(group))
+        means = [raw for g, _, raws, functions in blocks() if g == group and "mean" in functions for raw in raws if raw in df.columns]
+        if time in df.columns and means:
+            df = _summed(df, keys, means, time)
+        columns = _columns(df, group, weights.get(group), time)
         if group == "audio_seg" and {"aco_pausetime", "aco_totaltime", "aco_numpauses"} <= set(df.columns):
             columns += [F.sum(c).cast("double").alias(f"{c}_mean") for c in ("aco_pausetime", "aco_totaltime", "aco_numpauses")]
             columns.append(F.try_divide(F.sum("aco_pausetime"), F.sum("aco_totaltime")).cast("double").alias("aco_pausefrac_mean"))

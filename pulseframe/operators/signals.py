@@ -27,6 +27,14 @@ def logarithm(value: Column) -> Column:
     return F.when(value == 0, F.lit(-math.inf)).otherwise(F.log(value))
 
 
+def rounded(value: str, digits: int) -> Column:
+    """The value times a power of ten, rounded half away from zero, over that power: DuckDB's rounding, where Spark's rounds the shortest decimal notation."""
+    scale = F.lit(10.0**digits)
+    up = F.abs(F.col(value) * scale)
+    whole = F.rint(up)
+    return F.when(up < 2.0**52, F.signum(value) * (whole + F.when(up - whole == 0.5, 1.0).otherwise(0.0)) / scale).otherwise(F.col(value))
+
+
 def gradient(value: str, w: WindowSpec | None = None) -> Column:
     """Central differences, one-sided at the ends; null for a single sample."""
     w = w or ordered()

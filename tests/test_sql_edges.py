@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 import math
+import operator
 from pathlib import Path
 
 import duckdb
-from pulseframe.operators import cardiac, extraction, filters
+from pulseframe.operators import cardiac, catalog, extraction, filters
+from pulseframe.operators.signals import rounded
 from pulseframe.plans.registry import ORACLE_SQL, QUERIES
 from pyspark.sql import functions as F
 
@@ -66,3 +69,22 @@ def test_nearly_parallel_vectors_keep_their_own_orthogonal(spark, tmp_path):
     vectors = "SELECT i AS vec_id, [1, 2, 3, 1 + e, 2, 3 - e]::FLOAT[] AS embedding FROM (SELECT unnest(range(4)) AS i, unnest([0, 0.001, -0.002, 0.5]) AS e)"
     rows = agrees(spark, tmp_path, "v5_orthogonal", embeddings=vectors)
     assert [r[1] is None for r in sorted(rows)] == [True, False, False, False]
+
+
+def test_the_catalog_of_a_value_of_0(spark, tmp_path):
+    items = "SELECT (i % 3)::BIGINT AS l_suppkey, i / 8 AS l_tax, 1.0 + i AS l_quantity, i / 16 AS l_discount, (i % 4)::INT AS l_linenumber, TIMESTAMP '2024-01-01' AS l_shipdate, i AS l_orderkey, 1.5 AS l_extendedprice FROM range(12) t(i)"
+    rows = agrees(spark, tmp_path, "g9_derived_catalog", events=events("[1.5, 2.5, 0, 4, 5.25]"), lineitem=items)
+    assert -math.inf in [r[-1] for r in rows]
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    values = [40.537375, 46.171875, 52.048625, 55.981875, -55.981875, 0.5e-5, -0.5e-5, 0.0, 1e10, math.inf, -math.inf, None, 0.49999999999999994e-5]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], "i long, v double").select("i", rounded("v", 5).alias("v"))
+    assert {r.i: r.v for r in df.collect()} == {i: v and duckdb.execute("SELECT round(?::DOUBLE, 5)", [v]).fetchone()[0] for i, v in enumerate(values)}
+
+
+def test_means_add_up_in_order_of_time(spark):
+    values = [0.1, 1e16, 0.2, -1e16, 0.3, 7.7]
+    rows = spark.createDataFrame([(0, i, v) for i, v in enumerate(values)], "session_id long, idx long, fac_LMK00disp double").orderBy(-F.col("idx"))
+    found = catalog.derived({"facial": rows}, ["session_id"]).filter("feature = 'LMK00disp' and metric = 'mean'").collect()
+    assert [r.data for r in found] == [functools.reduce(operator.add, values) / 6]
