@@ -5,8 +5,9 @@ a fold over it merges, step by step, the pair of neighbours whose bytes together
 The ranks are a literal of the plan: an array of small maps, addressed by the CRC of the bytes, since one large map would be
 searched from its start.
 
-The commonest distinct words of all texts are folded once, into a table of bounded size; of its other words a text folds each distinct
-one itself. Arrow batches put the words' tokens in the texts' order. So no word and no text moves, and the table changes only the work.
+The commonest distinct words of all texts are folded once, into a table of bounded size. Arrow batches put the words' tokens in the
+texts' order and merge each other distinct word by a heap, which costs a sixth of the fold. So no word and no text moves, and the table
+changes only the work.
 """
 
 from __future__ import annotations
@@ -52,9 +53,9 @@ PATTERN = rf"'(?:s|t|re|ve|m|ll|d)| ?[a-zA-Z{_L}]++| ?[0-9{_N}]++| ?[^{_S}{_L}{_
 _NO_RANK = (1 << 31) - 1
 #: At most so many words are in the table of the plan, each of at most so many characters.
 TABLE_WORDS, TABLE_CHARS = 1 << 16, 32
-#: A longer word (in bytes) is merged by a heap, as a fold's work grows with the square of it. Both ways give the same tokens.
-FOLDED_BYTES = 2048
-_RANK_BUCKETS, _WORD_BUCKETS = 1 << 14, 1 << 13
+#: A task remembers the tokens of up to so many other words, each of at most TABLE_CHARS characters.
+_REMEMBERED = 1 << 16
+_RANK_BUCKETS = 1 << 14
 
 
 @lru_cache(maxsize=2)
@@ -169,11 +170,20 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _assembled(batches: Iterator[pa.RecordBatch], known: Broadcast, vocabulary: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
     """The columns, ids and packed: each text's words, in order, replaced by their tokens. Every distinct word of a run of rows is looked up once."""
-    common = known.value
+    common, table = known.value, ranks(vocabulary)
+    recent: dict[str, list[int]] = {}
+
+    def merged(word: str) -> list[int]:
+        out = _heap_merged(word.encode(), table)
+        if len(word) <= TABLE_CHARS:
+            if len(recent) >= _REMEMBERED:
+                recent.clear()
+            recent[word] = out
+        return out
+
     for part in (p for batch in batches for p in _parts(batch)):
         coded = part.column("words").flatten().dictionary_encode()
-        found = dict(zip(part.column("rare").flatten().to_pylist(), part.column("rare_ids").flatten().to_pylist(), strict=True))
-        tokens = [common.get(w) or found.get(w) or _heap_merged(w.encode(), ranks(vocabulary)) for w in coded.dictionary.to_pylist()]
+        tokens = [common.get(w) or recent.get(w) or merged(w) for w in coded.dictionary.to_pylist()]
         sizes = np.array([len(t) for t in tokens], np.int64)
         starts = np.cumsum(sizes) - sizes
         flat = np.array([i for t in tokens for i in t], np.int32)
@@ -224,19 +234,13 @@ def encode(docs: DataFrame, vocabulary: str = VOCABULARY, most: int = TABLE_WORD
     """docs, or its columns `keep`, with `ids`, the token ids of text as an array, and `packed`, the same as little-endian unsigned 32-bit integers: every match
     of the pattern encoded by itself, without special tokens.
 
-    Null and empty texts have no ids. Repeated rows are encoded each. Columns `words`, `rare` and `rare_ids` must not be in docs; `ids` and
-    `packed` are replaced by the last columns. Texts are encoded whole, one in a task; words of more than FOLDED_BYTES bytes are merged by a heap.
-    An empty table gives an empty result.
+    Null and empty texts have no ids. Repeated rows are encoded each. A column `words` must not be in docs; `ids` and `packed` are replaced
+    by the last columns. Texts are encoded whole, one in a task. An empty table gives an empty result.
     """
     common = word_table(docs.select("text"), vocabulary, most)
-    known, by_rank = _bucketed(dict.fromkeys(common, 1), _WORD_BUCKETS, "int"), _rank_literal(vocabulary)
-    to_fold = lambda t: F.filter(F.array_distinct("words"), lambda w: _found(t, w, _WORD_BUCKETS).isNull() & (F.octet_length(w) <= FOLDED_BYTES))
-    folded = lambda t: F.transform("rare", lambda w: _let(_bytes_of(w), lambda b: _folded(b, t)))
-    parts = split(docs).withColumn("rare", _let(known, to_fold)).withColumn("rare_ids", _let(by_rank, folded))
     columns = [c for c in (docs.columns if keep is None else keep) if c not in ("ids", "packed")]
     schema = StructType([*(docs.schema[c] for c in columns), StructField("ids", ArrayType(IntegerType())), StructField("packed", BinaryType())])
-    parts = parts.select(*columns, "words", "rare", "rare_ids")
-    return parts.mapInArrow(partial(_assembled, known=docs.sparkSession.sparkContext.broadcast(common), vocabulary=vocabulary, columns=columns), schema)
+    return split(docs).select(*columns, "words").mapInArrow(partial(_assembled, known=docs.sparkSession.sparkContext.broadcast(common), vocabulary=vocabulary, columns=columns), schema)
 
 
 def decode(ids: Column, vocabulary: str = VOCABULARY) -> Column:
