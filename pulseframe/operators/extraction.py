@@ -103,14 +103,18 @@ def segmented(frames: DataFrame, segments: DataFrame, frame_s: float, settings:
     """Pauses, voice prevalence and vocal tremor of every segment(segment_id, session_id, start, stop in frames) of frames(session_id, idx, speech, pitch, amplitude).
 
     Three tables (segment_id, start, stop, length in seconds, values, error): errors are data. Voice prevalence comes from prefix
-    moments; pauses and tremor restart their state in each segment.
+    moments; pauses and tremor restart their state in each segment. Segments with the same frames are measured once, under the least
+    of their ids, so that the work grows with the different ones.
     """
     settings = settings or Settings(step=frame_s)
-    who = segments.select("segment_id", "start", "stop", ((F.col("stop") - F.col("start")) * frame_s).alias("length"))
-    lasting = who.select(F.col("segment_id").alias("session_id"), F.col("length").alias("duration"))
+    alike = Window.partitionBy("session_id", "start", "stop")
+    own = segments.select("segment_id", "session_id", "start", "stop").withColumn("id", F.min("segment_id").over(alike))
+    who = own.select("segment_id", "start", "stop", ((F.col("stop") - F.col("start")) * frame_s).alias("length"), "id")
+    segments = own.filter(F.col("segment_id") == F.col("id")).drop("id")
+    lasting = segments.select(F.col("segment_id").alias("session_id"), ((F.col("stop") - F.col("start")) * frame_s).alias("duration"))
 
     def table(results: DataFrame, least: float) -> DataFrame:
-        return who.join(speech.guarded(lasting, results, least).withColumnRenamed("session_id", "segment_id"), "segment_id")
+        return who.join(speech.guarded(lasting, results, least).withColumnRenamed("session_id", "id"), "id").drop("id")
 
     own = sliced(frames, segments, "speech", "pitch", "amplitude")
     pauses = speech.silence(own.select("session_id", "idx", "speech"), frame_s)
