@@ -42,7 +42,9 @@ def burg(x: np.ndarray, order: int) -> tuple[list[np.ndarray], np.ndarray]:
         below = float(f @ f + b @ b)
         k = 2 * float(f @ b) / below if below > 0 else 0.0
         last = predictors[-1]
-        predictors.append(np.append(last - k * last[::-1], k))
+        longer = np.empty(len(last) + 1)
+        longer[:-1], longer[-1] = last - k * last[::-1], k
+        predictors.append(longer)
         left.append(left[-1] * max(1 - k * k, 1e-12))
         ahead, behind = f - k * b, b - k * f
     return predictors, np.array(left)
@@ -71,7 +73,9 @@ class Model:
         for t in range(1, n):
             out[t] -= self.predictors[t] @ v[:t][::-1]
         if 0 < self.order < len(v):
-            out[n:] -= np.lib.stride_tricks.sliding_window_view(v, n)[:-1] @ self.predictors[n][::-1]
+            own = np.ascontiguousarray(v, float)
+            windows = np.ndarray((len(v) - n, n), float, own, 0, own.strides * 2)  # sliding_window_view, whose own checks cost more than the product
+            out[n:] -= windows @ self.predictors[n][::-1]
         return out
 
     def predict(self, t: int) -> float:
@@ -101,7 +105,11 @@ def restored(stationary: np.ndarray, hit: np.ndarray) -> np.ndarray:
 
 def _corrected(own: pd.DataFrame, fs: float, cycles: int) -> pd.DataFrame:
     own = own.sort_values("heartbeat_id")
-    b, c = own["b_point"].to_numpy(float, na_value=np.nan), own["c_point"].to_numpy(float, na_value=np.nan)
+    b = _rounds(own["b_point"].to_numpy(float, na_value=np.nan), own["c_point"].to_numpy(float, na_value=np.nan), fs, cycles)
+    return own[["session_id", "heartbeat_id"]].assign(b_point=pd.array(b, dtype="Float64").astype("Int64"))
+
+
+def _rounds(b: np.ndarray, c: np.ndarray, fs: float, cycles: int) -> np.ndarray:
     raw = b.copy()
     for _ in range(cycles):
         both = np.flatnonzero(~np.isnan(b) & ~np.isnan(c))
@@ -115,7 +123,7 @@ def _corrected(own: pd.DataFrame, fs: float, cycles: int) -> pd.DataFrame:
         fresh = np.trunc(np.round(c[both] - (restored(distance - base, hit) + base) * fs, 6))
         b = raw.copy()
         b[both] = np.where(fresh == 0, np.nan, fresh)
-    return own[["session_id", "heartbeat_id"]].assign(b_point=pd.array(b, dtype="Float64").astype("Int64"))
+    return b
 
 
 def corrected(points: DataFrame, fs: float, cycles: int = _CYCLES) -> DataFrame:

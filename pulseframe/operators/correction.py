@@ -5,6 +5,7 @@ A session's points are one row a heartbeat, so the group in a task is a few numb
 
 from __future__ import annotations
 
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -17,10 +18,15 @@ _BASE = Design("butterworth", order=4, high=0.1, fs=1.0)
 POINTS = "session_id long, heartbeat_id long, "
 
 
+@lru_cache(maxsize=1)
+def _base_sections() -> np.ndarray:
+    return butterworth(_BASE)
+
+
 def baseline(distance: np.ndarray) -> np.ndarray:
     """The low-pass part of a series of distances."""
     full = distance if len(distance) > _SHORT else np.append(distance, np.repeat(distance[-1:], _SHORT + 1 - len(distance)))
-    return zero_phase(full, butterworth(_BASE))[: len(distance)]
+    return zero_phase(full, _base_sections())[: len(distance)]
 
 
 def _outlying(stationary: np.ndarray) -> np.ndarray:
