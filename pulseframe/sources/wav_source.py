@@ -12,7 +12,8 @@ from __future__ import annotations
 import struct
 import uuid
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
+from urllib.parse import quote, unquote
 
 import numpy as np
 import pyarrow as pa
@@ -112,9 +113,9 @@ def _frames(source: pa.NativeFile, path: str, first_byte: int, after_byte: int)
 
 @dataclass
 class Written(WriterCommitMessage):
-    """The temporary files of a task and the names that they get."""
+    """The hidden folder of a task, whose files are named as the segments; of the same size for any number of files."""
 
-    files: list[tuple[str, str]] = field(default_factory=list)
+    folder: str
 
 
 class WavWriter(DataSourceArrowWriter):
@@ -125,8 +126,9 @@ class WavWriter(DataSourceArrowWriter):
 
     def write(self, iterator: Iterator[pa.RecordBatch]) -> Written:
         store, base = stores.FileSystem.from_uri(self.path)
-        store.create_dir(base, recursive=True)
-        done, current, sink = Written(), None, None
+        folder = f"{base}/.{uuid.uuid4().hex}"
+        store.create_dir(folder, recursive=True)
+        current, sink = None, None
         try:
             for batch in iterator:
                 names, values = batch.column("name"), batch.column("value").cast(pa.int16())
@@ -134,36 +136,34 @@ class WavWriter(DataSourceArrowWriter):
                     if name != current:
                         if sink is not None:
                             sink.close()
-                        current, hidden = name, f"{base}/.{uuid.uuid4().hex}"
-                        done.files.append((hidden, f"{base}/{name}.wav"))
-                        sink = store.open_output_stream(hidden)
+                        current = name
+                        sink = store.open_output_stream(f"{folder}/{quote(name, safe='')}")
                         sink.write(header(batch.column("n")[first].as_py(), self.fs))
                     sink.write(np.asarray(values.slice(first, n)).astype("<i2").tobytes())
         except BaseException:
-            for hidden, _ in done.files:
-                _dropped(store, hidden)
+            _dropped(store, folder)
             raise
         finally:
             if sink is not None:
                 sink.close()
-        return done
+        return Written(folder)
 
     def commit(self, messages: list[Written | None]) -> None:
-        store, _ = stores.FileSystem.from_uri(self.path)
-        for message in messages:
-            for hidden, name in message.files if message else ():
-                store.move(hidden, name)
+        store, base = stores.FileSystem.from_uri(self.path)
+        for message in filter(None, messages):
+            for found in store.get_file_info(stores.FileSelector(message.folder)):
+                store.move(found.path, f"{base}/{unquote(found.base_name)}.wav")
+            _dropped(store, message.folder)
 
     def abort(self, messages: list[Written | None]) -> None:
         store, _ = stores.FileSystem.from_uri(self.path)
-        for message in messages:
-            for hidden, _ in message.files if message else ():
-                _dropped(store, hidden)
+        for message in filter(None, messages):
+            _dropped(store, message.folder)
 
 
 def _dropped(store: stores.FileSystem, path: str) -> None:
-    if store.get_file_info(path).type == stores.FileType.File:
-        store.delete_file(path)
+    if store.get_file_info(path).type == stores.FileType.Directory:
+        store.delete_dir(path)
 
 
 def _runs(names: pa.Array) -> Iterator[tuple[str, int, int]]:
