@@ -6,8 +6,8 @@ The ranks are a literal of the plan: an array of small maps, addressed by the CR
 searched from its start.
 
 The commonest distinct words of all texts are folded once, into a table of bounded size. Arrow batches put the words' tokens in the
-texts' order and merge each other distinct word by a heap, which costs a sixth of the fold. So no word and no text moves, and the table
-changes only the work.
+texts' order and merge the other distinct words: those of the same number of bytes together, one merge of each at a time, and long ones by
+a heap. So no word and no text moves, and the table changes only the work.
 """
 
 from __future__ import annotations
@@ -154,6 +154,83 @@ def _heap_merged(word: bytes, table: dict[bytes, int]) -> list[int]:
     return out
 
 
+#: Words of up to so many bytes are merged together, in matrices of up to so many parts; longer ones go by the heap.
+TOGETHER_BYTES, _MATRIX = 64, 1 << 19
+
+
+@lru_cache(maxsize=2)
+def _pair_ranks(vocabulary: str) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
+    """(rank of each byte, rank of each pair of bytes, sorted keys of pairs of tokens, their ranks): a key is first << 32 | second. None if a byte is no token.
+
+    As every byte is a token, the parts of a word always are, and a pair of parts has a rank if and only if it is listed here.
+    """
+    table = ranks(vocabulary)
+    single = [table.get(bytes([b])) for b in range(256)]
+    if None in single:
+        return None
+    found = [(x << 32 | y, rank) for token, rank in table.items() for k in range(1, len(token)) if (x := table.get(token[:k])) is not None and (y := table.get(token[k:])) is not None]
+    keys, values = np.array(sorted(found), np.int64).reshape(-1, 2).T
+    first = np.array([[table.get(bytes([a, b]), _NO_RANK) for b in range(256)] for a in range(256)], np.int32)
+    return np.array(single, np.int32), first, np.append(keys, -1), np.append(values, _NO_RANK).astype(np.int32)
+
+
+def _merged_together(words: list[bytes], vocabulary: str) -> list[list[int]]:
+    """The same merges of words of the same length: in each step every word that still has a pair with a rank loses one part, so the rows of the matrix stay equally long."""
+    byte, first, keys, values = _pair_ranks(vocabulary)
+    out: list[list[int]] = [[] for _ in words]
+    data = np.frombuffer(b"".join(words), np.uint8).reshape(len(words), -1)
+    parts, at = byte[data], np.arange(len(words))
+    pairs = first[data[:, :-1], data[:, 1:]]
+    while len(at):
+        low = pairs.argmin(axis=1) if pairs.shape[1] else np.zeros(len(at), np.int64)
+        rank = pairs[np.arange(len(at)), low] if pairs.shape[1] else np.full(len(at), _NO_RANK)
+        done = rank == _NO_RANK
+        if done.any():
+            for i, ids in zip(at[done].tolist(), parts[done].tolist(), strict=True):
+                out[i] = ids
+            at, parts, pairs, low, rank = (x[~done] for x in (at, parts, pairs, low, rank))
+        n, width = parts.shape
+        if not n:
+            break
+        row = np.arange(n)
+        parts[row, low] = rank
+        keep = np.ones((n, width), bool)
+        keep[row, low + 1] = False
+        parts = parts[keep].reshape(n, width - 1)
+        keep = np.ones((n, width - 1), bool)
+        keep[row, low] = False
+        pairs = pairs[keep].reshape(n, width - 2)
+        for left in (low - 1, low):
+            own = row[(left >= 0) & (left < width - 2)]
+            p = left[own]
+            key = parts[own, p].astype(np.int64) << 32 | parts[own, p + 1]
+            where = np.searchsorted(keys[:-1], key)
+            pairs[own, p] = np.where(keys[where] == key, values[where], _NO_RANK)
+    return out
+
+
+def _merged_words(words: list[str], vocabulary: str) -> list[list[int]]:
+    """The tokens of each word."""
+    table = ranks(vocabulary)
+    coded = [w.encode() for w in words]
+    out: list[list[int]] = [[] for _ in words]
+    alike: dict[int, list[int]] = {}
+    for i, word in enumerate(coded):
+        if (whole := table.get(word)) is not None:
+            out[i] = [whole]
+        elif len(word) > TOGETHER_BYTES or _pair_ranks(vocabulary) is None:
+            out[i] = _heap_merged(word, table)
+        else:
+            alike.setdefault(len(word), []).append(i)
+    for size, own in alike.items():
+        most = max(1, _MATRIX // size)
+        for k in range(0, len(own), most):
+            some = own[k : k + most]
+            for i, ids in zip(some, _merged_together([coded[i] for i in some], vocabulary), strict=True):
+                out[i] = ids
+    return out
+
+
 #: Words that are put together at a time; a text with more is a part of its own.
 _WORDS = 1 << 18
 
@@ -170,20 +247,19 @@ def _parts(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def _assembled(batches: Iterator[pa.RecordBatch], known: Broadcast, vocabulary: str, columns: list[str]) -> Iterator[pa.RecordBatch]:
     """The columns, ids and packed: each text's words, in order, replaced by their tokens. Every distinct word of a run of rows is looked up once."""
-    common, table = known.value, ranks(vocabulary)
+    common = known.value
     recent: dict[str, list[int]] = {}
-
-    def merged(word: str) -> list[int]:
-        out = _heap_merged(word.encode(), table)
-        if len(word) <= TABLE_CHARS:
-            if len(recent) >= _REMEMBERED:
-                recent.clear()
-            recent[word] = out
-        return out
-
     for part in (p for batch in batches for p in _parts(batch)):
         coded = part.column("words").flatten().dictionary_encode()
-        tokens = [common.get(w) or recent.get(w) or merged(w) for w in coded.dictionary.to_pylist()]
+        words = coded.dictionary.to_pylist()
+        tokens = [common.get(w) or recent.get(w) for w in words]
+        other = [i for i, t in enumerate(tokens) if t is None]
+        for i, ids in zip(other, _merged_words([words[i] for i in other], vocabulary), strict=True):
+            tokens[i] = ids
+            if len(words[i]) <= TABLE_CHARS:
+                if len(recent) >= _REMEMBERED:
+                    recent.clear()
+                recent[words[i]] = ids
         sizes = np.array([len(t) for t in tokens], np.int64)
         starts = np.cumsum(sizes) - sizes
         flat = np.array([i for t in tokens for i in t], np.int32)
