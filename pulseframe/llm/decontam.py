@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.llm import vectext as V
-from pulseframe.llm.scratch import written
+from pulseframe.llm.scratch import in_small_batches, written
 
 #: Bytes of benchmark text whose tables one task holds at a time; a larger benchmark is searched in so many blocks.
 BLOCK_BYTES = 16 << 20
@@ -202,7 +202,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = 10, b
     if len(blocks) == 1:
         return searched(docs, blocks[0], ["doc_id"]).select("doc_id", "n_words", "n_hit", "item_ids")
     key = ["doc_id", "t1", "t2"]
-    keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
+    keyed = in_small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("t1"), F.xxhash64(F.lit(7), "text").alias("t2"))
     every = reduce(DataFrame.unionByName, (searched(keyed, block, key) for block in blocks))
     merged = every.groupBy(*key).agg(F.max("n_words").alias("n_words"), F.collect_set("hits").alias("maps"), F.collect_list("item_ids").alias("lists"), (F.count(F.lit(1)) / len(blocks)).cast("long").alias("copies"))
     merged = merged.withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("copies")))).select("doc_id", "n_words", "maps", "lists")
@@ -221,6 +221,7 @@ def drop_contaminated(docs: DataFrame, benchmark: DataFrame, width: int = 10, bl
     Null and empty texts stay, as does everything where the benchmark is empty. Repeated rows stay or go together. docs may have any
     further columns, of any names. Very long texts are searched whole, in pieces of bounded size.
     """
+    docs = in_small_batches(docs)
     for block in _blocks(benchmark, width, block_bytes):
         docs = docs.mapInArrow(partial(_clean, shared=block), docs.schema)
     return docs

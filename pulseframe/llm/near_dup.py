@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from pulseframe.llm import vectext as V
-from pulseframe.llm.scratch import forget, parallelism, salted_join, same, spread_join, written
+from pulseframe.llm.scratch import forget, in_small_batches, parallelism, salted_join, same, spread_join, written
 
 #: With 40 bands of 5, a pair at similarity 0.8 shares no bucket with probability (1 - 0.8**5)**40 = 1.3e-7 (a test counts it).
 BANDS, ROWS = 40, 5
@@ -355,7 +355,7 @@ def _closed(docs: DataFrame, classes: DataFrame, width: int, percent: int) -> Da
 
 def _marked(docs: DataFrame, width: int, percent: int, bands: int, rows: int, seed: int) -> DataFrame:
     """(doc_id, t, n_shingles, component_id, kept), one row for each row of docs(doc_id, text); t is a hash of the text."""
-    docs = docs.select("doc_id", "text", F.xxhash64("text").alias("t"))
+    docs = in_small_batches(docs).select("doc_id", "text", F.xxhash64("text").alias("t"))
     sig = written(
         docs.mapInArrow(partial(_signed, width=width, bands=bands, rows=rows, seed=seed), "doc_id long, t long, n_shingles long, d1 long, d2 long, bands array<long>"), "signatures"
     )

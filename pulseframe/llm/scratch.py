@@ -53,6 +53,20 @@ def forget(*tables: DataFrame | None) -> None:
             where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+#: Bytes of rows that go to a Python worker at a time.
+BATCH_BYTES = 2 << 20
+
+
+def in_small_batches(df: DataFrame) -> DataFrame:
+    """df, after the session has been told to send rows to Python workers in Arrow batches of about BATCH_BYTES; a longer row is a batch of its own.
+
+    Spark's default is 64 MB or 10,000 rows, which each running task holds once in the JVM, outside its heap, and once or twice in Python.
+    The setting stays, as it is read when the lazy result runs; it changes no rows.
+    """
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+    return df
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """A reliable checkpoint for small iteration state; Spark removes its files with the plan that uses it."""
     shared_dir(df.sparkSession)
