@@ -49,10 +49,10 @@ def i12_cut_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT 'user_' || session_id || '_seg_' || segment || '.wav' AS name, 8000 AS fs, s.idx - CAST(start * 10 AS BIGINT) AS idx, CAST(round(value * 10) AS INTEGER) AS value FROM c JOIN e USING (session_id) JOIN s USING (session_id)
 WHERE s.idx >= CAST(start * 10 AS BIGINT) AND s.idx < coalesce(CAST(stop * 10 AS BIGINT), n)""")
 def i12_segment_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Segments written as WAV files in the shared folder and read back by byte ranges."""
+    """Segments written as WAV files in folders of the shared one and read back by byte ranges."""
     own = i12_cut_segments(spark, sf_dir).select("session_id", "segment", "idx", (F.col("value") * 10).alias("value"))
     folder = new_folder(spark, "segments")
-    wav_source.write_segments(own, "user", folder, 8000)
+    wav_source.write_segments(own, "user", folder, 8000, folders=True)
     found = wav_source.read_wav(spark, folder, 1 << 16)
     return found.select(F.substring_index("path", "/", -1).alias("name"), "fs", "idx", "value")
 
