@@ -1,7 +1,7 @@
 """Raw feature extraction of recordings: voice measures of voiced runs, and measures of the segments that a diarization cuts.
 
-Segments may overlap and be many, so what is additive over frames comes from a table of prefix moments: a segment's count, mean and
-deviation are two lookups, however long it is. Only state machines (pauses, tremor) walk a segment's frames.
+Segments may overlap and be many, so counts, means and deviations come from a table of the moments of aligned runs of frames (nodes): a
+segment is a few lookups a level, however long it is. Only state machines (pauses, tremor) walk a segment's frames.
 """
 
 from __future__ import annotations
@@ -18,56 +18,61 @@ from pulseframe.operators.signals import ordered
 from pulseframe.operators.tremor import RESULTS, Settings, parsed_results, result_line, tremor
 
 
-def prefix_moments(frames: DataFrame, values: Sequence[str], block: int = 4096) -> DataFrame:
-    """(session_id, idx, and for each value its session's mean c, and up to idx the count n, the sum s and the sum of squares q of what it is off that mean).
+def _level(length: Column, block: int) -> Column:
+    """One more than the highest level of which a run of frames holds a whole node, by floating-point logarithms one that is never too low."""
+    return (F.floor(F.log(length) / math.log(block)) + 1).cast("int")
 
-    frames(session_id, idx, values) are numbered from 0 without gaps; nulls and NaN do not count. Blocks of positions are summed in their own
-    tasks; one row a block gives the offsets. Sums about the mean keep the digits that raw sums of squares would lose. Infinities are only
-    counted, in u and d, and left out of means and sums, which they would spoil for all positions behind them.
+
+def node_moments(frames: DataFrame, sizes: DataFrame, values: Sequence[str], block: int = 4) -> DataFrame:
+    """(session_id, level, k, and for each value the count n, the sum s, the sum of squares q off their own mean, and the numbers of infinities u and d) of the frames from k * block ** level on, block ** level of them.
+
+    frames(session_id, idx, values) of the sessions in sizes(session_id, size) are numbered from 0 without gaps; nulls and NaN do not count.
+    Infinities are counted, but left out of sums.
     """
-    clean = {v: F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double")) for v in values}
-    finite = {v: F.when(F.abs(c) < math.inf, c) for v, c in clean.items()}
-    means = frames.groupBy("session_id").agg(*(F.coalesce(F.avg(c), F.lit(0.0)).alias(f"{v}_c") for v, c in finite.items()))
-    off = frames.join(means, "session_id").select("session_id", "idx", F.floor(F.col("idx") / F.lit(block)).alias("block"), *(f"{v}_c" for v in values), *((clean[v] - F.col(f"{v}_c")).alias(v) for v in values))
-
-    def of(v: str) -> dict[str, Column]:
-        x = F.when(F.abs(v) < math.inf, F.col(v))
-        one = lambda hit: F.when(hit, 1).otherwise(0)
-        return {"n": one(F.col(v).isNotNull()), "s": F.coalesce(x, F.lit(0.0)), "q": F.coalesce(x * x, F.lit(0.0)), "u": one(F.col(v) == math.inf), "d": one(F.col(v) == -math.inf)}
-
-    parts = {f"{v}_{k}": f for v in values for k, f in of(v).items()}
-    totals = off.groupBy("session_id", "block").agg(*(F.sum(f).alias(n) for n, f in parts.items()))
-    ahead = Window.partitionBy("session_id").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = totals.select("session_id", "block", *(F.coalesce(F.sum(n).over(ahead), F.lit(0)).alias(f"{n}0") for n in parts))
-    local = Window.partitionBy("session_id", "block").orderBy("idx").rowsBetween(Window.unboundedPreceding, 0)
-    summed = off.select("session_id", "block", "idx", *(f"{v}_c" for v in values), *(F.sum(f).over(local).alias(n) for n, f in parts.items()))
-    return summed.join(offsets, ["session_id", "block"]).select("session_id", "idx", *(f"{v}_c" for v in values), *((F.col(n) + F.col(f"{n}0")).alias(n) for n in parts))
-
-
-def segment_moments(frames: DataFrame, segments: DataFrame, values: Sequence[str], block: int = 4096) -> DataFrame:
+    levels = frames.join(sizes, "session_id").withColumn("level", F.explode(F.sequence(F.lit(0), _level(F.col("size"), block))))
+    parts = []
+    for v in values:
+        x = F.when(~F.isnan(F.col(v).cast("double")), F.col(v).cast("double"))
+        own = F.when(F.abs(x) < math.inf, x)
+        parts += [F.count(x).alias(f"{v}_n"), F.coalesce(F.sum(own), F.lit(0.0)).alias(f"{v}_s"), F.coalesce(F.var_pop(own) * F.count(own), F.lit(0.0)).alias(f"{v}_q"), F.count_if(x == math.inf).alias(f"{v}_u"), F.count_if(x == -math.inf).alias(f"{v}_d")]
+    return levels.groupBy("session_id", "level", F.floor(F.col("idx") / F.pow(F.lit(float(block)), "level")).alias("k")).agg(*parts)
+
+
+def _covered(spans: DataFrame, block: int) -> DataFrame:
+    """spans(session_id, a, b) with the fewest nodes (level, k) that cover the frames a..b-1, and the frame that each begins at: at most 2 * (block - 1) a level."""
+    own = spans.withColumn("level", F.explode(F.sequence(F.lit(0), _level(F.col("b") - F.col("a"), block)))).withColumn("unit", F.pow(F.lit(float(block)), "level"))
+    own = own.withColumn("first", F.ceil(F.col("a") / F.col("unit"))).withColumn("after", F.floor(F.col("b") / F.col("unit"))).filter("first < after")
+    low, high = F.ceil(F.col("first") / block) * block, F.floor(F.col("after") / block) * block  # what lies between is covered by higher levels
+    span = lambda x, y: F.when(x < y, F.sequence(x, y - 1)).otherwise(F.array().cast("array<long>"))
+    left, right = F.when(low < high, low).otherwise(F.col("after")), F.when(low < high, high).otherwise(F.col("after"))
+    return own.select("session_id", "a", "b", "level", F.explode(F.concat(span(F.col("first"), left), span(right, F.col("after")))).alias("k"), "unit").withColumn("at", F.col("k") * F.col("unit")).drop("unit")
+
+
+def segment_moments(frames: DataFrame, segments: DataFrame, values: Sequence[str], block: int = 4) -> DataFrame:
     """(segment_id, session_id, start, stop, and for each value _count, _mean, _std): of frames start..stop-1 of segments(segment_id, session_id, start, stop).
 
     Bounds beyond the session are cut to it. A segment without values has count 0 and nulls; the deviation of one value is null. Infinities
-    make the mean of the segments that they are in infinite, NaN if there are both, and the deviation NaN.
+    make the mean of the segments that they are in infinite, NaN if there are both, and the deviation NaN. Moments of nodes are put together,
+    which cancels no digits, however small the deviation is next to that of the session.
     """
-    table = prefix_moments(frames, values, block)
-    sizes = frames.groupBy("session_id").agg((F.max("idx") + 1).alias("size"))
-    cut = segments.select("segment_id", "session_id", "start", "stop").join(sizes, "session_id", "left")
-    cut = cut.withColumn("a", F.least(F.greatest("start", F.lit(0)), "size") - 1).withColumn("b", F.least(F.greatest("stop", F.lit(0)), "size") - 1)
+    sizes = frames.groupBy("session_id").agg((F.max("idx") + 1).alias("size")).join(segments.select("session_id").distinct(), "session_id", "left_semi")
+    inside = lambda c: F.when(F.col(c).isNotNull() & F.col("size").isNotNull(), F.least(F.greatest(c, F.lit(0)), "size"))
+    cut = segments.select("segment_id", "session_id", "start", "stop").join(sizes, "session_id", "left").withColumn("a", inside("start")).withColumn("b", inside("stop"))
+    nodes = node_moments(frames, sizes, values, block)
     names = [f"{v}_{k}" for v in values for k in "nsqud"]
-
-    def at(end: str) -> DataFrame:
-        return table.select("session_id", F.col("idx").alias(end), *(F.col(n).alias(f"{end}_{n}") for n in names), *(F.col(f"{v}_c").alias(f"{end}_{v}_c") for v in values))
-
-    both = cut.join(at("a"), ["session_id", "a"], "left").join(at("b"), ["session_id", "b"], "left")
-    out = ["segment_id", "session_id", "start", "stop"]
+    found = _covered(cut.filter("a < b").select("session_id", "a", "b").distinct(), block).join(nodes, ["session_id", "level", "k"])
+    found = found.groupBy("session_id", "a", "b").agg(F.array_sort(F.collect_list(F.struct("at", *names))).alias("nodes"))
     for v in values:
-        n, s, q, up, down = ((F.when(F.col("b") > F.col("a"), F.coalesce(f"b_{v}_{k}", F.lit(0)) - F.coalesce(f"a_{v}_{k}", F.lit(0))).otherwise(0)) for k in "nsqud")
-        infinite = F.when(up > 0, F.lit(math.inf)).otherwise(0.0) + F.when(down > 0, F.lit(-math.inf)).otherwise(0.0)
-        mean = F.when(up + down > 0, infinite).otherwise(F.col(f"b_{v}_c") + F.try_divide(s, n))
-        spread = F.when(n > 1, F.when(up + down > 0, F.lit(math.nan)).otherwise(F.sqrt(F.greatest(F.lit(0.0), q - s * s / n) / (n - 1))))
-        out += [n.cast("long").alias(f"{v}_count"), mean.alias(f"{v}_mean"), spread.alias(f"{v}_std")]
-    return both.select(*out)
+        total = lambda k, zero: F.aggregate("nodes", zero, lambda done, node: done + node[f"{v}_{k}"])  # noqa: B023, E731
+        found = found.withColumns({f"{v}_count": total("n", F.lit(0).cast("long")), "up": total("u", F.lit(0).cast("long")), "down": total("d", F.lit(0).cast("long"))})
+        found = found.withColumn("mean", F.try_divide(total("s", F.lit(0.0)), F.col(f"{v}_count")))
+        off = lambda node: F.try_divide(node[f"{v}_s"], node[f"{v}_n"]) - F.col("mean")  # noqa: B023, E731
+        square = F.aggregate("nodes", F.lit(0.0), lambda done, node: done + node[f"{v}_q"] + F.coalesce(node[f"{v}_n"] * off(node) * off(node), F.lit(0.0)))  # noqa: B023
+        infinite = F.when(F.col("up") > 0, F.lit(math.inf)).otherwise(0.0) + F.when(F.col("down") > 0, F.lit(-math.inf)).otherwise(0.0)
+        spread = F.when(F.col("up") + F.col("down") > 0, F.lit(math.nan)).otherwise(F.sqrt(square / (F.col(f"{v}_count") - 1)))
+        found = found.withColumns({f"{v}_std": F.when(F.col(f"{v}_count") > 1, spread), f"{v}_mean": F.when(F.col("up") + F.col("down") > 0, infinite).otherwise(F.col("mean"))})
+    out = [c for v in values for c in (F.coalesce(f"{v}_count", F.lit(0)).cast("long").alias(f"{v}_count"), F.col(f"{v}_mean"), F.col(f"{v}_std"))]
+    return cut.join(found, ["session_id", "a", "b"], "left").select("segment_id", "session_id", "start", "stop", *out)
 
 
 def sliced(frames: DataFrame, segments: DataFrame, *columns: str) -> DataFrame:
@@ -102,8 +107,8 @@ def acoustic(frames: DataFrame, voiced: Column, period: tuple[str, float, float]
 def segmented(frames: DataFrame, segments: DataFrame, frame_s: float, settings: Settings | None = None, least_s: float = 0.064, least_tremor_s: float = 0.5) -> dict[str, DataFrame]:
     """Pauses, voice prevalence and vocal tremor of every segment(segment_id, session_id, start, stop in frames) of frames(session_id, idx, speech, pitch, amplitude).
 
-    Three tables (segment_id, start, stop, length in seconds, values, error): errors are data. Voice prevalence comes from prefix
-    moments; pauses and tremor restart their state in each segment. Segments with the same frames are measured once, under the least
+    Three tables (segment_id, start, stop, length in seconds, values, error): errors are data. Voice prevalence comes from moments
+    of nodes; pauses and tremor restart their state in each segment. Segments with the same frames are measured once, under the least
     of their ids, so that the work grows with the different ones.
     """
     settings = settings or Settings(step=frame_s)

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from pulseframe.operators import extraction as E
-from pulseframe.operators.signals import logarithm
+from pulseframe.operators.signals import logarithm, rounded
 from pulseframe.operators.tremor import Settings
 from pulseframe.plans.registry import query
 from pulseframe.sources.tables import SAMPLES_SQL, samples, table
@@ -23,7 +23,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT segment_id, g.session_id, start, stop, count(value) AS value_count, round(avg(ln(value)), 6) AS value_mean, round(stddev_samp(ln(value)), 6) AS value_std FROM g LEFT JOIN s ON s.session_id = g.session_id AND idx >= start AND idx < stop GROUP BY ALL""")
 def g4_segment_moments(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = E.segment_moments(samples(spark, sf_dir).withColumn("value", logarithm(F.col("value"))), segments(spark, sf_dir), ["value"])
-    return out.withColumn("value_mean", F.round("value_mean", 6)).withColumn("value_std", F.round("value_std", 6))
+    return out.withColumn("value_mean", rounded("value_mean", 6)).withColumn("value_std", rounded("value_std", 6))
 
 
 _RUNS = f"""WITH {SAMPLES_SQL}, h AS (SELECT session_id, idx, value, event_type, idx - row_number() OVER (PARTITION BY session_id ORDER BY idx) AS k FROM s WHERE event_type <> 'error'),
