@@ -111,17 +111,21 @@ def _weighted(x: Column, w: Column, centre: Column) -> tuple[Column, Column]:
     return F.first(centre) + shift, F.sqrt(F.try_divide(F.greatest(F.lit(0.0), square), total - F.try_divide(F.sum(own * own), total)))
 
 
+def _number(raw: str) -> Column:
+    return F.when(~F.isnan(F.col(raw).cast("double")), F.col(raw).cast("double"))
+
+
 def _centred(df: DataFrame, keys: Sequence[str], raws: Sequence[str]) -> DataFrame:
     """df with _c_<raw>, the mean of each raw column over the key, which weighted moments are taken about."""
-    means = df.groupBy(*keys).agg(*(F.avg(F.when(~F.isnan(F.col(raw).cast("double")), F.col(raw).cast("double"))).alias(f"_c_{raw}") for raw in raws))
+    means = df.groupBy(*keys).agg(*(F.avg(_number(raw)).alias(f"_c_{raw}") for raw in raws))
     names = means.select(*(F.col(k).alias(f"_k_{k}") for k in keys), *(f"_c_{raw}" for raw in raws))
     return df.join(names, reduce(lambda x, y: x & y, (df[k].eqNullSafe(names[f"_k_{k}"]) for k in keys)), "left").drop(*(f"_k_{k}" for k in keys))
 
 
-def _summed(df: DataFrame, keys: Sequence[str], raws: Sequence[str], time: str) -> DataFrame:
-    """df with _s_<raw>, the sum of each raw column over the key up to the row in order of time."""
+def _summed(df: DataFrame, keys: Sequence[str], sums: Mapping[str, Column], time: str) -> DataFrame:
+    """df with the sum of each of sums over the key up to the row in order of time."""
     upto = Window.partitionBy(*keys).orderBy(time).rowsBetween(Window.unboundedPreceding, 0)
-    return df.withColumns({f"_s_{raw}": F.sum(F.when(~F.isnan(F.col(raw).cast("double")), F.col(raw).cast("double"))).over(upto) for raw in raws})
+    return df.withColumns({name: F.sum(x).over(upto) for name, x in sums.items()})
 
 
 def _columns(df: DataFrame, group: str, weight: str | None, time: str) -> list[Column]:
@@ -131,12 +135,14 @@ def _columns(df: DataFrame, group: str, weight: str | None, time: str) -> list[C
         for raw in raws if g == group else ():
             if raw not in df.columns:
                 continue
-            x = F.when(~F.isnan(F.col(raw).cast("double")), F.col(raw).cast("double"))
+            x = _number(raw)
             made = {n: f(x) for n, f in X.FUNCTIONS.items()}
             if f"_s_{raw}" in df.columns:
                 made["mean"] = F.try_divide(F.max_by(f"_s_{raw}", time), F.count(x))
             if f"_c_{raw}" in df.columns:
                 made["wmean"], made["wstd"] = _weighted(x, F.col(weight), F.col(f"_c_{raw}"))
+            if f"_p_{raw}" in df.columns:
+                made["wmean"] = F.try_divide(F.max_by(f"_p_{raw}", time), F.max_by(f"_w_{raw}", time))
             out += [made[f].cast("double").alias(f"{raw}_{f}") for f in functions if f in made]
     return out
 
@@ -146,21 +152,27 @@ def derived(tables: Mapping[str, DataFrame], keys: Sequence[str], weights: Mappi
 
     tables maps groups to their raw tables. A group, or a raw column, that is missing gives null data, as keys without
     rows in a group do. weights names the column of segment lengths of acoustic_seg and audio_seg; pauses are summed over audio_seg.
-    Each group is one aggregation; weighted deviations are taken about the plain means of a first one. Means of tables with the column
-    time add up in its order, so that their last digit is the same in every run.
+    Each group is one aggregation; weighted deviations are taken about the plain means of a first one. Means and shares of tables with
+    the column time add up in its order, so that their last digit is the same in every run.
     """
-    weights, found = weights or {}, []
+    weights, found, pauses = weights or {}, [], ("aco_pausetime", "aco_totaltime", "aco_numpauses")
     for group, df in tables.items():
         weighed = [raw for g, _, raws, functions in blocks() if g == group and "wmean" in functions for raw in raws if raw in df.columns]
         if group in weights and weighed:
             df = _centred(df, keys, weighed)
         means = [raw for g, _, raws, functions in blocks() if g == group and "mean" in functions for raw in raws if raw in df.columns]
-        if time in df.columns and means:
-            df = _summed(df, keys, means, time)
+        paused = group == "audio_seg" and set(pauses) <= set(df.columns)
+        if time in df.columns:
+            sums = {f"_s_{raw}": _number(raw) for raw in means}
+            for raw in weighed if group in weights else ():
+                sums |= {f"_p_{raw}": _number(raw) * F.col(weights[group]), f"_w_{raw}": F.when(_number(raw).isNotNull(), F.col(weights[group]))}
+            sums |= {f"_s_{c}": F.col(c) for c in pauses if paused}
+            df = _summed(df, keys, sums, time) if sums else df
         columns = _columns(df, group, weights.get(group), time)
-        if group == "audio_seg" and {"aco_pausetime", "aco_totaltime", "aco_numpauses"} <= set(df.columns):
-            columns += [F.sum(c).cast("double").alias(f"{c}_mean") for c in ("aco_pausetime", "aco_totaltime", "aco_numpauses")]
-            columns.append(F.try_divide(F.sum("aco_pausetime"), F.sum("aco_totaltime")).cast("double").alias("aco_pausefrac_mean"))
+        if paused:
+            total = {c: F.max_by(f"_s_{c}", time) if time in df.columns else F.sum(c) for c in pauses}
+            columns += [x.cast("double").alias(f"{c}_mean") for c, x in total.items()]
+            columns.append(F.try_divide(total["aco_pausetime"], total["aco_totaltime"]).cast("double").alias("aco_pausefrac_mean"))
         if columns:
             wide = df.groupBy(*keys).agg(*columns)
             found.append(wide.unpivot(list(keys), [c for c in wide.columns if c not in keys], "name", "data"))

@@ -9,7 +9,7 @@ from pulseframe.operators import catalog as G
 from pulseframe.operators import features as X
 from pulseframe.operators.signals import logarithm, rounded
 from pulseframe.plans.registry import query
-from pulseframe.sources.tables import IMU_SQL, SAMPLES_SQL, imu, samples, table
+from pulseframe.sources.tables import IMU_SQL, SAMPLES_SQL, imu, samples, stored, table
 
 CATALOG = {"value": ("mean", "std", "range", "pct")}
 _WIDE = "SELECT user_id, event_type, round(avg(value), 6) AS value_mean, round(stddev_samp(value), 6) AS value_std, round(max(value) - min(value), 6) AS value_range, round(count(*) FILTER (value > 0) / count(value), 6) AS value_pct FROM events GROUP BY 1, 2"
@@ -111,10 +111,10 @@ SELECT k.session_id, label AS "group", subgroup, feature, metric, round(data, 5)
 
 @query(_DERIVED_SQL)
 def g9_derived_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The whole catalog for every session, from tables that have a few raw columns of some groups each."""
+    """The whole catalog for every session, from tables that have a few raw columns of some groups each. Line items add up as they are stored."""
     own = samples(spark, sf_dir).select("session_id", "idx", F.col("value").alias("fac_LMK00disp"), (F.col("event_type") == "click").cast("int").alias("fac_happres"), logarithm(F.col("value")).alias("mov_headvel"), (F.col("event_type") == "error").cast("int").alias("mov_eyeblink"))
-    items = table(spark, sf_dir, "lineitem").select(
-        F.col("l_suppkey").alias("session_id"), F.col("l_tax").alias("aco_jitter"), F.col("l_quantity").alias("length"), F.col("l_discount").alias("aco_voicepct"), F.col("l_discount").alias("aco_pausetime"), F.col("l_quantity").alias("aco_totaltime"), F.col("l_linenumber").alias("aco_numpauses")
+    items = stored(spark, sf_dir, "lineitem").select(
+        F.col("l_suppkey").alias("session_id"), "idx", F.col("l_tax").alias("aco_jitter"), F.col("l_quantity").alias("length"), F.col("l_discount").alias("aco_voicepct"), F.col("l_discount").alias("aco_pausetime"), F.col("l_quantity").alias("aco_totaltime"), F.col("l_linenumber").alias("aco_numpauses")
     )
     out = G.derived({"facial": own, "movement": own, "acoustic_seg": items, "audio_seg": items}, ["session_id"], {"acoustic_seg": "length", "audio_seg": "length"})
     return out.withColumn("data", rounded("data", 5))

@@ -13,6 +13,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """The table with idx, which orders its rows as they lie in its files, and these by name."""
+    rows = table(spark, sf_dir, name)
+    return rows.select(*rows.columns, F.struct("_metadata.file_path", "_metadata.row_index").alias("idx"))
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A fresh path in the folder of spark.checkpoint.dir, which a cluster's nodes share; where it is unset, in local mode, under /tmp."""
     base = spark.sparkContext.getConf().get("spark.checkpoint.dir")
