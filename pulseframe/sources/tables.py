@@ -14,9 +14,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def stored(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """The table with idx, which orders its rows as they lie in its files, and these by name."""
+    """The table with idx, a long that orders its rows as they lie in its files, and these by name."""
     rows = table(spark, sf_dir, name)
-    return rows.select(*rows.columns, F.struct("_metadata.file_path", "_metadata.row_index").alias("idx"))
+    placed = rows.select(*rows.columns, F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_row"))
+    files = rows.select(F.col("_metadata.file_path").alias("_file")).distinct().withColumn("_rank", F.row_number().over(Window.orderBy("_file")))  # a row a file
+    return placed.join(F.broadcast(files), "_file").select(*rows.columns, (F.col("_rank") * F.lit(1 << 40) + F.col("_row")).alias("idx"))
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
